@@ -1,7 +1,7 @@
 """Operators of a training-data pipeline. QUERIES and SQL join what the modules register."""
 
-from . import byte_bpe, exact_dedup, line_dedup, packing, quality, sharding, toxicity
+from . import byte_bpe, exact_dedup, line_dedup, near_dedup, packing, quality, secrets, sharding, toxicity
 
-_MODULES = [quality, line_dedup, exact_dedup, sharding, packing, toxicity, byte_bpe]
+_MODULES = [near_dedup, quality, line_dedup, exact_dedup, sharding, secrets, packing, toxicity, byte_bpe]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}

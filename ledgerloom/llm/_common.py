@@ -1,44 +1,20 @@
-"""What the corpus operators share: column selection, shared scratch tables and Arrow batch sizes."""
+"""What the corpus operators share: reading, column selection and Arrow batch sizes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. A batch of very long documents must fit a Python worker.
-ARROW_ROWS = 256
-
-_own_dir: str | None = None
-
+from ..scratch import table
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a temporary one only where the setting is missing."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="spark-ledgerloom-")
-    return _own_dir
+__all__ = ["ARROW_ROWS", "arrow_batches", "id_text", "read", "table"]
 
+#: Rows in one Arrow batch. A batch of very long documents must fit a Python worker.
+ARROW_ROWS = 256
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as a table in the shared folder and reads it back.
 
-    A lost executor costs a re-read, never a recomputation that could come out differently. The tables of a session
-    lie under one folder named after the application, so that they can be removed with it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
