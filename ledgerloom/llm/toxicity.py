@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import arrow_batches, id_text, read, table
@@ -190,14 +190,20 @@ def score_toxicity(docs: DataFrame, model: KneserNey | float, id_col: str = "doc
     repeated rows and an empty table give what is to be expected; other columns are ignored.
     """
     arrow_batches(docs.sparkSession)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    rows = id_text(docs, id_col, text_col).select("doc_id", held_out.alias("held_out"), toxicity(model, F.col("text")).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": np.full(len(b), model) if isinstance(model, float) else model.score(b["text"])})
 
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    rows = id_text(docs, id_col, text_col).withColumn("held_out", held_out)
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+def toxicity(model: KneserNey | float, text: Column) -> Column:
+    """The score as a column."""
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            yield pd.Series(np.full(len(t), model) if isinstance(model, float) else model.score(t))
+
+    return score(F.coalesce(text, F.lit("")))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
