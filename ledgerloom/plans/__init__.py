@@ -1 +1,7 @@
-"""plans of the ledger engine."""
+"""Registered queries: each applies an operator to tables projected from the given data, beside its SQL."""
+
+from . import audits, claims, clustering, graphs, merges, movements, rosters, scalars, sources
+
+_MODULES = [scalars, sources, merges, movements, rosters, clustering, graphs, claims, audits]
+QUERIES = {k: f for m in _MODULES for k, f in m.REGISTRY.queries.items()}
+SQL = {k: s for m in _MODULES for k, s in m.REGISTRY.sql.items()}

@@ -1,0 +1,3 @@
+from .registry import Registry
+
+REGISTRY = query = Registry()
