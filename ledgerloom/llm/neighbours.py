@@ -16,7 +16,7 @@ from ._common import arrow_batches, read, table
 #: Dimensions of the projection (even), and the confidence of the stopping test.
 PROJECTED, CONFIDENCE = 8, 0.99
 #: Vectors of one index and queries searched in it together, about; points in a leaf.
-BLOCK, CHUNK, LEAF = 25_000, 2_000, 128
+BLOCK, CHUNK, LEAF = 25_000, 1_000, 512
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -54,7 +54,7 @@ class KdTree:
         self.low, self.high = np.array(low), np.array(high)
 
     def leaves(self, query: np.ndarray):
-        """(square of the least distance, indexes of points) of every leaf, nearest box first."""
+        """(square of the least distance, slice of the tree's order) of every leaf, nearest box first."""
         gap = np.maximum(np.maximum(self.low - query, query - self.high), 0)
         bound = (gap * gap).sum(1)
         heap = [(bound[0], 0)]
@@ -62,7 +62,7 @@ class KdTree:
             b, i = heapq.heappop(heap)
             start, stop, left, right = self.nodes[i]
             if left < 0:
-                yield b, self.order[start:stop]
+                yield b, slice(start, stop)
             else:
                 heapq.heappush(heap, (bound[left], left))
                 heapq.heappush(heap, (bound[right], right))
@@ -82,6 +82,7 @@ def search(vectors: np.ndarray, members: list[np.ndarray], queries: np.ndarray,
     directions = np.random.default_rng(20140901).standard_normal((lifted.shape[1], PROJECTED))
     tree, limit = KdTree(lifted @ directions), chi_square_quantile(CONFIDENCE, PROJECTED)
     projected = queries @ directions[:-1]
+    vectors, members = vectors[tree.order], [members[i] for i in tree.order]  # a leaf is a slice
     found = []
     for q, near in zip(queries, projected):
         at, scores, best = [], [], np.full(k, -np.inf)
@@ -91,7 +92,7 @@ def search(vectors: np.ndarray, members: list[np.ndarray], queries: np.ndarray,
                 break
             s = vectors[leaf] @ q
             if (good := s >= best[0] - slack).any():
-                at.append(leaf[good])
+                at.append(leaf.start + np.flatnonzero(good))
                 scores.append(s[good])
                 best = np.sort(np.concatenate([best, s[good]]))[-k:]
         at, scores = np.concatenate(at), np.concatenate(scores)
@@ -108,7 +109,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     """query_id, rank, vec_id, score: for each vector whose id is divisible by `every`, its k nearest others by inner product.
 
     Equal vectors are one point that knows its k + 1 smallest ids, which is all any query can need of it. Points are
-    dealt by a hash into blocks of about 25,000; a task indexes one block and searches a chunk of about 2,000 distinct
+    dealt by a hash into blocks of about 25,000; a task indexes one block and searches a chunk of about 1,000 distinct
     queries in it, so a task's memory is bounded at any scale; the stated queries meet all rows in blocks, and their
     work grows with queries times rows less what the stopping test saves. The bests of all blocks are then ranked.
     Scores are sums in double precision over the stored values; at ties the smaller vec_id comes first.
