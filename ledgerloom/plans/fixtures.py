@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SQL = """WITH ln AS (
+SQL = """WITH RECURSIVE ln AS (
   SELECT l.*, o.o_custkey AS cust, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, p.p_brand AS brand,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate, l_discount, l_tax) AS rn
   FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey JOIN part p ON l_partkey = p_partkey),
