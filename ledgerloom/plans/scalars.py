@@ -9,7 +9,8 @@ from .registry import Registry
 
 REGISTRY = query = Registry()
 
-_hex = F.lpad(F.hex("c_custkey"), 40, "0")
+def _hex():
+    return F.lpad(F.hex("c_custkey"), 40, "0")
 
 
 @query("scl_01", """SELECT c_custkey AS id,
@@ -17,7 +18,7 @@ _hex = F.lpad(F.hex("c_custkey"), 40, "0")
   CASE WHEN c_custkey % 4 = 3 THEN 'malformed hex address' END AS error FROM customer""")
 def scl_01(d):
     k = F.col("c_custkey")
-    raw = F.when(k % 4 == 0, F.concat(F.lit("0x"), F.upper(_hex))).when(k % 4 == 1, F.concat(F.lit("BC1Q"), k)).when(k % 4 == 2, F.concat(F.lit(" 1Pq"), k, F.lit("X "))).otherwise(F.concat(F.lit("0xzz"), k))
+    raw = F.when(k % 4 == 0, F.concat(F.lit("0x"), F.upper(_hex()))).when(k % 4 == 1, F.concat(F.lit("BC1Q"), k)).when(k % 4 == 2, F.concat(F.lit(" 1Pq"), k, F.lit("X "))).otherwise(F.concat(F.lit("0xzz"), k))
     form, error = s.canonical_address(F.when(k % 4 % 3 == 0, "ethereum").otherwise("bitcoin"), raw)
     return d.read("customer").select(k.alias("id"), form.alias("address"), error.alias("error"))
 
@@ -33,7 +34,7 @@ def scl_02(d):
 @query("scl_03", """SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'evm' WHEN 1 THEN 'bitcoin' ELSE 'unknown' END AS family FROM customer""")
 def scl_03(d):
     k = F.col("c_custkey")
-    address = F.when(k % 3 == 0, F.concat(F.lit("0x"), _hex)).when(k % 3 == 1, F.concat(F.lit("bc1q"), F.lower(_hex))).otherwise(F.concat(F.lit("acct-"), k))
+    address = F.when(k % 3 == 0, F.concat(F.lit("0x"), _hex())).when(k % 3 == 1, F.concat(F.lit("bc1q"), F.lower(_hex()))).otherwise(F.concat(F.lit("acct-"), k))
     return d.read("customer").select(k.alias("id"), s.detect_chain(address).alias("family"))
 
 
@@ -88,7 +89,7 @@ def scl_11(d):
 
 @query("scl_12", """SELECT c_custkey AS id, '0x' || lower(lpad(hex(c_custkey), 40, '0')) AS address, '0x' || lower(lpad(hex(c_custkey), 64, '0')) AS topic FROM customer""")
 def scl_12(d):
-    address = F.concat(F.lit("0x"), F.upper(_hex))
+    address = F.concat(F.lit("0x"), F.upper(_hex()))
     return d.read("customer").select(F.col("c_custkey").alias("id"), s.topic_address(s.address_topic(address)).alias("address"), s.address_topic(address).alias("topic"))
 
 
@@ -133,7 +134,7 @@ def scl_18(d):
 @query("scl_19", """SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN '0000-' || lower(lpad(hex(c_custkey % 65536), 4, '0')) END AS key FROM customer""")
 def scl_19(d):
     k = F.col("c_custkey")
-    return d.read("customer").select(k.alias("id"), s.lookalike_key(F.when(k % 2 == 0, F.concat(F.lit("0x"), _hex)).otherwise(F.col("c_name"))).alias("key"))
+    return d.read("customer").select(k.alias("id"), s.lookalike_key(F.when(k % 2 == 0, F.concat(F.lit("0x"), _hex())).otherwise(F.col("c_name"))).alias("key"))
 
 
 @query("scl_20", """SELECT DISTINCT l_linenumber AS votes, CASE l_linenumber WHEN 0 THEN 4e-1 WHEN 1 THEN 55e-2 WHEN 2 THEN 7e-1 ELSE 85e-2 END AS confidence FROM lineitem""")
