@@ -8,6 +8,7 @@ from decimal import ROUND_HALF_EVEN, Decimal, InvalidOperation, localcontext
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Confirmations after which a block counts as final; fixed values.
 FINALITY = {"ethereum": 64, "bitcoin": 6}
@@ -62,7 +63,7 @@ def shift_point(units: Column, places: int) -> Column:
     return F.concat(sign, F.substring(padded, F.lit(1), F.length(padded) - places), F.lit("."), F.substring(padded, -places, places))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def exact_value(amount: pd.Series, decimals: pd.Series, price: pd.Series) -> pd.Series:
     """UDF-01: amount / 10^decimals x price with one half-even rounding at 18 places, for numbers of any size."""
 
@@ -79,7 +80,7 @@ def exact_value(amount: pd.Series, decimals: pd.Series, price: pd.Series) -> pd.
     return pd.Series([value(*r) for r in zip(amount, decimals, price)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def exact_unit_price(total: pd.Series, amount: pd.Series, decimals: pd.Series) -> pd.Series:
     """SCL-06: total / (amount / 10^decimals) at 18 places, half-even; null for a zero amount."""
 
