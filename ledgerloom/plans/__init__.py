@@ -1,7 +1,7 @@
 """Registered queries: each applies an operator to tables projected from the given data, beside its SQL."""
 
-from . import clustering, merges, movements, rosters, scalars
+from . import clustering, merges, movements, rosters, scalars, sources
 
-_MODULES = [scalars, merges, movements, rosters, clustering]
+_MODULES = [scalars, sources, merges, movements, rosters, clustering]
 QUERIES = {k: f for m in _MODULES for k, f in m.REGISTRY.queries.items()}
 SQL = {k: s for m in _MODULES for k, s in m.REGISTRY.sql.items()}
