@@ -148,6 +148,7 @@ def deposit_forwards(transfers: DataFrame, exchange: DataFrame, tolerance: Colum
 
 def deposit_reuse(forwards: DataFrame) -> DataFrame:
     """GRF-14: users of one deposit address are one cluster if it forwards to exactly one exchange; clusters of two are doubtful."""
+    forwards = table(forwards.distinct(), "deposit-forwards")  # few rows, read four times below
     one = forwards.groupBy("deposit").agg(F.min("exchange").alias("a"), F.max("exchange").alias("b")).filter("a = b")
     users = forwards.join(one, "deposit", "left_semi").select("deposit", "user").distinct()
     return sized(connected_components(star_edges(users, "deposit", "user"))).select("address", "cluster", "size", F.when(F.col("size") == 2, 0.35).otherwise(0.6).alias("confidence"), (F.col("size") == 2).alias("masquerade_risk"))
@@ -169,6 +170,7 @@ def airdrop_forwards(transfers: DataFrame, exchange: DataFrame, least: int = 1_0
 
 def airdrop_clusters(forwards: DataFrame, least: int = 2) -> DataFrame:
     """GRF-15: an aggregator of two recipients or more of one airdrop is one cluster with them."""
+    forwards = table(forwards, "airdrop-forwards")
     key = ["source", "asset", "amount", "aggregator"]
     many = forwards.groupBy(*key).agg(F.countDistinct("recipient").alias("n")).filter(F.col("n") >= least)
     return sized(connected_components(forwards.join(many, key, "left_semi").select(F.col("recipient").alias("a"), F.col("aggregator").alias("b")).filter("a <> b").distinct()))
