@@ -26,9 +26,19 @@ def _slice_rows(d):
     return d.tx_output.filter("tx_id % 100 = 1")
 
 
+def _spent_together(rows):
+    return connected_components(c.star_edges(rows.select("tx_id", "address").distinct(), "tx_id", "address"))
+
+
 @query("grf_01", _cospend + " SELECT node, component FROM component")
 def grf_01(d):
-    return connected_components(c.star_edges(_slice_rows(d).select("tx_id", "address").distinct(), "tx_id", "address"))
+    return _spent_together(_slice_rows(d))
+
+
+@query("grf_01_all")
+def grf_01_all(d):
+    """grf_01 over all transactions. The queries named _all have no slice; recursive SQL does not reach that far."""
+    return _spent_together(d.tx_output)
 
 
 _mix = "(SELECT tx_id FROM tx_output GROUP BY tx_id HAVING count(*) >= 6)"
@@ -38,8 +48,16 @@ _mix = "(SELECT tx_id FROM tx_output GROUP BY tx_id HAVING count(*) >= 6)"
   CASE WHEN node IN (SELECT address FROM slice WHERE tx_id IN {_mix}) THEN 0.5e0 ELSE 0.9e0 END AS confidence FROM component""")
 def grf_02(d):
     """Transactions of six outputs or more stand for mixes here."""
-    mixes = d.tx_output.groupBy("tx_id").count().filter("count >= 6").select("tx_id")
-    return c.cospend_clusters(_slice_rows(d), mixes)
+    return c.cospend_clusters(_slice_rows(d), _mixes(d))
+
+
+@query("grf_02_all")
+def grf_02_all(d):
+    return c.cospend_clusters(d.tx_output, _mixes(d))
+
+
+def _mixes(d):
+    return d.tx_output.groupBy("tx_id").count().filter("count >= 6").select("tx_id")
 
 
 @query("agg_10", "SELECT tx_id, count(DISTINCT address) AS addresses, array_to_string(list_sort(list(DISTINCT address)), ',') AS members FROM tx_input GROUP BY tx_id")
@@ -57,8 +75,17 @@ def agg_11(d):
 
 @query("grf_03", "SELECT 'h' || k AS address, count(DISTINCT event_type) AS chains FROM ev WHERE event_type <> 'error' AND event_id % 40 = 0 GROUP BY k HAVING count(DISTINCT event_type) >= 2")
 def grf_03(d):
+    return _on_chains(d.events.filter("event_id % 40 = 0"))
+
+
+@query("grf_03_all", "SELECT 'h' || k AS address, count(DISTINCT event_type) AS chains FROM ev WHERE event_type <> 'error' GROUP BY k HAVING count(DISTINCT event_type) >= 2")
+def grf_03_all(d):
+    return _on_chains(d.events)
+
+
+def _on_chains(events):
     chain = F.when(F.col("event_type") == "error", "bitcoin").otherwise(F.col("event_type"))
-    return c.same_address(d.events.filter("event_id % 40 = 0").select(chain.alias("chain"), F.concat(F.lit("h"), "k").alias("address")))
+    return c.same_address(events.select(chain.alias("chain"), F.concat(F.lit("h"), "k").alias("address")))
 
 
 @query("grf_04", """WITH p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 3 THEN c_custkey + 1 WHEN c_custkey % 10 = 4 THEN c_custkey - 1 ELSE c_custkey // 3 END AS merged_into FROM customer WHERE c_custkey > 0 AND c_custkey % 7 <> 0),
@@ -144,7 +171,15 @@ def set_03(d):
   SELECT node AS address, component AS cluster, CAST(round(least(0.85, 0.4 + 0.15 * max(votes)) * 1000) AS BIGINT) AS confidence_thousandths FROM component JOIN member ON address = node GROUP BY 1, 2""")
 def grf_13(d):
     """On every tenth UTXO transaction, which leaves components small enough for the recursive SQL."""
-    rows = lambda df: df.filter("tx_id % 20 = 1")
+    return _change_clusters(d, lambda df: df.filter("tx_id % 20 = 1"))
+
+
+@query("grf_13_all")
+def grf_13_all(d):
+    return _change_clusters(d, lambda df: df)
+
+
+def _change_clusters(d, rows):
     votes = c.compose(rows(_candidates(d)), "agree", _names)
     found = c.change_clusters(rows(d.tx_input), d.tx_output, votes, d.tx.filter("false").select("tx_id"))
     return found.select("address", "cluster", F.round(F.col("confidence") * 1000).cast("long").alias("confidence_thousandths"))
@@ -207,7 +242,16 @@ def grf_16(d):
 
 @query("grf_17", _cospend + " SELECT node AS address, sha256('run-1|' || component) AS entity_id FROM component")
 def grf_17(d):
-    clusters = connected_components(c.star_edges(_slice_rows(d).select("tx_id", "address").distinct(), "tx_id", "address"))
+    return _entities(_slice_rows(d))
+
+
+@query("grf_17_all")
+def grf_17_all(d):
+    return _entities(d.tx_output)
+
+
+def _entities(rows):
+    clusters = _spent_together(rows)
     return c.materialize(clusters.select(F.col("node").alias("address"), F.col("component").alias("cluster")), "run-1").select("address", "entity_id")
 
 
@@ -219,5 +263,13 @@ def grf_18(d):
 
 @query("agg_12", _cospend + " SELECT component AS cluster, count(*) AS size, array_to_string(list_sort(list(node)), ',') AS members FROM component GROUP BY 1 HAVING count(*) >= 2")
 def agg_12(d):
-    clusters = connected_components(c.star_edges(_slice_rows(d).select("tx_id", "address").distinct(), "tx_id", "address"))
-    return clusters.groupBy(F.col("component").alias("cluster")).agg(F.count(F.lit(1)).alias("size"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members")).filter("size >= 2")
+    return _member_lists(_slice_rows(d))
+
+
+@query("agg_12_all")
+def agg_12_all(d):
+    return _member_lists(d.tx_output)
+
+
+def _member_lists(rows):
+    return _spent_together(rows).groupBy(F.col("component").alias("cluster")).agg(F.count(F.lit(1)).alias("size"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members")).filter("size >= 2")

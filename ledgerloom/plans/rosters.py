@@ -128,9 +128,18 @@ def agg_19(d):
 
 @query("agg_23", "SELECT cust AS trace, count(*) FILTER (WHERE id % 7 <> 0) AS edges, sum(amount) FILTER (WHERE id % 7 <> 0)::BIGINT AS amount FROM pay WHERE cust % 10 = 0 GROUP BY cust")
 def agg_23(d):
+    return _traced(d.payments.filter("cust % 10 = 0"))
+
+
+@query("agg_23_all", "SELECT cust AS trace, count(*) FILTER (WHERE id % 7 <> 0) AS edges, sum(amount) FILTER (WHERE id % 7 <> 0)::BIGINT AS amount FROM pay GROUP BY cust")
+def agg_23_all(d):
+    return _traced(d.payments)
+
+
+def _traced(payments):
     from ..operators.tracing import effective
 
-    rows = d.payments.filter("cust % 10 = 0").select(F.col("cust").alias("trace"), "id", "amount")
+    rows = payments.select(F.col("cust").alias("trace"), "id", "amount")
     kept = effective(rows, rows.filter("id % 7 = 0"), "id").groupBy("trace").agg(F.count(F.lit(1)).alias("edges"), F.sum("amount").alias("amount"))
     return rows.select("trace").distinct().join(kept, "trace", "left").select("trace", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"), "amount")
 

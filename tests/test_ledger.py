@@ -1,5 +1,7 @@
 """Golden values and every registered query against its SQL on the smallest tables."""
 
+import hashlib
+from collections import Counter
 from decimal import Decimal
 
 import duckdb
@@ -13,6 +15,7 @@ from ledgerloom.operators import merges as m
 from ledgerloom.operators import movements as mv
 from ledgerloom.operators import tracing as t
 from ledgerloom.operators.components import connected_components
+from ledgerloom.plans.fixtures import Ledger
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations events orders lineitem customer supplier part nation region".split()
@@ -93,3 +96,52 @@ def test_rollup_keeps_individual_edges(spark):
     df = spark.createDataFrame(rows, "id long, source string, target string, asset string, amount long, value_e4 long, finality string, source_name string, annotated boolean")
     out = {r["underlying"]: r for r in mv.rollup_parallel(df, F.col("annotated")).collect()}
     assert out["1,2"]["amount"] == 30 and out["1,2"]["finality"] == "provisional" and out["1,2"]["no_price"] == 1 and out["3"]["count"] == 1
+
+
+def union_find(groups):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for group in groups:
+        for x in group[1:]:
+            a, b = sorted((find(group[0]), find(x)))
+            root[b] = a
+    return {x: find(x) for x in list(root)}
+
+
+def members(rows, key, member):
+    out = {}
+    for r in rows:
+        out.setdefault(r[key], []).append(r[member])
+    return list(out.values())
+
+
+def test_clusters_of_all_transactions(spark):
+    d = Ledger(spark, DATA)
+    want = union_find(members(d.tx_output.select("tx_id", "address").collect(), "tx_id", "address"))
+    rows = lambda name: plans.QUERIES[name](spark, DATA).collect()
+    assert {r["node"]: r["component"] for r in rows("grf_01_all")} == want
+    assert {r["address"]: r["cluster"] for r in rows("grf_02_all")} == want
+    assert {r["address"]: r["entity_id"] for r in rows("grf_17_all")} == {k: hashlib.sha256(f"run-1|{v}".encode()).hexdigest() for k, v in want.items()}
+    assert {x: r["cluster"] for r in rows("agg_12_all") for x in r["members"].split(",")} == {k: v for k, v in want.items() if list(want.values()).count(v) > 1}
+
+
+def test_change_clusters_of_all_transactions(spark):
+    d = Ledger(spark, DATA)
+    single = {(r["tx_id"], r["heuristic"]): r["id"] for r in plans.QUERIES["grf_12"](spark, DATA).collect()}
+    votes = Counter((tx, i) for (tx, _), i in single.items())
+    change = {}
+    for (tx, i), n in votes.items():
+        if n >= 2:
+            change.setdefault(tx, []).append((i, n))
+    address = {r["id"]: r["address"] for r in d.tx_output.collect()}
+    groups = {tx: [address[x[0][0]]] for tx, x in change.items() if len(x) == 1}
+    for r in d.tx_input.collect():
+        if r["tx_id"] in groups:
+            groups[r["tx_id"]].append(r["address"])
+    want = union_find([g for g in groups.values() if len(set(g)) > 1])
+    assert {r["address"]: r["cluster"] for r in plans.QUERIES["grf_13_all"](spark, DATA).collect()} == want
