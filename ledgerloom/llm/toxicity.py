@@ -17,8 +17,10 @@ from ._common import arrow_batches, id_text, read, table
 TOXIC_DOCS, ORDINARY_DOCS = 3_000, 9_000
 #: Kneser-Ney discount.
 DISCOUNT = 0.75
-#: An expression is rare below this share of the toxic training documents (three documents at least).
-RARE = 1 / 55
+#: An expression is rare below this many training documents, at any size of the sample.
+RARE = 2
+#: Bands of evidence, by powers of two of the training documents that have an expression; each has a slope of its own.
+BANDS = 10
 
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -37,29 +39,37 @@ class KneserNey:
     follow: np.ndarray
     pairs: np.ndarray
     pair: np.ndarray
-    slope: float = 1.0
+    word_band: np.ndarray
+    follow_band: np.ndarray
+    pair_band: np.ndarray
+    slopes: np.ndarray
     offset: float = 0.0
 
-    def ratio(self, text: str) -> float:
-        """Mean log-likelihood ratio of the words of a text; 0 for a text without words."""
+    def parts(self, text: str) -> np.ndarray:
+        """Mean log-likelihood ratio of the words of a text as a sum of parts by kind and band of evidence; 0 without words."""
         ws = words(text)
         if not ws:
-            return 0.0
+            return np.zeros(3 * BANDS)
         get = self.ids.get
         at = np.fromiter((get(w, 0) for w in ws), np.int64, len(ws))
         before = np.concatenate([[1], at[:-1]])
-        out = self.word[at] + self.follow[before]
+        out, back, band = self.word[at], self.follow[before], self.word_band[at]
         if len(self.pairs):
             keys = before * len(self.word) + at
             spot = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            out = np.where(self.pairs[spot] == keys, self.pair[spot], out)
-        return float(out.mean())
+            own = self.pairs[spot] == keys
+            out, back, band = np.where(own, self.pair[spot], out), np.where(own, 0.0, back), np.where(own, self.pair_band[spot], band)
+        return (np.bincount(band, out, 3 * BANDS) + np.bincount(self.follow_band[before], back, 3 * BANDS)) / len(ws)
 
     def score(self, texts) -> np.ndarray:
-        z = self.offset + self.slope * np.array([self.ratio(t) for t in texts], float)
+        z = self.offset + np.array([self.parts(t) for t in texts], float).reshape(-1, 3 * BANDS) @ self.slopes
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _band(n: np.ndarray, kind: int) -> np.ndarray:
+    return kind * BANDS + np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), BANDS - 1)
+
+
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each document's distinct words (before = null) and bigrams; an empty string stands before the first word."""
     for batch in batches:
@@ -69,11 +79,39 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(found, columns=["before", "word"]).assign(toxic=toxic, tuning=tuning)
 
 
-def fit_kneser_ney(grams: DataFrame, toxic: str, ordinary: str, rare: int) -> KneserNey:
+def continuations(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str | None, int]:
+    """The number of distinct bigrams of all documents that end in each word; those that end in other words are under None.
+
+    A bigram is a 64-bit hash. Words and bigrams are those of `_grams`; the distinct ones are left to Spark.
+    """
+    ids = {w: i + 1 for i, w in enumerate(vocabulary)}
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lists = [words(t) for t in batch["text"]]
+            codes, unique = pd.factorize(np.array([w for ws in lists for w in ("", *ws)], dtype=object))
+            if not len(codes):
+                continue
+            hashed = pd.util.hash_array(unique)
+            known = np.fromiter((ids.get(w, 0) for w in unique), np.int32, len(unique))
+            real = np.array([w != "" for w in unique])[codes[1:]]
+            before, word = codes[:-1][real], codes[1:][real]
+            x = hashed[before] * np.uint64(0x9E3779B97F4A7C15) + hashed[word]
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            keys, first = np.unique(x ^ (x >> np.uint64(29)), return_index=True)
+            yield pd.DataFrame({"pair": keys.astype(np.int64), "word": known[word[first]]})
+
+    arrow_batches(docs.sparkSession)
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = texts.mapInPandas(pairs, "pair long, word int").distinct().groupBy("word").count().collect()
+    return {vocabulary[r["word"] - 1] if r["word"] else None: r["count"] for r in found}
+
+
+def fit_kneser_ney(grams: DataFrame, toxic: str, ordinary: str, ends: dict[str | None, int], rare: int = RARE) -> KneserNey:
     """Fits both models on counts of documents by (before, word).
 
     P_c(w|h) = max(n_c(h,w) - D, 0)/n_c(h) + b_c(h) P_c(w), and P_c(w) = max(n_c(w) - D, 0)/N_c + b_c P(w), where P(w) is the
-    share of distinct bigrams that end in w, counted over both classes together. Words and bigrams found in fewer than
+    share of distinct bigrams that end in w, as counted in `ends`. Words and bigrams found in fewer than
     `rare` documents have no counts of their own: rare words are one word, rare bigrams leave all their mass to the backoff.
     What comes to the driver is what is not rare, hence at most training words / rare.
     """
@@ -81,24 +119,24 @@ def fit_kneser_ney(grams: DataFrame, toxic: str, ordinary: str, rare: int) -> Kn
     used = grams.filter(t + o > 0)
     kept = used.filter(F.col("before").isNull() & (t + o >= rare)).select("word")
     seen = used.filter(F.col("before").isNull()).join(F.broadcast(kept.withColumn("own", F.lit(True))), "word", "left")
-    counts = seen.groupBy(F.when(F.col("own"), F.col("word")).alias("word")).agg(F.sum(t).alias("t"), F.sum(o).alias("o")).toPandas()
+    counts = seen.groupBy(F.when(F.col("own"), F.col("word")).alias("word")).agg(F.sum(t).alias("t"), F.sum(o).alias("o")).toArrow().to_pandas()
     pairs = (
         used.filter(F.col("before").isNotNull())
         .join(F.broadcast(kept.withColumn("own", F.lit(True))), "word", "left")
         .join(F.broadcast(kept.select(F.col("word").alias("before"), F.lit(True).alias("own_before"))), "before", "left")
         .withColumn("whole", F.coalesce(F.col("own") & (F.col("own_before") | (F.col("before") == "")) & (t + o >= rare), F.lit(False)))
     )
-    contexts = pairs.groupBy(F.when(F.col("own"), F.col("word")).alias("word")).count().toPandas()
     freed = lambda c: F.sum(F.when(F.col("whole"), F.least(c, F.lit(DISCOUNT))).otherwise(c))
-    history = pairs.filter(F.col("own_before") | (F.col("before") == "")).groupBy("before").agg(F.sum(t).alias("t"), F.sum(o).alias("o"), freed(t).alias("ft"), freed(o).alias("fo")).toPandas()
-    frequent = pairs.filter("whole").select("before", "word", t.alias("t"), o.alias("o")).toPandas()
+    history = pairs.filter(F.col("own_before") | (F.col("before") == "")).groupBy("before").agg(F.sum(t).alias("t"), F.sum(o).alias("o"), freed(t).alias("ft"), freed(o).alias("fo")).toArrow().to_pandas()
+    frequent = pairs.filter("whole").select("before", "word", t.alias("t"), o.alias("o")).toArrow().to_pandas()
 
     vocabulary = sorted(counts["word"].dropna())
     ids = {w: i + 2 for i, w in enumerate(vocabulary)} | {"": 1}
     size = len(vocabulary) + 2
     at = lambda col: np.array([0 if w is None or w != w else ids[w] for w in col], np.int64)
     backoff = np.zeros(size)
-    backoff[at(contexts["word"])] = contexts["count"]
+    for w, n in ends.items():
+        backoff[ids.get(w, 0) if w is not None else 0] += n
     backoff = (backoff + 1e-3) / (backoff + 1e-3).sum()
     p = {}
     for c in ("t", "o"):
@@ -119,20 +157,33 @@ def fit_kneser_ney(grams: DataFrame, toxic: str, ordinary: str, rare: int) -> Kn
     keys = b * size + w
     order = np.argsort(keys)
     del ids[""]
-    return KneserNey(ids, word, follow, keys[order], np.log(own["t"] / own["o"])[order])
-
-
-def calibrate(ratio: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a weighted logistic regression on the ratio, slightly regularised; the slope is not negative."""
-    x = np.stack([ratio / (scale := max(float(np.std(ratio)), 1e-6)), np.ones_like(ratio)], 1)
-    beta = np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([1e-2, 1e-4]), x.T @ (weight * (toxic - p)) - np.array([1e-2, 1e-4]) * beta)
-        beta = beta + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+    n = np.zeros(size)
+    n[at(counts["word"])] = counts["t"] + counts["o"]
+    bands = _band(n, 0), _band(total["t"] + total["o"], 1), _band((frequent["t"] + frequent["o"]).to_numpy(float)[order], 2)
+    return KneserNey(ids, word, follow, keys[order], np.log(own["t"] / own["o"])[order], *bands, np.ones(3 * BANDS))
+
+
+def calibrate(parts: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and offset of a weighted, regularised logistic regression on the parts of the ratio; slopes are not negative.
+
+    So the labels say how far each amount of evidence can be trusted, and no count has to be dropped as noise.
+    """
+    spread = parts.std(0)
+    used, slopes = np.flatnonzero(spread > 1e-9), np.zeros(parts.shape[1])
+    while True:
+        x = np.column_stack([(parts[:, used]) / spread[used], np.ones(len(parts))])
+        ridge, beta = np.array([0.1] * len(used) + [1e-4]), np.zeros(len(used) + 1)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (weight * (toxic - p)) - ridge * beta)
+            beta = beta + np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-8:
+                break
+        if (beta[:-1] >= 0).all():
             break
-    return max(float(beta[0]) / scale, 0.0), float(beta[1])
+        used = used[beta[:-1] > 0]
+    slopes[used] = beta[:-1] / spread[used]
+    return slopes, float(beta[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> KneserNey | float:
@@ -140,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Of each class the documents that come first by a hash of the id are taken, up to TOXIC_DOCS and ORDINARY_DOCS; this
     bound holds at any corpus size, so their ids may be broadcast. Equal texts of a class count once. A fifth of them
-    calibrates: the ratio there, under models of the other four fifths, is fitted to the labels by logistic regression,
+    calibrates: the parts of the ratio there, under models of the other four fifths, are fitted to the labels by logistic regression,
     weighted to the classes' shares among all labels.
     """
     remainder = F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
@@ -163,21 +214,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         "toxicity-grams",
     )
     n = {(r["toxic"], r["tuning"]): r["count"] for r in sample.groupBy("toxic", "tuning").count().collect()}
-    fit, all_ = n.get((1, 0), 0), n.get((1, 0), 0) + n.get((1, 1), 0)
-    if not fit or not n.get((0, 0)) or not all_:
+    if not n.get((1, 0)) or not n.get((0, 0)):
         return shares[1] / sum(shares.values())
-    model = fit_kneser_ney(grams, "toxic", "ordinary", max(3, round(all_ * RARE)))
-    trial = fit_kneser_ney(grams, "toxic_fit", "ordinary_fit", max(3, round(fit * RARE)))
+    vocabulary = sorted(r["word"] for r in grams.filter(F.col("before").isNull() & (F.col("toxic") + F.col("ordinary") >= RARE)).select("word").collect())
+    ends = continuations(docs, vocabulary, text_col)
+    model = fit_kneser_ney(grams, "toxic", "ordinary", ends)
+    trial = fit_kneser_ney(grams, "toxic_fit", "ordinary_fit", ends)
 
     def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"toxic": b["toxic"], "ratio": [trial.ratio(t) for t in b["text"]]})
+            yield pd.DataFrame({"toxic": b["toxic"], "parts": [trial.parts(t) for t in b["text"]]})
 
-    tuned = sample.filter("tuning = 1").mapInPandas(ratios, "toxic int, ratio double").toPandas()
+    tuned = sample.filter("tuning = 1").mapInPandas(ratios, "toxic int, parts array<double>").toArrow().to_pandas()
     if tuned["toxic"].nunique() == 2:
         y = tuned["toxic"].to_numpy(float)
         share = np.where(y == 1, shares[1] / max(1, (y == 1).sum()), shares[0] / max(1, (y == 0).sum()))
-        model.slope, model.offset = calibrate(tuned["ratio"].to_numpy(float), y, share * len(y) / share.sum())
+        model.slopes, model.offset = calibrate(np.stack(tuned["parts"]), y, share * len(y) / share.sum())
     return model
 
 
@@ -185,7 +237,7 @@ def score_toxicity(docs: DataFrame, model: KneserNey | float, id_col: str = "doc
     """One row per input row: doc_id, held_out, score, predicted. Only the text decides the score.
 
     The text's words are scored by both models; the difference of the log-likelihoods, divided by the number of words, is
-    turned to a probability. The model's size is bounded by the training sample. Nothing is shuffled. Null and empty
+    turned to a probability. The model has every expression of RARE training documents or more. Nothing is shuffled. Null and empty
     texts, and texts without letters, have ratio 0 and the score that belongs to it; held_out is false for a null id;
     repeated rows and an empty table give what is to be expected; other columns are ignored.
     """

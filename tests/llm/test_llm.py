@@ -246,6 +246,25 @@ def test_toxicity(spark, awkward, empty):
     assert toxicity.train(docs, labels.filter("toxic = 0")) == 0.0 and toxicity.train(empty, labels.filter("false")) == 0.0
 
 
+def test_toxicity_keeps_few_documents_expressions(spark):
+    """Two documents of a large sample are enough for a word to count, and unlabelled documents count for continuations."""
+    rng = random.Random(2)
+    plain = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    rows = [(i, " ".join([rng.choice(plain) for _ in range(30)] + (["vile"] if i % 4 == 0 else [])), int(i % 4 == 0)) for i in range(800)]
+    train = [i for i in range(800) if i % 4 == 0 and zlib.crc32(str(i).encode()) % 5 > 1][:3]
+    rows = [(i, t + " scumword" if i in train else t, y) for i, t, y in rows]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(table.select("doc_id", "text"), table.select("doc_id", F.lit(1).alias("quality"), "toxic"))
+    assert "scumword" in model.ids and model.word[model.ids["scumword"]] > 0
+    texts = [t for _, t, _ in rows] + ["", "Zz yy zz"]
+    want = {}
+    for t in texts:
+        for pair in zip(["", *toxicity.words(t)], toxicity.words(t)):
+            want.setdefault(pair[1] if pair[1] in model.ids else None, set()).add(pair)
+    got = toxicity.continuations(spark.createDataFrame([(t,) for t in texts], "text string"), sorted(model.ids))
+    assert got == {k: len(v) for k, v in want.items()}
+
+
 def test_quality(spark, awkward, empty):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = quality.train(docs, labels)
