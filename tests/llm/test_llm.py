@@ -68,6 +68,26 @@ def test_near_duplicates_brute_force(docs):
             assert any(near_dedup.similar(texts[a], texts[b]) or texts[a] == texts[b] for b in ids if b != a and got[b] == got[a])
 
 
+def test_near_duplicates_chain_and_shared_passage(spark):
+    """In one bucket: a chain whose third text is unlike the first, and a passage that unlike texts share."""
+    passage, texts = [f"p{j}" for j in range(40)], {}
+    for k in range(30):
+        a = [f"a{k}x{j}" for j in range(60)]
+        b = [f"b{k}x{j}" for j in range(9)] + a[9:]
+        c = b[:51] + [f"c{k}x{j}" for j in range(9)]
+        own = passage + [f"o{k}x{j}" for j in range(30)]
+        near = own[:]
+        near[45:55] = [f"n{k}x{j}" for j in range(45, 55)]
+        texts |= {10 * k + 1: a, 10 * k + 2: b, 10 * k + 3: c, 10 * k + 4: own, 10 * k + 5: near}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    ids = sorted(texts)
+    alike = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if near_dedup.similar(texts[a], texts[b])]
+    assert (1, 3) not in alike and (2, 3) in alike and len(alike) == 90
+    missed = [p for p in alike if got[p[0]] != got[p[1]]]
+    assert not missed and len(set(got.values())) == 60, missed
+
+
 def test_near_duplicates_awkward(awkward, empty):
     rows = near_dedup.near_duplicates(awkward).collect()
     assert len(rows) == 9
