@@ -88,6 +88,26 @@ def test_near_duplicates_chain_and_shared_passage(spark):
     assert not missed and len(set(got.values())) == 60, missed
 
 
+def test_near_duplicates_share_keys():
+    """Pairs of similarity 0.8, the least there is: all short ones and nearly all long ones become candidates."""
+    rng = np.random.default_rng(6)
+    share = {}
+    with np.errstate(over="ignore"):
+        for size in (*range(5, near_dedup.SHORT + 1), 60, 200):
+            hits = 0
+            for _ in range(200):
+                a = rng.integers(1, 2**62, size).astype(np.uint64)
+                b, edits = a.copy(), int(0.2 * size + 1e-9)
+                at = rng.choice(size, edits, replace=False)
+                b[at] = rng.integers(1, 2**62, edits).astype(np.uint64)
+                if rng.random() < 0.5:
+                    b = np.delete(b, at)
+                hits += bool(set(near_dedup.text_keys(a).tolist()) & set(near_dedup.text_keys(b).tolist()))
+            share[size] = hits / 200
+    assert all(x == 1 for n, x in share.items() if n <= near_dedup.SHORT), share
+    assert share[60] >= 0.95 and share[200] >= 0.97, share
+
+
 def test_near_duplicates_awkward(awkward, empty):
     rows = near_dedup.near_duplicates(awkward).collect()
     assert len(rows) == 9
