@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import table
+from ..scratch import discard, table
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,8 +27,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """node, component for every node that occurs in an edge; component is the least node id of the component.
 
     Nodes may be of any orderable type. Each round is two joins and four aggregations with map-side combine; the number of
-    rounds is logarithmic in the size of a component in practice. A round ends in a table in the shared folder; only the
-    count and a checksum of the edges come to the driver. Null ends, loops and repeated edges are allowed: a loop gives
+    rounds is logarithmic in the size of a component in practice. A round ends in a table in the shared folder, and the one
+    before is removed; only the count and a checksum of the edges come to the driver. Null ends, loops and repeated edges are allowed: a loop gives
     its node a component, an edge with a null end counts as a loop on the other end.
     """
     raw = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
@@ -40,6 +40,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if mark == before:
             break
         before = mark
-        links = table(_star(_star(links, True), False), "stars")
+        links, old = table(_star(_star(links, True), False), "stars"), links
+        discard(old)
     roots = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
