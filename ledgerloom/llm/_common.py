@@ -1,25 +1,29 @@
-"""What the corpus operators share: reading, column selection and Arrow batch sizes."""
+"""What the corpus operators share: reading, column selection and the size of batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import table
+from ..scratch import bucketed, table
 
-__all__ = ["ARROW_ROWS", "arrow_batches", "id_text", "read", "table"]
+__all__ = ["ROWS_PER_CALL", "bucketed", "id_text", "in_calls", "read", "table"]
 
-#: Rows in one Arrow batch. A batch of very long documents must fit a Python worker.
-ARROW_ROWS = 256
+#: Rows that a Python function works on at once; their arrays must fit a worker, while Spark bounds the batches it sends.
+ROWS_PER_CALL = 256
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds the rows of the batches that Spark hands to Python functions."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def in_calls(batch: pd.DataFrame, rows: int = ROWS_PER_CALL) -> Iterator[pd.DataFrame]:
+    """The batch in slices; the session's batch size stays as the user has set it."""
+    for i in range(0, len(batch), rows):
+        yield batch.iloc[i : i + rows].reset_index(drop=True)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
