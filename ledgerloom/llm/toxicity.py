@@ -11,16 +11,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_batches, id_text, read, table
+from ._common import ROWS_PER_CALL, id_text, in_calls, read, table
 
 #: Labelled documents that the models are fitted on, at most, for each class. A document counts once.
 TOXIC_DOCS, ORDINARY_DOCS = 3_000, 9_000
-#: Kneser-Ney discount.
-DISCOUNT = 0.75
-#: An expression is rare below this many training documents, at any size of the sample.
-RARE = 2
-#: Bands of evidence, by powers of two of the training documents that have an expression; each has a slope of its own.
-BANDS = 10
+#: Cells that the ratio is told apart by: bands of evidence (powers of two of the training documents that have an expression) and bounds of the ratio's size.
+BANDS, SIZES = 8, (0.5, 1.5)
+CELLS = BANDS * (len(SIZES) + 1)
+#: Ridge of the calibration.
+RIDGE = 1.0
+#: Stands before the first word of a text.
+START = np.int64(-1)
 
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -30,150 +31,188 @@ def words(text: str) -> list[str]:
     return _words(text.lower())
 
 
+def hashed_words(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all texts in a row: the text's number, the word's 64-bit hash, and the hash of the word before (START for the first)."""
+    lists = [words(t) for t in texts]
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    codes, unique = pd.factorize(np.array([w for ws in lists for w in ws], dtype=object))
+    word = pd.util.hash_array(unique, categorize=False).view(np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
+    before = np.concatenate([[START], word[:-1]])[: len(word)]
+    starts = np.cumsum(n) - n
+    before[starts[n > 0]] = START
+    return np.repeat(np.arange(len(lists)), n), word, before
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x.view(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts of counts 0, 1, 2 and more, estimated from the counts of counts (Chen and Goodman, 1999)."""
+    n1, n2, n3, n4 = (max(1, int((counts == i).sum())) for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.1, 0.1, 0.1], [0, 0.99, 1.99, 2.99])
+
+
+@dataclass
+class Grams:
+    """Numbers of training documents by word (sorted hashes) and by bigram (places of its two words; the number of words stands for START)."""
+
+    words: np.ndarray
+    word_counts: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    pair_counts: np.ndarray
+
+
 @dataclass
 class KneserNey:
-    """Log-likelihood ratios (toxic over ordinary) by word, by following on a word, and by frequent bigram."""
+    """Both models as arrays over the training words and bigrams, by sorted hash.
 
-    ids: dict[str, int]
+    P_c(w|h) = (n_c(h,w) - D)/n_c(h) + b_c(h) P_c(w) and P_c(w) = (n_c(w) - D)/N_c + b_c P(w), where P(w) is the share of
+    the distinct bigrams of all documents that end in w, and D and b are the class's own. Kept are log-ratios toxic over
+    ordinary: of each word, of the backoff weight of each history, and what a bigram adds to its word's.
+    """
+
+    words: np.ndarray
     word: np.ndarray
+    word_cell: np.ndarray
     follow: np.ndarray
+    follow_cell: np.ndarray
     pairs: np.ndarray
     pair: np.ndarray
-    word_band: np.ndarray
-    follow_band: np.ndarray
-    pair_band: np.ndarray
+    pair_cell: np.ndarray
     slopes: np.ndarray
     offset: float = 0.0
 
-    def parts(self, text: str) -> np.ndarray:
-        """Mean log-likelihood ratio of the words of a text as a sum of parts by kind and band of evidence; 0 without words."""
-        ws = words(text)
-        if not ws:
-            return np.zeros(3 * BANDS)
-        get = self.ids.get
-        at = np.fromiter((get(w, 0) for w in ws), np.int64, len(ws))
-        before = np.concatenate([[1], at[:-1]])
-        out, back, band = self.word[at], self.follow[before], self.word_band[at]
-        if len(self.pairs):
-            keys = before * len(self.word) + at
-            spot = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            own = self.pairs[spot] == keys
-            out, back, band = np.where(own, self.pair[spot], out), np.where(own, 0.0, back), np.where(own, self.pair_band[spot], band)
-        return (np.bincount(band, out, 3 * BANDS) + np.bincount(self.follow_band[before], back, 3 * BANDS)) / len(ws)
+    @classmethod
+    def fit(cls, grams: Grams, ends: np.ndarray, toxic: int, ordinary: int) -> KneserNey:
+        """Fits on two columns of the counts. ends: distinct bigrams of all documents by the word they end in, last those of unknown words.
+
+        The last entry of each array over words stands for a word that no training document has; a history that none has
+        backs off alike in both models.
+        """
+        size = len(grams.words)
+        share = (ends + 0.5) / (ends + 0.5).sum()
+        first, second = grams.before.astype(np.int64), grams.after.astype(np.int64)
+        log_word, log_follow, log_pair = 0.0, 0.0, 0.0
+        for sign, c in ((1, toxic), (-1, ordinary)):
+            n, m = np.append(grams.word_counts[:, c], 0).astype(float), grams.pair_counts[:, c].astype(float)
+            d1, d2 = discounts(n), discounts(m)
+            cut, cut2 = d1[np.minimum(n, 3).astype(int)], d2[np.minimum(m, 3).astype(int)]
+            p = (n - cut + cut.sum() * share) / n.sum()
+            history = np.bincount(first, m, size + 1)
+            weight = np.where(history > 0, np.bincount(first, cut2, size + 1) / np.maximum(history, 1), 1.0)
+            own = np.where(history[first] > 0, (m - cut2) / np.maximum(history[first], 1), 0.0) + weight[first] * p[second]
+            log_word, log_follow, log_pair = log_word + sign * np.log(p), log_follow + sign * np.log(weight), log_pair + sign * np.log(own)
+        both = lambda x: x[:, toxic].astype(float) + x[:, ordinary]
+        n, m = np.append(both(grams.word_counts), 0), both(grams.pair_counts)
+        log_pair = np.where(m > 0, log_pair - log_word[second], log_follow[first])
+        keys = _mix(first * np.int64(size + 1) + second)
+        order = np.argsort(keys)
+        cells = lambda kind, ratio, n: (kind * CELLS + np.searchsorted(SIZES, np.abs(ratio), "right") * BANDS + np.minimum(np.log2(np.maximum(n, 1)).astype(int), BANDS - 1)).astype(np.uint8)
+        word_cell, follow_cell, pair_cell = cells(0, log_word, n), cells(1, log_follow, np.bincount(first, m, size + 1)), cells(2, log_pair, m)
+        small = lambda x: x.astype(np.float32)
+        return cls(grams.words, small(log_word), word_cell, small(log_follow), follow_cell, keys[order], small(log_pair[order]), pair_cell[order], np.ones(3 * CELLS))
+
+    def parts(self, texts) -> np.ndarray:
+        """For each text the mean log-likelihood ratio of its words, as a sum of parts by cell; 0 without words."""
+        doc, word, before = hashed_words(texts)
+        size, count = len(self.words), len(texts)
+        place = lambda x: np.where(self.words[spot := np.minimum(np.searchsorted(self.words, x), size - 1)] == x, spot, size)
+        w, h = place(word), place(before)
+        keys = _mix(h * np.int64(size + 1) + w)
+        spot = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        # the history of a first word has the place of an unknown word: no bigram starts with an unknown word
+        known = (self.pairs[spot] == keys) & ((h < size) | (before == START))
+        add = np.where(known, self.pair[spot], np.where((h < size) | (before == START), self.follow[h], 0))
+        cell = np.where(known, self.pair_cell[spot], self.follow_cell[h])
+        flat = np.bincount(doc * 3 * CELLS + self.word_cell[w], self.word[w], count * 3 * CELLS) + np.bincount(doc * 3 * CELLS + cell, add, count * 3 * CELLS)
+        return flat.reshape(count, 3 * CELLS) / np.maximum(np.bincount(doc, minlength=count), 1)[:, None]
 
     def score(self, texts) -> np.ndarray:
-        z = self.offset + np.array([self.parts(t) for t in texts], float).reshape(-1, 3 * BANDS) @ self.slopes
+        z = self.offset + self.parts(texts) @ self.slopes if len(texts) else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _band(n: np.ndarray, kind: int) -> np.ndarray:
-    return kind * BANDS + np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), BANDS - 1)
-
+def _gram_counts(sample: DataFrame) -> Grams:
+    """Counts of documents by word and bigram in four columns: toxic, ordinary, and both without the calibrating fifth.
 
-def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each document's distinct words (before = null) and bigrams; an empty string stands before the first word."""
-    for batch in batches:
-        for text, toxic, tuning in zip(batch["text"], batch["toxic"], batch["tuning"]):
-            ws = words(text)
-            found = [(None, w) for w in set(ws)] + list(set(zip(["", *ws[:-1]], ws)))
-            yield pd.DataFrame(found, columns=["before", "word"]).assign(toxic=toxic, tuning=tuning)
-
-
-def continuations(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str | None, int]:
-    """The number of distinct bigrams of all documents that end in each word; those that end in other words are under None.
+    First words, then bigrams as pairs of places in the vocabulary. The four counts travel in one long, 16 bits each,
+    which holds for samples of fewer than 32,768 documents. Spark adds up; to the driver comes what the bounded sample has.
+    """
 
-    A bigram is a 64-bit hash. Words and bigrams are those of `_grams`; the distinct ones are left to Spark.
+    def grams(vocabulary: np.ndarray | None):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in (p for batch in batches for p in in_calls(batch)):
+                doc, word, before = hashed_words(part["text"])
+                if vocabulary is None:
+                    gram = word
+                else:
+                    first = np.where(before == START, len(vocabulary), np.searchsorted(vocabulary, before))
+                    gram = (first << np.int64(32)) | np.searchsorted(vocabulary, word)
+                order = np.lexsort((doc, gram))
+                gram, doc = gram[order], doc[order]
+                once = np.append(True, (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])) if len(gram) else np.zeros(0, bool)
+                kind = (part["toxic"].to_numpy() == 0) * 1 + (part["tuning"].to_numpy() == 1) * 2
+                marks = np.array([1 + (1 << 32), (1 << 16) + (1 << 48), 1, 1 << 16])  # toxic, ordinary, and the same of the calibrating fifth
+                yield pd.DataFrame({"gram": gram[once], "n": marks[kind[doc[once]]]})
+
+        found = sample.select("text", "toxic", "tuning").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+        gram, n = found["gram"].to_numpy(), found["n"].to_numpy()
+        order = np.argsort(gram)
+        return gram[order], np.stack([(n[order] >> (16 * i)) & 0xFFFF for i in range(4)], 1).astype(np.int32)
+
+    words, word_counts = grams(None)
+    pairs, pair_counts = grams(words)
+    return Grams(words, word_counts, (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), pair_counts)
+
+
+def continuations(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text") -> np.ndarray:
+    """The number of distinct bigrams of all documents that end in each word of the sorted vocabulary; last, those that end in other words.
+
+    A bigram travels as one long: the place of its word, and 40 bits of a hash of its two words. Tasks set aside what they
+    have met already, as far as a table of bounded size goes; the distinct ones are left to Spark.
     """
-    ids = {w: i + 1 for i, w in enumerate(vocabulary)}
+    size = len(vocabulary)
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
         for batch in batches:
-            lists = [words(t) for t in batch["text"]]
-            codes, unique = pd.factorize(np.array([w for ws in lists for w in ("", *ws)], dtype=object))
-            if not len(codes):
-                continue
-            hashed = pd.util.hash_array(unique)
-            known = np.fromiter((ids.get(w, 0) for w in unique), np.int32, len(unique))
-            real = np.array([w != "" for w in unique])[codes[1:]]
-            before, word = codes[:-1][real], codes[1:][real]
-            x = hashed[before] * np.uint64(0x9E3779B97F4A7C15) + hashed[word]
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            keys, first = np.unique(x ^ (x >> np.uint64(29)), return_index=True)
-            yield pd.DataFrame({"pair": keys.astype(np.int64), "word": known[word[first]]})
-
-    arrow_batches(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = texts.mapInPandas(pairs, "pair long, word int").distinct().groupBy("word").count().collect()
-    return {vocabulary[r["word"] - 1] if r["word"] else None: r["count"] for r in found}
-
-
-def fit_kneser_ney(grams: DataFrame, toxic: str, ordinary: str, ends: dict[str | None, int], rare: int = RARE) -> KneserNey:
-    """Fits both models on counts of documents by (before, word).
+            for part in in_calls(batch):
+                _, word, before = hashed_words(part["text"])
+                spot = np.minimum(np.searchsorted(vocabulary, word), max(size - 1, 0))
+                place = np.where(vocabulary[spot] == word, spot, size) if size else np.zeros(len(word), np.int64)
+                with np.errstate(over="ignore"):
+                    mark = _mix(_mix(before) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)) >> np.uint64(24)
+                held.append(np.unique((place.astype(np.uint64) << np.uint64(40)) | mark))
+                rows += len(held[-1])
+                if rows > 2_000_000:
+                    yield pd.DataFrame({"pair": np.unique(np.concatenate(held)).view(np.int64)})
+                    held, rows = [], 0
+        if held:
+            yield pd.DataFrame({"pair": np.unique(np.concatenate(held)).view(np.int64)})
 
-    P_c(w|h) = max(n_c(h,w) - D, 0)/n_c(h) + b_c(h) P_c(w), and P_c(w) = max(n_c(w) - D, 0)/N_c + b_c P(w), where P(w) is the
-    share of distinct bigrams that end in w, as counted in `ends`. Words and bigrams found in fewer than
-    `rare` documents have no counts of their own: rare words are one word, rare bigrams leave all their mass to the backoff.
-    What comes to the driver is what is not rare, hence at most training words / rare.
-    """
-    t, o = F.col(toxic), F.col(ordinary)
-    used = grams.filter(t + o > 0)
-    kept = used.filter(F.col("before").isNull() & (t + o >= rare)).select("word")
-    seen = used.filter(F.col("before").isNull()).join(F.broadcast(kept.withColumn("own", F.lit(True))), "word", "left")
-    counts = seen.groupBy(F.when(F.col("own"), F.col("word")).alias("word")).agg(F.sum(t).alias("t"), F.sum(o).alias("o")).toArrow().to_pandas()
-    pairs = (
-        used.filter(F.col("before").isNotNull())
-        .join(F.broadcast(kept.withColumn("own", F.lit(True))), "word", "left")
-        .join(F.broadcast(kept.select(F.col("word").alias("before"), F.lit(True).alias("own_before"))), "before", "left")
-        .withColumn("whole", F.coalesce(F.col("own") & (F.col("own_before") | (F.col("before") == "")) & (t + o >= rare), F.lit(False)))
-    )
-    freed = lambda c: F.sum(F.when(F.col("whole"), F.least(c, F.lit(DISCOUNT))).otherwise(c))
-    history = pairs.filter(F.col("own_before") | (F.col("before") == "")).groupBy("before").agg(F.sum(t).alias("t"), F.sum(o).alias("o"), freed(t).alias("ft"), freed(o).alias("fo")).toArrow().to_pandas()
-    frequent = pairs.filter("whole").select("before", "word", t.alias("t"), o.alias("o")).toArrow().to_pandas()
-
-    vocabulary = sorted(counts["word"].dropna())
-    ids = {w: i + 2 for i, w in enumerate(vocabulary)} | {"": 1}
-    size = len(vocabulary) + 2
-    at = lambda col: np.array([0 if w is None or w != w else ids[w] for w in col], np.int64)
-    backoff = np.zeros(size)
-    for w, n in ends.items():
-        backoff[ids.get(w, 0) if w is not None else 0] += n
-    backoff = (backoff + 1e-3) / (backoff + 1e-3).sum()
-    p = {}
-    for c in ("t", "o"):
-        n = np.zeros(size)
-        n[at(counts["word"])] = counts[c]
-        p[c] = (np.maximum(n - DISCOUNT, 0) + np.minimum(n, DISCOUNT).sum() * backoff) / n.sum()
-    word = np.log(p["t"] / p["o"])
-    word[1] = 0
-    total, free = {c: np.zeros(size) for c in "to"}, {c: np.zeros(size) for c in "to"}
-    for c in "to":
-        total[c][at(history["before"])] = history[c]
-        free[c][at(history["before"])] = history[f"f{c}"]
-    weight = {c: np.where(total[c] > 0, np.maximum(free[c], DISCOUNT) / np.maximum(total[c], DISCOUNT), 1.0) for c in "to"}
-    follow = np.log(weight["t"] / weight["o"])
-    follow[0] = 0
-    b, w = at(frequent["before"]), at(frequent["word"])
-    own = {c: np.maximum(frequent[c].to_numpy(float) - DISCOUNT, 0) / np.maximum(total[c][b], 1) + weight[c][b] * p[c][w] for c in "to"}
-    keys = b * size + w
-    order = np.argsort(keys)
-    del ids[""]
-    n = np.zeros(size)
-    n[at(counts["word"])] = counts["t"] + counts["o"]
-    bands = _band(n, 0), _band(total["t"] + total["o"], 1), _band((frequent["t"] + frequent["o"]).to_numpy(float)[order], 2)
-    return KneserNey(ids, word, follow, keys[order], np.log(own["t"] / own["o"])[order], *bands, np.ones(3 * BANDS))
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = texts.mapInPandas(pairs, "pair long").distinct().groupBy(F.shiftrightunsigned("pair", 40).alias("word")).count().toArrow()
+    out = np.zeros(size + 1)
+    out[found["word"].to_numpy()] = found["count"].to_numpy()
+    return out
 
 
 def calibrate(parts: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """Slopes and offset of a weighted, regularised logistic regression on the parts of the ratio; slopes are not negative.
 
-    So the labels say how far each amount of evidence can be trusted, and no count has to be dropped as noise.
+    So the labels say how far each size of ratio and amount of evidence can be trusted, and no count has to be dropped as noise.
     """
     spread = parts.std(0)
     used, slopes = np.flatnonzero(spread > 1e-9), np.zeros(parts.shape[1])
     while True:
         x = np.column_stack([(parts[:, used]) / spread[used], np.ones(len(parts))])
-        ridge, beta = np.array([0.1] * len(used) + [1e-4]), np.zeros(len(used) + 1)
-        for _ in range(50):
+        ridge, beta = np.array([RIDGE] * len(used) + [1e-4]), np.zeros(len(used) + 1)
+        for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
             step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (weight * (toxic - p)) - ridge * beta)
             beta = beta + np.clip(step, -2, 2)
@@ -190,12 +229,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Models fitted on labelled documents whose crc32(doc_id as text) mod 5 is not 0; a fixed score if a class has none.
 
     Of each class the documents that come first by a hash of the id are taken, up to TOXIC_DOCS and ORDINARY_DOCS; this
-    bound holds at any corpus size, so their ids may be broadcast. Equal texts of a class count once. A fifth of them
-    calibrates: the parts of the ratio there, under models of the other four fifths, are fitted to the labels by logistic regression,
-    weighted to the classes' shares among all labels.
+    bound holds at any corpus size, so their ids may be broadcast. Every word and bigram of them keeps its counts, however
+    rare; the backoff counts come from all documents. Equal texts of a class count once; an id with both labels takes no
+    part. A fifth of them calibrates: the parts of the ratio there, under models of the other four fifths, are fitted to
+    the labels by logistic regression, weighted to the classes' shares among all labels.
     """
     remainder = F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
-    marked = labels.filter(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & (remainder != 0)).select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
+    marked = (
+        labels.filter(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & (remainder != 0)).groupBy(F.col(id_col).cast("long").alias("doc_id"))
+        .agg(F.min(F.col("toxic").cast("int")).alias("toxic"), F.max(F.col("toxic").cast("int")).alias("most")).filter("toxic = most").drop("most")
+    )
     shares = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     if len(shares) < 2:
         return float(bool(shares.get(1)))
@@ -204,28 +247,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         id_text(docs, id_col, text_col).join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
         .dropDuplicates(["text", "toxic"]).withColumn("tuning", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).cast("int"))
     )
-    arrow_batches(docs.sparkSession)
     sample = table(sample, "toxicity-sample")
-    part = lambda condition: F.count(F.when(condition, 1))
-    toxic, fitting = F.col("toxic") == 1, F.col("tuning") == 0
-    grams = table(
-        sample.select("text", "toxic", "tuning").mapInPandas(_grams, "before string, word string, toxic int, tuning int").groupBy("before", "word")
-        .agg(part(toxic).alias("toxic"), part(~toxic).alias("ordinary"), part(toxic & fitting).alias("toxic_fit"), part(~toxic & fitting).alias("ordinary_fit")),
-        "toxicity-grams",
-    )
     n = {(r["toxic"], r["tuning"]): r["count"] for r in sample.groupBy("toxic", "tuning").count().collect()}
     if not n.get((1, 0)) or not n.get((0, 0)):
         return shares[1] / sum(shares.values())
-    vocabulary = sorted(r["word"] for r in grams.filter(F.col("before").isNull() & (F.col("toxic") + F.col("ordinary") >= RARE)).select("word").collect())
-    ends = continuations(docs, vocabulary, text_col)
-    model = fit_kneser_ney(grams, "toxic", "ordinary", ends)
-    trial = fit_kneser_ney(grams, "toxic_fit", "ordinary_fit", ends)
+    grams = _gram_counts(sample)
+    if not len(grams.words):
+        return shares[1] / sum(shares.values())
+    ends = continuations(docs, grams.words, text_col)
+    trial = docs.sparkSession.sparkContext.broadcast(KneserNey.fit(grams, ends, 2, 3))
 
     def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"toxic": b["toxic"], "parts": [trial.parts(t) for t in b["text"]]})
+            for part in in_calls(b):
+                yield pd.DataFrame({"toxic": part["toxic"], "parts": list(trial.value.parts(part["text"]))})
 
     tuned = sample.filter("tuning = 1").mapInPandas(ratios, "toxic int, parts array<double>").toArrow().to_pandas()
+    trial.unpersist()
+    model = KneserNey.fit(grams, ends, 0, 1)
     if tuned["toxic"].nunique() == 2:
         y = tuned["toxic"].to_numpy(float)
         share = np.where(y == 1, shares[1] / max(1, (y == 1).sum()), shares[0] / max(1, (y == 0).sum()))
@@ -237,23 +276,25 @@ def score_toxicity(docs: DataFrame, model: KneserNey | float, id_col: str = "doc
     """One row per input row: doc_id, held_out, score, predicted. Only the text decides the score.
 
     The text's words are scored by both models; the difference of the log-likelihoods, divided by the number of words, is
-    turned to a probability. The model has every expression of RARE training documents or more. Nothing is shuffled. Null and empty
+    turned to a probability. The model has every expression of the training documents. Nothing is shuffled. Null and empty
     texts, and texts without letters, have ratio 0 and the score that belongs to it; held_out is false for a null id;
     repeated rows and an empty table give what is to be expected; other columns are ignored.
     """
-    arrow_batches(docs.sparkSession)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    rows = id_text(docs, id_col, text_col).select("doc_id", held_out.alias("held_out"), toxicity(model, F.col("text")).alias("score"))
+    rows = id_text(docs, id_col, text_col).select("doc_id", held_out.alias("held_out"), toxicity(model, F.col("text"), docs.sparkSession).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def toxicity(model: KneserNey | float, text: Column) -> Column:
-    """The score as a column."""
+def toxicity(model: KneserNey | float, text: Column, spark: SparkSession) -> Column:
+    """The score as a column. The model's size is bounded by its training sample."""
+    if isinstance(model, float):
+        return F.lit(model)
+    sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
-            yield pd.Series(np.full(len(t), model) if isinstance(model, float) else model.score(t))
+            yield pd.Series(np.concatenate([sent.value.score(t[i : i + ROWS_PER_CALL]) for i in range(0, len(t), ROWS_PER_CALL)]) if len(t) else np.zeros(0))
 
     return score(F.coalesce(text, F.lit("")))
 
