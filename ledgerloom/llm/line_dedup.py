@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_batches, read, table
+from ._common import in_calls, read, table
 
-#: Lines from this many characters on are also compared within one edit; shorter ones only for equality.
-FUZZY_CHARS = 20
 #: Blocks into which a line is cut to find the one that an edit can lie in.
 BLOCKS = 16
-#: Documents with candidate lines up to which their list is broadcast (about 100 bytes each); beyond, it is shuffled.
-BROADCAST_DOCS = 50_000
+#: Candidate lines up to which their list is broadcast (about 100 bytes each); beyond, it is shuffled.
+BROADCAST_LINES = 100_000
+#: Keys that a task holds before it hands them on.
+HELD_KEYS = 200_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -73,19 +73,17 @@ def _cuts(base: int) -> np.ndarray:
 
 def _block_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The line without one block, for every block, as the shorter (base = n) and the longer (base = n - 1) of a pair."""
+    bases = np.concatenate([np.arange(BLOCKS, dtype=np.int32) * 2, np.arange(BLOCKS, dtype=np.int32) * 2 + 1])
     with np.errstate(over="ignore"):
         for batch in batches:
-            keys, ids, bases = [], [], []
-            for key, line in zip(batch["key"], batch["line"]):
-                h = _Hashed(line)
-                for longer in (0, 1):
-                    cuts = _cuts(h.n - longer)
-                    k = _mix(h.without(cuts[:-1], cuts[1:] + longer) * np.uint64(31) + np.uint64(h.n - longer)) + np.arange(BLOCKS, dtype=np.uint64)
-                    keys.append(k.astype(np.int64))
-                    ids += [key] * BLOCKS
-                    bases.append(np.arange(BLOCKS, dtype=np.int32) * 2 + longer)
-            if ids:
-                yield pd.DataFrame({"block_key": np.concatenate(keys), "key": ids, "block": np.concatenate(bases)})
+            for part in in_calls(batch, HELD_KEYS // len(bases)):
+                keys = []
+                for line in part["line"]:
+                    h = _Hashed(line)
+                    for longer in (0, 1):
+                        cuts = _cuts(h.n - longer)
+                        keys.append(_mix(h.without(cuts[:-1], cuts[1:] + longer) * np.uint64(31) + np.uint64(h.n - longer)) + np.arange(BLOCKS, dtype=np.uint64))
+                yield pd.DataFrame({"block_key": np.concatenate(keys).view(np.int64), "key": np.repeat(part["key"].to_numpy(), len(bases)), "block": np.tile(bases, len(part))})
 
 
 def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,32 +92,38 @@ def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     kind 0: one character deleted, the key also holding its place: lines of equal length that share it differ there only.
     kind 1: one character deleted; kind 2: the line itself. A line equal to another's variant is one deletion away.
     """
+    held: list[tuple[np.ndarray, bytes, np.ndarray]] = []
+    count = 0
     with np.errstate(over="ignore"):
         for batch in batches:
-            keys, ids, kinds = [], [], []
             for key, line, blocks in zip(batch["key"], batch["line"], batch["blocks"]):
                 h = _Hashed(line)
                 places = {0: [np.zeros(0, np.int64)], 1: [np.zeros(0, np.int64)]}
                 for block, longer in ((int(b) // 2, int(b) % 2) for b in blocks):
                     cuts = _cuts(h.n - longer)
                     places[longer].append(np.arange(cuts[block], cuts[block + 1] + longer))
-                for longer in (0, 1):
-                    p = np.unique(np.concatenate(places[longer]))
-                    k = h.without(p, p + 1)
-                    k = np.unique(k) if longer else _mix(k) ^ _mix(p.astype(np.uint64) + (np.uint64(h.n) << np.uint64(32)))
-                    keys.append(k.astype(np.int64))
-                    kinds.append(np.full(len(k), longer, np.int32))
-                keys.append(h.sums[-1:].astype(np.int64))
-                kinds.append(np.full(1, 2, np.int32))
-                ids += [key] * sum(map(len, keys[-3:]))
-            if ids:
-                yield pd.DataFrame({"variant": np.concatenate(keys), "key": ids, "kind": np.concatenate(kinds)})
+                once, at = np.unique(np.concatenate(places[0])), np.unique(np.concatenate(places[1]))
+                placed = _mix(h.without(once, once + 1)) ^ _mix(once.astype(np.uint64) + (np.uint64(h.n) << np.uint64(32)))
+                deleted = np.unique(h.without(at, at + 1))
+                kinds = np.repeat(np.arange(3, dtype=np.int32), [len(placed), len(deleted), 1])
+                held.append((np.concatenate([placed, deleted, h.sums[-1:]]).view(np.int64), key, kinds))
+                count += len(kinds)
+                if count >= HELD_KEYS:
+                    yield _variant_rows(held)
+                    held, count = [], 0
+        if held:
+            yield _variant_rows(held)
+
+
+def _variant_rows(held: list[tuple[np.ndarray, bytes, np.ndarray]]) -> pd.DataFrame:
+    ids = np.empty(len(held), object)
+    ids[:] = [key for _, key, _ in held]
+    return pd.DataFrame({"variant": np.concatenate([k for k, _, _ in held]), "key": np.repeat(ids, [len(k) for k, _, _ in held]), "kind": np.concatenate([x for _, _, x in held])})
 
 
 def _near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """First places of the distinct lines that lie within one edit of an earlier line."""
-    spark = docs.sparkSession
-    halves = distinct.filter(F.col("n") >= FUZZY_CHARS).select("key", "first", F.explode("halves").alias("half"))
+    halves = distinct.select("key", "first", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").count().filter("count > 1").select("half")
     candidates = halves.join(shared, "half", "left_semi").select("key", "first").distinct()
     wanted = table(
@@ -128,14 +132,14 @@ def _near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_DOCS else wanted
+    few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES
+    side = F.broadcast(wanted) if few else wanted
     found = source.join(side, (F.col("hash") == F.col("version")) & F.col("id").eqNullSafe(F.col("doc_id")))
     lines = table(
         found.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
         .select("w.key", "w.first", _trimmed(F.col("lines")[F.col("w.line_no")]).alias("line")).dropDuplicates(["key"]),
         "line-texts",
     )
-    arrow_batches(spark, 512)
     blocks = lines.select("key", "line").mapInPandas(_block_keys, "block_key long, key binary, block int")
     common = blocks.groupBy("block_key").count().filter("count > 1").select("block_key")
     places = blocks.join(common, "block_key", "left_semi").groupBy("key").agg(F.collect_set("block").alias("blocks"))
@@ -163,8 +167,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The documents with repeated lines taken out, and two more columns: __lines (not blank) and __removed.
 
     A line is a stretch between line feeds, trimmed of spaces, tabs and carriage returns. It goes if an earlier line,
-    by (doc_id, text hash, line number) over the whole table, is equal to it, or is at most one character edit away
-    where both have at least 20 characters. Blank lines stay. Other lines keep their bytes and order.
+    by (doc_id, text hash, line number) over the whole table, is equal to it or at most one character edit away, whether
+    or not that one stays. This holds for lines of every length, so of lines of a single character only the first stays.
+    Blank lines stay. Other lines keep their bytes and order.
 
     Equal lines are grouped by MD5. For the others, every line emits its deletion variants as hashed keys, equal
     variants are joined, edit distances verified. Before that, lines that cannot have a partner are set aside exactly: two
@@ -198,7 +203,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         return pd.Series([None if g is None else cut(t, g) for t, g in zip(texts, gone)], dtype=object)
 
-    arrow_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"row.{text_col}"), F.lit(""))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("__v", F.xxhash64(text))
     joined = whole.join(gone, (F.col("__v") == F.col("__version")) & F.col(f"row.{id_col}").cast("long").eqNullSafe(F.col("__id")), "left")
@@ -220,10 +224,10 @@ SQL = {
         lines AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM raw),
         firsts AS (SELECT line, min({'d': doc_id, 'l': line_no}) AS first, length(line) AS n FROM lines WHERE line <> '' GROUP BY line),
         halves AS (
-            SELECT line, first, n, n AS base, 0 AS side, left(line, n // 2) AS half FROM firsts WHERE n >= 20
-            UNION ALL SELECT line, first, n, n, 1, right(line, n - n // 2) FROM firsts WHERE n >= 20
-            UNION ALL SELECT line, first, n, n - 1, 0, left(line, (n - 1) // 2) FROM firsts WHERE n >= 20
-            UNION ALL SELECT line, first, n, n - 1, 1, right(line, n - 1 - (n - 1) // 2) FROM firsts WHERE n >= 20),
+            SELECT line, first, n, n AS base, 0 AS side, left(line, n // 2) AS half FROM firsts
+            UNION ALL SELECT line, first, n, n, 1, right(line, n - n // 2) FROM firsts
+            UNION ALL SELECT line, first, n, n - 1, 0, left(line, (n - 1) // 2) FROM firsts
+            UNION ALL SELECT line, first, n, n - 1, 1, right(line, n - 1 - (n - 1) // 2) FROM firsts),
         pairs AS (
             SELECT DISTINCT a.first AS first, CASE WHEN a.n >= b.n THEN a.line ELSE b.line END AS long, CASE WHEN a.n >= b.n THEN b.line ELSE a.line END AS short
             FROM halves a JOIN halves b USING (base, side, half) WHERE b.first < a.first AND abs(a.n - b.n) <= 1),
