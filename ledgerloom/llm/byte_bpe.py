@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import arrow_batches, id_text, read
+from ._common import id_text, in_calls, read
 
 #: Entries that a task's table of known pre-tokens may hold, and the longest pre-token it keeps.
 CACHE, CACHED_CHARS = 400_000, 48
@@ -119,18 +119,16 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     Null and empty texts have no tokens; ids may be null or repeated, each row gets its result; an empty table gives an
     empty result; other columns are ignored. Texts of any length are encoded whole.
     """
-    arrow_batches(docs.sparkSession)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = ByteBpe(load_ranks(ranks_path), pattern)
-        for batch in batches:
-            ids = [bpe.encode(t) for t in batch["text"]]
+        for part in (p for batch in batches for p in in_calls(batch)):
+            ids = [bpe.encode(t) for t in part["text"]]
             texts = [bpe.decode(i) for i in ids]
             if outputs == "ids":
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [np.frombuffer(i, "<u4").astype(np.int32) for i in ids], "decoded": [t.decode() for t in texts]})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [np.frombuffer(i, "<u4").astype(np.int32) for i in ids], "decoded": [t.decode() for t in texts]})
             else:
                 digest = lambda xs: [hashlib.sha256(x).hexdigest() for x in xs]
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [len(i) // 4 for i in ids], "ids_sha256": digest(ids), "decoded_sha256": digest(texts)})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": [len(i) // 4 for i in ids], "ids_sha256": digest(ids), "decoded_sha256": digest(texts)})
 
     schema = "doc_id long, ids array<int>, decoded string" if outputs == "ids" else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return id_text(docs, id_col, text_col).mapInPandas(run, schema)

@@ -11,29 +11,35 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_batches, read
+from ._common import in_calls, read
 
 #: Rows that the classifiers are fitted on, at most: labelled ones, and unlabelled ones that get pseudo-labels.
 LABELLED, UNLABELLED = 6_000, 6_000
 #: Rounds of exchange, and the pseudo-labels that a view hands over for each class in a round, as a share of the pool.
 ROUNDS, HANDED = 5, 0.03
-#: Buckets for hashed metadata values.
-BUCKETS = 64
+#: Buckets for hashed metadata values, and for hashed words.
+BUCKETS, WORD_BUCKETS = 64, 128
 
 _KINDS = np.full(256, 7)
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r", b".,;:'\"-?()", b"#$%&*|!<>{}[]@^~_=+/\\", b"\n")):
     _KINDS[list(_chars)] = _k
 
 
-def text_view(text: str) -> np.ndarray:
-    """Shares of eight kinds of bytes, repetition of words and lines, word length and length."""
-    raw = np.frombuffer(text.encode(), np.uint8)
-    shares = np.bincount(_KINDS[raw], minlength=8) / max(1, len(raw))
-    ws, lines = text.split(), text.split("\n")
-    n = len(ws)
-    distinct = len(set(ws))
-    # repetition beyond what a text of this length has: natural texts keep about n ** 0.8 distinct words or more
-    return np.concatenate([shares, [distinct / max(1, n), np.log1p(distinct) - 0.8 * np.log1p(n), len(set(lines)) / len(lines), min(len(text) / max(1, n), 40.0) / 10, np.log1p(n)]])
+def text_views(texts) -> np.ndarray:
+    """For each text its words by hashed bucket (roots of their shares), shares of eight kinds of bytes, repetition of words and lines, word length and length."""
+    lists = [t.split() for t in texts]
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    codes, unique = pd.factorize(np.array([w for ws in lists for w in ws], dtype=object))
+    bucket = (pd.util.hash_array(unique, categorize=False) % np.uint64(WORD_BUCKETS)).astype(np.int64)[codes] if len(codes) else codes
+    words = np.bincount(np.repeat(np.arange(len(lists)), n) * WORD_BUCKETS + bucket, minlength=len(lists) * WORD_BUCKETS).reshape(-1, WORD_BUCKETS)
+    out = np.zeros((len(lists), 13))
+    for i, (text, ws) in enumerate(zip(texts, lists)):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        lines, distinct = text.split("\n"), len(set(ws))
+        out[i, :8] = np.bincount(_KINDS[raw], minlength=8) / max(1, len(raw))
+        # repetition beyond what a text of this length has: natural texts keep about n ** 0.8 distinct words or more
+        out[i, 8:] = distinct / max(1, len(ws)), np.log1p(distinct) - 0.8 * np.log1p(len(ws)), len(set(lines)) / len(lines), min(len(text) / max(1, len(ws)), 40.0) / 10, np.log1p(len(ws))
+    return np.concatenate([out, np.sqrt(words / np.maximum(n, 1)[:, None])], 1)
 
 
 def metadata_view(lang, source, n_chars) -> np.ndarray:
@@ -116,7 +122,7 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, tuning: np.nda
 
 
 def _views(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return np.stack([text_view(t or "") for t in b["text"]]), np.stack([metadata_view(*r) for r in zip(b["lang"], b["source"], b["n_chars"])])
+    return text_views([t or "" for t in b["text"]]), np.stack([metadata_view(*r) for r in zip(b["lang"], b["source"], b["n_chars"])])
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -127,21 +133,24 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained | float:
     """A model from labelled rows whose crc32(doc_id as text) mod 5 is not 0 (those with 0 are left for testing).
 
     Bounded samples by a hash of the id: LABELLED labelled and UNLABELLED unlabelled rows, whose ids may be broadcast
-    and whose feature vectors, not texts, come to the driver. A quarter of the labelled ones calibrates. Without both
-    classes, a fixed score: the share of good labels, or 1 without labels.
+    and whose feature vectors, not texts, come to the driver. An id with both labels takes no part. A quarter of the
+    labelled ones calibrates. Without both classes, a fixed score: the share of good labels, or 1 without labels.
     """
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc % 5 != 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
+    known = (
+        labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc % 5 != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .agg(F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("quality").cast("int")).alias("most")).filter("quality = most").drop("most")
+    )
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    arrow_batches(docs.sparkSession)
     rows = _columns(docs)
     pool = rows.select("doc_id").filter(F.col("doc_id").isNotNull()).join(labels.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED)
     wanted = drawn.unionByName(pool.withColumn("quality", F.lit(-1))).dropDuplicates(["doc_id"])
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            text, metadata = _views(b)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "text": list(text), "metadata": list(metadata)})
+        for batch in batches:
+            for b in in_calls(batch):
+                text, metadata = _views(b)
+                yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "text": list(text), "metadata": list(metadata)})
 
     got = rows.join(F.broadcast(wanted), "doc_id").mapInPandas(features, "doc_id long, quality int, text array<double>, metadata array<double>").toPandas().sort_values("doc_id", kind="stable")
     labelled, unlabelled = got[got["quality"] >= 0], got[got["quality"] < 0]
@@ -160,15 +169,12 @@ def score_quality(docs: DataFrame, model: CoTrained | float) -> DataFrame:
     metadata as a value of its own; repeated rows score alike; an empty table gives an empty result; columns other than
     doc_id, text, lang, source and n_chars are ignored.
     """
-    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if isinstance(model, float):
-                parts = [np.full(len(b), model)] * 3
-            else:
-                parts = model.scores(*_views(b)) if len(b) else [np.zeros(0)] * 3
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text_score": parts[0], "metadata_score": parts[1], "score": parts[2]})
+        for batch in batches:
+            for b in in_calls(batch):
+                parts = [np.full(len(b), model)] * 3 if isinstance(model, float) else model.scores(*_views(b))
+                yield pd.DataFrame({"doc_id": b["doc_id"], "text_score": parts[0], "metadata_score": parts[1], "score": parts[2]})
 
     return _columns(docs).mapInPandas(run, "doc_id long, text_score double, metadata_score double, score double").withColumn("keep", F.col("score") >= 0.5)
 

@@ -45,7 +45,8 @@ def jump_shard(key, shards: int):
 def shard_documents(docs: DataFrame, shards: int = N_SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law ('key'), shard, slot, grown_shard.
 
-    The id and the number of shards alone decide the shard; grown_shard is the shard with one shard more. Slots number
+    The id and the number of shards alone decide the shard; grown_shard is the shard with one shard more. So equal texts
+    (groups) are placed each by its own id and may lie in different shards. Slots number
     the rows of a shard from 0 without gaps, in order of (doc_id, text_crc32, size). They come from a range-partitioned
     sort, so that no shard has to fit a task: each partition numbers its own rows and adds what lies before it, taken
     from a table of one row per (partition, shard) that is no longer than partitions plus shards. The text itself never
