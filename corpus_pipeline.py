@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import line_dedup, near_dedup, packing, secrets, toxicity
+from ledgerloom.llm import byte_bpe, line_dedup, near_dedup, packing, secrets, toxicity
 from ledgerloom.scratch import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models reject (score of 0.5 or more) go; the others stay as they are."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.filter(toxicity.toxicity(model, F.col("text")) < 0.5)
+    return docs.filter(toxicity.toxicity(model, F.col("text"), spark) < 0.5)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,14 +22,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one with the least id; of repeated rows, one."""
-    found = table(near_dedup.near_duplicates(docs), "near-duplicates")
-    rest = docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    repeated = table(found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
-    if repeated.isEmpty():
-        return rest
-    one = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(repeated, "doc_id", "left_anti").unionByName(one).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """One document of each class of near duplicates stays, the one with the least id; of exact repetitions of a row, one.
+
+    A document is an id with a text: of one id with several texts each is judged by its text. Rows without an id stay.
+    """
+    found = table(near_dedup.near_duplicates(docs).select("doc_id", "text_md5", "kept"), "near-duplicates")
+    ident = [F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.lower(F.coalesce("text", F.lit("")))).alias("text_md5")]
+    whole = docs.select(*ident, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rest = whole.join(found.filter("not kept").select("doc_id", "text_md5").distinct(), ["doc_id", "text_md5"], "left_anti")
+    repeated = table(found.filter("kept and doc_id is not null").groupBy("doc_id", "text_md5").count().filter("count > 1").drop("count"), "repeated-rows")
+    if not repeated.isEmpty():
+        one = rest.join(repeated, ["doc_id", "text_md5"], "left_semi").dropDuplicates(["doc_id", "text_md5"])
+        rest = rest.join(repeated, ["doc_id", "text_md5"], "left_anti").unionByName(one)
+    return rest.select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +43,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, whole or in pieces, gets a place in a sequence."""
-    return packing.pack_documents(docs)
+    """Every document, whole or in pieces, gets a place in a sequence; lengths are counted in byte-level BPE tokens."""
+    import public_tokenizers
+
+    lengths = byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack_documents(lengths, length="n_tokens")
 
 
 STAGES = [
@@ -50,7 +58,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL cannot express trained models and sketches; the stages are tested against brute force.
+#: SQL cannot express trained models and sketches; the stages are tested one by one, see tests/llm.
 ORACLE_SQL = None
 
 
