@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,6 +58,11 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.1, 0.1, 0.1], [0, 0.99, 1.99, 2.99])
 
 
+def _cells(kind: int, ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The cell of ratios of one kind (word, history, bigram) by their size and by the documents n behind them."""
+    return (kind * CELLS + np.searchsorted(SIZES, np.abs(ratio), "right") * BANDS + np.minimum(np.log2(np.maximum(n, 1)).astype(int), BANDS - 1)).astype(np.uint8)
+
+
 @dataclass
 class Grams:
     """Numbers of training documents by word (sorted hashes) and by bigram (places of its two words; the number of words stands for START)."""
@@ -91,49 +98,64 @@ class KneserNey:
     def fit(cls, grams: Grams, ends: np.ndarray, toxic: int, ordinary: int) -> KneserNey:
         """Fits on two columns of the counts. ends: distinct bigrams of all documents by the word they end in, last those of unknown words.
 
-        The last entry of each array over words stands for a word that no training document has; a history that none has
-        backs off alike in both models.
+        The last entry of each array over words stands for a word that no training document has, and as a history for
+        the start of a text; a history that no document has backs off alike in both models.
         """
         size = len(grams.words)
         share = (ends + 0.5) / (ends + 0.5).sum()
-        first, second = grams.before.astype(np.int64), grams.after.astype(np.int64)
-        log_word, log_follow, log_pair = 0.0, 0.0, 0.0
+        words, total = np.append(grams.word_counts, np.zeros((1, 4), np.int32), 0), np.zeros(size + 1)
+        models, log_word, log_follow = [], np.zeros(size + 1), np.zeros(size + 1)
         for sign, c in ((1, toxic), (-1, ordinary)):
-            n, m = np.append(grams.word_counts[:, c], 0).astype(float), grams.pair_counts[:, c].astype(float)
+            n, m = words[:, c], grams.pair_counts[:, c]
             d1, d2 = discounts(n), discounts(m)
-            cut, cut2 = d1[np.minimum(n, 3).astype(int)], d2[np.minimum(m, 3).astype(int)]
-            p = (n - cut + cut.sum() * share) / n.sum()
-            history = np.bincount(first, m, size + 1)
-            weight = np.where(history > 0, np.bincount(first, cut2, size + 1) / np.maximum(history, 1), 1.0)
-            own = np.where(history[first] > 0, (m - cut2) / np.maximum(history[first], 1), 0.0) + weight[first] * p[second]
-            log_word, log_follow, log_pair = log_word + sign * np.log(p), log_follow + sign * np.log(weight), log_pair + sign * np.log(own)
-        both = lambda x: x[:, toxic].astype(float) + x[:, ordinary]
-        n, m = np.append(both(grams.word_counts), 0), both(grams.pair_counts)
-        log_pair = np.where(m > 0, log_pair - log_word[second], log_follow[first])
-        keys = _mix(first * np.int64(size + 1) + second)
-        order = np.argsort(keys)
-        cells = lambda kind, ratio, n: (kind * CELLS + np.searchsorted(SIZES, np.abs(ratio), "right") * BANDS + np.minimum(np.log2(np.maximum(n, 1)).astype(int), BANDS - 1)).astype(np.uint8)
-        word_cell, follow_cell, pair_cell = cells(0, log_word, n), cells(1, log_follow, np.bincount(first, m, size + 1)), cells(2, log_pair, m)
-        small = lambda x: x.astype(np.float32)
-        return cls(grams.words, small(log_word), word_cell, small(log_follow), follow_cell, keys[order], small(log_pair[order]), pair_cell[order], np.ones(3 * CELLS))
-
-    def parts(self, texts) -> np.ndarray:
-        """For each text the mean log-likelihood ratio of its words, as a sum of parts by cell; 0 without words."""
-        doc, word, before = hashed_words(texts)
-        size, count = len(self.words), len(texts)
+            p = (n - d1[np.minimum(n, 3)] + d1[np.minimum(n, 3)].sum() * share) / n.sum()
+            history = np.bincount(grams.before, m, size + 1)
+            weight = np.where(history > 0, np.bincount(grams.before, d2[np.minimum(m, 3)], size + 1) / np.maximum(history, 1), 1.0)
+            models.append((sign, c, d2, p, history, weight))
+            log_word, log_follow, total = log_word + sign * np.log(p), log_follow + sign * np.log(weight), total + history
+        pair, cell = np.zeros(len(grams.before), np.float32), np.zeros(len(grams.before), np.uint8)
+        for i in range(0, len(pair), 500_000):
+            own = slice(i, i + 500_000)
+            first, second, log_pair = grams.before[own], grams.after[own], 0.0
+            for sign, c, d2, p, history, weight in models:
+                m = grams.pair_counts[own, c]
+                found = np.where(history[first] > 0, (m - d2[np.minimum(m, 3)]) / np.maximum(history[first], 1), 0.0)
+                log_pair = log_pair + sign * np.log(found + weight[first] * p[second])
+            n = grams.pair_counts[own, toxic] + grams.pair_counts[own, ordinary]
+            pair[own] = np.where(n > 0, log_pair - log_word[second], log_follow[first])
+            cell[own] = _cells(2, pair[own], n)
+        n = words[:, toxic] + words[:, ordinary]
+        keys = grams.before.astype(np.int64) * (size + 1) + grams.after
+        return cls(grams.words, log_word.astype(np.float32), _cells(0, log_word, n), log_follow.astype(np.float32), _cells(1, log_follow, total), keys, pair, cell, np.ones(3 * CELLS))
+
+    def __getstate__(self) -> dict:
+        """Small on its way to the tasks: histories as numbers of bigrams, ratios in half precision, compressed."""
+        size = len(self.words) + 1
+        small = self.__dict__ | {"pairs": (self.pairs % size).astype(np.int32), "starts": np.bincount(self.pairs // size, minlength=size).astype(np.int32), "pair": self.pair.astype(np.float16)}
+        return {k: (zlib.compress(v.tobytes(), 1), v.dtype.str) if isinstance(v, np.ndarray) else v for k, v in small.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        read = {k: np.frombuffer(zlib.decompress(v[0]), v[1]) if isinstance(v, tuple) else v for k, v in state.items()}
+        size = len(read["words"]) + 1
+        self.__dict__ |= {k: v for k, v in read.items() if k != "starts"}
+        self.pairs = np.repeat(np.arange(size, dtype=np.int64) * size, read["starts"]) + read["pairs"]
+
+    def parts(self, doc: np.ndarray, word: np.ndarray, before: np.ndarray, count: int) -> np.ndarray:
+        """For each of `count` texts the mean log-likelihood ratio of its words (see hashed_words), as a sum of parts by cell; 0 without words."""
+        size = len(self.words)
         place = lambda x: np.where(self.words[spot := np.minimum(np.searchsorted(self.words, x), size - 1)] == x, spot, size)
         w, h = place(word), place(before)
-        keys = _mix(h * np.int64(size + 1) + w)
+        keys = h * np.int64(size + 1) + w
         spot = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-        # the history of a first word has the place of an unknown word: no bigram starts with an unknown word
-        known = (self.pairs[spot] == keys) & ((h < size) | (before == START))
-        add = np.where(known, self.pair[spot], np.where((h < size) | (before == START), self.follow[h], 0))
+        real = (h < size) | (before == START)  # an unknown word has the place of START but is no history
+        known = (self.pairs[spot] == keys) & real
+        add = np.where(known, self.pair[spot], np.where(real, self.follow[h], 0))
         cell = np.where(known, self.pair_cell[spot], self.follow_cell[h])
         flat = np.bincount(doc * 3 * CELLS + self.word_cell[w], self.word[w], count * 3 * CELLS) + np.bincount(doc * 3 * CELLS + cell, add, count * 3 * CELLS)
         return flat.reshape(count, 3 * CELLS) / np.maximum(np.bincount(doc, minlength=count), 1)[:, None]
 
     def score(self, texts) -> np.ndarray:
-        z = self.offset + self.parts(texts) @ self.slopes if len(texts) else np.zeros(0)
+        z = self.offset + self.parts(*hashed_words(texts), len(texts)) @ self.slopes if len(texts) else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -202,6 +224,28 @@ def continuations(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text
     return out
 
 
+def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The hashed words of each text; texts are numbered within a part. A text without words is a row with nulls."""
+    for part in (p for batch in batches for p in in_calls(batch)):
+        doc, word, before = hashed_words(part["text"])
+        number = int(uuid.uuid4().int >> 65)
+        rows = pd.DataFrame({"doc": doc, "word": pd.array(word, "Int64"), "before": pd.array(before, "Int64")})
+        bare = pd.DataFrame({"doc": np.setdiff1d(np.arange(len(part)), doc)})
+        rows = pd.concat([rows, bare.assign(word=pd.array([pd.NA] * len(bare), "Int64"), before=pd.array([pd.NA] * len(bare), "Int64"))])
+        yield rows.assign(toxic=part["toxic"].to_numpy()[rows["doc"]], part=number)[["toxic", "doc", "word", "before", "part"]]
+
+
+def _tuning_parts(model: KneserNey, tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and parts of the calibrating documents, in an order that does not depend on partitions."""
+    key = np.stack([tokens["part"].to_numpy(), tokens["doc"].to_numpy()], 1)
+    _, first, doc = np.unique(key, axis=0, return_index=True, return_inverse=True)
+    real = tokens["word"].is_valid().to_numpy()
+    y, column = tokens["toxic"].to_numpy()[first].astype(float), lambda c: tokens[c].fill_null(0).to_numpy()[real]
+    parts = model.parts(doc.reshape(-1)[real], column("word"), column("before"), len(first))
+    order = np.lexsort((*parts.T, y))
+    return y[order], parts[order]
+
+
 def calibrate(parts: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """Slopes and offset of a weighted, regularised logistic regression on the parts of the ratio; slopes are not negative.
 
@@ -255,20 +299,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not len(grams.words):
         return shares[1] / sum(shares.values())
     ends = continuations(docs, grams.words, text_col)
-    trial = docs.sparkSession.sparkContext.broadcast(KneserNey.fit(grams, ends, 2, 3))
-
-    def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for part in in_calls(b):
-                yield pd.DataFrame({"toxic": part["toxic"], "parts": list(trial.value.parts(part["text"]))})
-
-    tuned = sample.filter("tuning = 1").mapInPandas(ratios, "toxic int, parts array<double>").toArrow().to_pandas()
-    trial.unpersist()
+    tuned = sample.filter("tuning = 1").mapInPandas(_tokens, "toxic int, doc int, word long, before long, part long").toArrow()
+    y, parts = _tuning_parts(KneserNey.fit(grams, ends, 2, 3), tuned)
     model = KneserNey.fit(grams, ends, 0, 1)
-    if tuned["toxic"].nunique() == 2:
-        y = tuned["toxic"].to_numpy(float)
+    if len(set(y)) == 2:
         share = np.where(y == 1, shares[1] / max(1, (y == 1).sum()), shares[0] / max(1, (y == 0).sum()))
-        model.slopes, model.offset = calibrate(np.stack(tuned["parts"]), y, share * len(y) / share.sum())
+        model.slopes, model.offset = calibrate(parts, y, share * len(y) / share.sum())
     return model
 
 
