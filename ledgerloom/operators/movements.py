@@ -59,21 +59,25 @@ def address_totals(movements: DataFrame, inputs: DataFrame, native: Column) -> D
 
 
 def rollup_parallel(edges: DataFrame, individual: Column) -> DataFrame:
-    """AGG-01: edges of one (source, target, asset) as one; single edges and individual ones stay as they are."""
+    """AGG-01: edges of one (source, target, asset) as one; single edges and individual ones stay as they are. Which they are: rollup_members."""
     plain = edges.filter(~individual)
     grouped = plain.groupBy("source", "target", "asset").agg(
         F.count(F.lit(1)).alias("count"), F.sum("amount").alias("amount"), F.sum("value_e4").alias("value_e4"),
         F.max(F.when(F.col("finality") == "provisional", "provisional").otherwise("final")).alias("finality"),
         F.count_if(F.col("value_e4").isNull()).alias("no_price"), F.array_join(F.array_sort(F.collect_set("source_name")), ",").alias("source_names"),
-        F.array_join(F.array_sort(F.collect_list("id")), ",").alias("underlying"),
     )
     alone = edges.filter(individual).select(
         "source", "target", "asset", F.lit(1).cast("long").alias("count"), "amount", "value_e4", "finality", F.when(F.col("value_e4").isNull(), 1).otherwise(0).cast("long").alias("no_price"),
-        F.col("source_name").alias("source_names"), F.col("id").cast("string").alias("underlying"),
+        F.col("source_name").alias("source_names"),
     )
     return grouped.unionByName(alone)
 
 
+def rollup_members(edges: DataFrame, individual: Column) -> DataFrame:
+    """AGG-01: the edges beneath each rolled-up one, a row each: a pair may have any number of them."""
+    return edges.filter(~individual).select("source", "target", "asset", "id")
+
+
 def occurrences(transfers: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """WIN-01: the ordinal, from 0, of a movement among those of equal content."""
     return transfers.withColumn("occurrence", F.row_number().over(W.partitionBy(*key).orderBy(*order)).cast("long") - 1)

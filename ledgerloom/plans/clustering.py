@@ -11,19 +11,13 @@ from .registry import Registry
 
 REGISTRY = query = Registry()
 
-_slice = "slice AS (SELECT DISTINCT tx_id, address FROM tx_output WHERE tx_id % 100 = 1)"
-
-
 def _components(edges, members="SELECT a AS node FROM e UNION SELECT b FROM e"):
-    return f"""{edges}, both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(node, root) AS (SELECT node, node FROM ({members}) UNION SELECT b, root FROM reach JOIN both_ways ON a = node),
-  component AS (SELECT node, min(root) AS component FROM reach GROUP BY node)"""
-
+    """SQL of components by the least label that reaches a node; a recursive table with one row for each node."""
+    return f"""{edges}, both_ways AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), component(node, component) USING KEY (node) AS (SELECT node, node FROM ({members})
+    UNION (SELECT u.node, min(v.component) FROM component v JOIN both_ways ON b = v.node JOIN recurring.component u ON u.node = a WHERE v.component < u.component GROUP BY u.node))"""
 
-_cospend = _components(f"WITH {_slice}, e AS (SELECT DISTINCT m.a, s.address AS b FROM slice s JOIN (SELECT tx_id, min(address) AS a FROM slice GROUP BY 1) m USING (tx_id) WHERE a <> address)")
 
-
-def _slice_rows(d):
-    return d.tx_output.filter("tx_id % 100 = 1")
+_cospend = _components("WITH o AS (SELECT DISTINCT tx_id, address FROM tx_output), e AS MATERIALIZED (SELECT DISTINCT m.a, s.address AS b FROM o s JOIN (SELECT tx_id, min(address) AS a FROM o GROUP BY 1) m USING (tx_id) WHERE a <> address)")
 
 
 def _spent_together(rows):
@@ -32,32 +26,17 @@ def _spent_together(rows):
 
 @query("grf_01", _cospend + " SELECT node, component FROM component")
 def grf_01(d):
-    return _spent_together(_slice_rows(d))
-
-
-@query("grf_01_all")
-def grf_01_all(d):
-    """grf_01 over all transactions. The queries named _all have no slice; recursive SQL does not reach that far."""
     return _spent_together(d.tx_output)
 
 
 _mix = "(SELECT tx_id FROM tx_output GROUP BY tx_id HAVING count(*) >= 6)"
 
 
-@query("grf_02", _cospend + f""" SELECT node AS address, component AS cluster, node IN (SELECT address FROM slice WHERE tx_id IN {_mix}) AS flagged,
-  CASE WHEN node IN (SELECT address FROM slice WHERE tx_id IN {_mix}) THEN 0.5e0 ELSE 0.9e0 END AS confidence FROM component""")
+@query("grf_02", _cospend + f""" SELECT node AS address, component AS cluster, node IN (SELECT address FROM o WHERE tx_id IN {_mix}) AS flagged,
+  CASE WHEN node IN (SELECT address FROM o WHERE tx_id IN {_mix}) THEN 0.5e0 ELSE 0.9e0 END AS confidence FROM component""")
 def grf_02(d):
     """Transactions of six outputs or more stand for mixes here."""
-    return c.cospend_clusters(_slice_rows(d), _mixes(d))
-
-
-@query("grf_02_all")
-def grf_02_all(d):
-    return c.cospend_clusters(d.tx_output, _mixes(d))
-
-
-def _mixes(d):
-    return d.tx_output.groupBy("tx_id").count().filter("count >= 6").select("tx_id")
+    return c.cospend_clusters(d.tx_output, d.tx_output.groupBy("tx_id").count().filter("count >= 6").select("tx_id"))
 
 
 @query("agg_10", "SELECT tx_id, count(DISTINCT address) AS addresses, array_to_string(list_sort(list(DISTINCT address)), ',') AS members FROM tx_input GROUP BY tx_id")
@@ -73,13 +52,8 @@ def agg_11(d):
     return c.coinjoins(d.tx_input, d.tx_output.withColumn("amount", F.expr("amount div 2000000")))
 
 
-@query("grf_03", "SELECT 'h' || k AS address, count(DISTINCT event_type) AS chains FROM ev WHERE event_type <> 'error' AND event_id % 40 = 0 GROUP BY k HAVING count(DISTINCT event_type) >= 2")
+@query("grf_03", "SELECT 'h' || k AS address, count(DISTINCT event_type) AS chains FROM ev WHERE event_type <> 'error' GROUP BY k HAVING count(DISTINCT event_type) >= 2")
 def grf_03(d):
-    return _on_chains(d.events.filter("event_id % 40 = 0"))
-
-
-@query("grf_03_all", "SELECT 'h' || k AS address, count(DISTINCT event_type) AS chains FROM ev WHERE event_type <> 'error' GROUP BY k HAVING count(DISTINCT event_type) >= 2")
-def grf_03_all(d):
     return _on_chains(d.events)
 
 
@@ -164,24 +138,14 @@ def set_03(d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("grf_13", _components(f"""WITH {_votes}, agree AS (SELECT tx_id, id, count(*) AS votes FROM single WHERE tx_id % 20 = 1 GROUP BY 1, 2 HAVING count(*) >= 2),
+@query("grf_13", _components(f"""WITH {_votes}, agree AS (SELECT tx_id, id, count(*) AS votes FROM single GROUP BY 1, 2 HAVING count(*) >= 2),
   change AS (SELECT a.tx_id, o.address, a.votes FROM (SELECT tx_id, min(id) AS id, max(votes) AS votes FROM agree GROUP BY 1 HAVING count(*) = 1) a JOIN tx_output o ON o.id = a.id),
   member AS (SELECT * FROM change UNION ALL SELECT DISTINCT i.tx_id, i.address, votes FROM tx_input i JOIN change USING (tx_id)),
   e AS (SELECT DISTINCT m.a, s.address AS b FROM member s JOIN (SELECT tx_id, min(address) AS a FROM member GROUP BY 1) m USING (tx_id) WHERE a <> address)""") + """
   SELECT node AS address, component AS cluster, CAST(round(least(0.85, 0.4 + 0.15 * max(votes)) * 1000) AS BIGINT) AS confidence_thousandths FROM component JOIN member ON address = node GROUP BY 1, 2""")
 def grf_13(d):
-    """On every tenth UTXO transaction, which leaves components small enough for the recursive SQL."""
-    return _change_clusters(d, lambda df: df.filter("tx_id % 20 = 1"))
-
-
-@query("grf_13_all")
-def grf_13_all(d):
-    return _change_clusters(d, lambda df: df)
-
-
-def _change_clusters(d, rows):
-    votes = c.compose(rows(_candidates(d)), "agree", _names)
-    found = c.change_clusters(rows(d.tx_input), d.tx_output, votes, d.tx.filter("false").select("tx_id"))
+    votes = c.compose(_candidates(d), "agree", _names)
+    found = c.change_clusters(d.tx_input, d.tx_output, votes, d.tx.filter("false").select("tx_id"))
     return found.select("address", "cluster", F.round(F.col("confidence") * 1000).cast("long").alias("confidence_thousandths"))
 
 
@@ -242,16 +206,7 @@ def grf_16(d):
 
 @query("grf_17", _cospend + " SELECT node AS address, sha256('run-1|' || component) AS entity_id FROM component")
 def grf_17(d):
-    return _entities(_slice_rows(d))
-
-
-@query("grf_17_all")
-def grf_17_all(d):
-    return _entities(d.tx_output)
-
-
-def _entities(rows):
-    clusters = _spent_together(rows)
+    clusters = _spent_together(d.tx_output)
     return c.materialize(clusters.select(F.col("node").alias("address"), F.col("component").alias("cluster")), "run-1").select("address", "entity_id")
 
 
@@ -261,15 +216,9 @@ def grf_18(d):
     return c.undo(rows, rows.filter("id % 9 = 0"), "signup")
 
 
-@query("agg_12", _cospend + " SELECT component AS cluster, count(*) AS size, array_to_string(list_sort(list(node)), ',') AS members FROM component GROUP BY 1 HAVING count(*) >= 2")
+@query("agg_12", _cospend + " SELECT component AS cluster, count(*) OVER (PARTITION BY component) AS size, node AS address FROM component")
 def agg_12(d):
-    return _member_lists(_slice_rows(d))
-
-
-@query("agg_12_all")
-def agg_12_all(d):
-    return _member_lists(d.tx_output)
-
-
-def _member_lists(rows):
-    return _spent_together(rows).groupBy(F.col("component").alias("cluster")).agg(F.count(F.lit(1)).alias("size"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members")).filter("size >= 2")
+    """Members are rows of their own; the size comes from an aggregate with map-side combine."""
+    found = _spent_together(d.tx_output)
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter("size >= 2")
+    return found.join(sizes, "component").select(F.col("component").alias("cluster"), "size", F.col("node").alias("address"))

@@ -61,12 +61,17 @@ def agg_02(d):
 
 
 @query("agg_01", """SELECT source, target, asset, count(*) AS count, sum(amount)::BIGINT AS amount, sum(value_e4)::BIGINT AS value_e4, max(finality) AS finality, count(*) FILTER (WHERE value_e4 IS NULL) AS no_price,
-  array_to_string(list_sort(list(DISTINCT source_name)), ',') AS source_names, array_to_string(list_sort(list(id)), ',') AS underlying FROM edge WHERE NOT annotated GROUP BY ALL
-  UNION ALL SELECT source, target, asset, 1, amount, value_e4, finality, CASE WHEN value_e4 IS NULL THEN 1 ELSE 0 END, source_name, CAST(id AS VARCHAR) FROM edge WHERE annotated""")
+  array_to_string(list_sort(list(DISTINCT source_name)), ',') AS source_names FROM edge WHERE NOT annotated GROUP BY ALL
+  UNION ALL SELECT source, target, asset, 1, amount, value_e4, finality, CASE WHEN value_e4 IS NULL THEN 1 ELSE 0 END, source_name FROM edge WHERE annotated""")
 def agg_01(d):
     return m.rollup_parallel(d.edge, F.col("annotated"))
 
 
+@query("agg_01_members", "SELECT source, target, asset, id FROM edge WHERE NOT annotated")
+def agg_01_members(d):
+    return m.rollup_members(d.edge, F.col("annotated"))
+
+
 @query("win_01", "SELECT id, row_number() OVER (PARTITION BY tx_id, src, dst, asset, amount ORDER BY id) - 1 AS occurrence FROM transfer")
 def win_01(d):
     return m.occurrences(d.transfer, ["tx_id", "src", "dst", "asset", "amount"], ["id"]).select("id", "occurrence")

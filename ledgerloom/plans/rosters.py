@@ -126,13 +126,8 @@ def agg_19(d):
     return d.claim.groupBy(F.col("subject").alias("movement")).agg(F.count(F.lit(1)).alias("claims"), (F.countDistinct("source") > 1).alias("contested"))
 
 
-@query("agg_23", "SELECT cust AS trace, count(*) FILTER (WHERE id % 7 <> 0) AS edges, sum(amount) FILTER (WHERE id % 7 <> 0)::BIGINT AS amount FROM pay WHERE cust % 10 = 0 GROUP BY cust")
+@query("agg_23", "SELECT cust AS trace, count(*) FILTER (WHERE id % 7 <> 0) AS edges, sum(amount) FILTER (WHERE id % 7 <> 0)::BIGINT AS amount FROM pay GROUP BY cust")
 def agg_23(d):
-    return _traced(d.payments.filter("cust % 10 = 0"))
-
-
-@query("agg_23_all", "SELECT cust AS trace, count(*) FILTER (WHERE id % 7 <> 0) AS edges, sum(amount) FILTER (WHERE id % 7 <> 0)::BIGINT AS amount FROM pay GROUP BY cust")
-def agg_23_all(d):
     return _traced(d.payments)
 
 

@@ -94,8 +94,9 @@ def test_merges_are_idempotent(spark):
 def test_rollup_keeps_individual_edges(spark):
     rows = [(1, "a", "b", "X", 10, 5, "final", "s", False), (2, "a", "b", "X", 20, None, "provisional", "t", False), (3, "a", "b", "X", 1, 1, "final", "s", True)]
     df = spark.createDataFrame(rows, "id long, source string, target string, asset string, amount long, value_e4 long, finality string, source_name string, annotated boolean")
-    out = {r["underlying"]: r for r in mv.rollup_parallel(df, F.col("annotated")).collect()}
-    assert out["1,2"]["amount"] == 30 and out["1,2"]["finality"] == "provisional" and out["1,2"]["no_price"] == 1 and out["3"]["count"] == 1
+    out = {r["count"]: r for r in mv.rollup_parallel(df, F.col("annotated")).collect()}
+    assert out[2]["amount"] == 30 and out[2]["finality"] == "provisional" and out[2]["no_price"] == 1 and out[1]["amount"] == 1
+    assert sorted(r["id"] for r in mv.rollup_members(df, F.col("annotated")).collect()) == [1, 2]
 
 
 def union_find(groups):
@@ -124,10 +125,11 @@ def test_clusters_of_all_transactions(spark):
     d = Ledger(spark, DATA)
     want = union_find(members(d.tx_output.select("tx_id", "address").collect(), "tx_id", "address"))
     rows = lambda name: plans.QUERIES[name](spark, DATA).collect()
-    assert {r["node"]: r["component"] for r in rows("grf_01_all")} == want
-    assert {r["address"]: r["cluster"] for r in rows("grf_02_all")} == want
-    assert {r["address"]: r["entity_id"] for r in rows("grf_17_all")} == {k: hashlib.sha256(f"run-1|{v}".encode()).hexdigest() for k, v in want.items()}
-    assert {x: r["cluster"] for r in rows("agg_12_all") for x in r["members"].split(",")} == {k: v for k, v in want.items() if list(want.values()).count(v) > 1}
+    assert {r["node"]: r["component"] for r in rows("grf_01")} == want
+    assert {r["address"]: r["cluster"] for r in rows("grf_02")} == want
+    assert {r["address"]: r["entity_id"] for r in rows("grf_17")} == {k: hashlib.sha256(f"run-1|{v}".encode()).hexdigest() for k, v in want.items()}
+    sizes = Counter(want.values())
+    assert {r["address"]: (r["cluster"], r["size"]) for r in rows("agg_12")} == {k: (v, sizes[v]) for k, v in want.items()}
 
 
 def test_change_clusters_of_all_transactions(spark):
@@ -144,4 +146,4 @@ def test_change_clusters_of_all_transactions(spark):
         if r["tx_id"] in groups:
             groups[r["tx_id"]].append(r["address"])
     want = union_find([g for g in groups.values() if len(set(g)) > 1])
-    assert {r["address"]: r["cluster"] for r in plans.QUERIES["grf_13_all"](spark, DATA).collect()} == want
+    assert {r["address"]: r["cluster"] for r in plans.QUERIES["grf_13"](spark, DATA).collect()} == want
