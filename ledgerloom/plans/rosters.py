@@ -163,12 +163,6 @@ def top_01(d):
     return r.top_subgraph(d.edge, 150).select("id")
 
 
-@query("top_02", "SELECT node, count(*) AS degree FROM (SELECT source AS node FROM edge UNION ALL SELECT target FROM edge) GROUP BY node ORDER BY degree DESC, node DESC LIMIT 1")
-def top_02(d):
-    degree = d.edge.select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    return degree.orderBy(F.desc("degree"), F.desc("node")).limit(1)
-
-
 @query("top_03", "SELECT connector, arg_min('c' || k, requested_at) AS seed FROM source_query JOIN (SELECT event_id AS id, k FROM ev) USING (id) JOIN customer ON c_custkey = k GROUP BY connector")
 def top_03(d):
     seeds = d.source_query.withColumn("k", F.get_json_object("params", "$.k").cast("long")).join(d.read("customer").select(F.col("c_custkey").alias("k")), "k", "left_semi")
