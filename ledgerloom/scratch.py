@@ -37,14 +37,16 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, name: str, wanted: DataFrame | None = None) -> DataFrame:
     """Like table(), with the rows in buckets by a hash of the key: joins on it then shuffle only their other side.
 
-    There are as many buckets as shuffle partitions. The table is external, so only its folder holds data.
+    Only rows whose key is wanted are kept, if keys are given; the shuffle into buckets serves that join too. There are as
+    many buckets as shuffle partitions. The table is external, so only its folder holds data.
     """
     spark, unique = df.sparkSession, f"ledgerloom_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartition(buckets, key)
+    dealt = dealt if wanted is None else dealt.join(wanted, key, "left_semi")
     dealt.write.bucketBy(buckets, key).option("path", f"{_folder(spark)}/{name}-{unique}").saveAsTable(unique)
     return spark.table(unique)
 
