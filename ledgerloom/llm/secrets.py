@@ -18,7 +18,7 @@ PLAIN_DOCS, PLANTED = 4_000, 4_000
 #: Findings of each label that are used, at most.
 TRAINING_FINDINGS = 4_000
 #: The dictionary: words of so many letters that this share of all documents has at least. A share bounds its size at any corpus size.
-DICTIONARY_SHARE, LEAST_LETTERS = 0.002, 3
+DICTIONARY_SHARE, LEAST_LETTERS = 0.05, 3
 TREES, DEPTH = 15, 6
 
 _NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|api[_-]?key|access[_-]?key|auth)"
