@@ -133,6 +133,14 @@ def format_amount(amount: Column, decimals: int, symbol: Column) -> Column:
     return F.concat_ws(" ", F.regexp_replace(F.regexp_replace(number, r"(\.\d*?)0+$", "$1"), r"\.$", ""), symbol)
 
 
+def usd_label(value: Column) -> Column:
+    """SCL-09: '$1,234.56' from one dollar on, below that four significant digits without zeros at the end; null stays null."""
+    places = F.greatest(F.lit(3) - F.floor(F.log10(F.abs(value))).cast("int"), F.lit(0))
+    text = F.format_number(value, 12)
+    fine = F.regexp_replace(F.regexp_replace(F.substring(text, F.lit(1), F.lit(2) + places), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(value >= 1, F.concat(F.lit("$"), F.format_number(value, 2))).when(value == 0, "$0").when(value.isNotNull(), F.concat(F.lit("$"), fine))
+
+
 def short(text: Column) -> Column:
     """SCL-10: first four, ellipsis, last four of anything longer than nine characters."""
     return F.when(F.length(text) > 9, F.concat(F.substring(text, 1, 4), F.lit("…"), F.substring(text, -4, 4))).otherwise(text)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import table
+
 
 def latest_per_source(claims: DataFrame, subject: str = "subject") -> DataFrame:
     """WIN-04: each source's last claim on a subject, by (time, id)."""
@@ -105,14 +107,28 @@ def snapshot_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame
     return before.select(key, "hash").join(now, key, "left").select(key, change.alias("change")).filter("change is not null")
 
 
-def anchor_digest(rows: DataFrame, digest: Column, buckets: int = 256) -> DataFrame:
-    """AUD-12: one SHA-256 over all row digests, whatever their order: sorted within buckets, then over the buckets.
+def anchor_digest(rows: DataFrame, digest: Column) -> DataFrame:
+    """AUD-12: one SHA-256 over all row digests, whatever their order: over the number of rows and the sums of the digests' eight words.
+
+    The sums combine map-side, so that no task gathers digests, whatever the number of rows.
+    """
+    h = rows.select(digest.alias("h"))
+    word = lambda i: F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
+    sums = h.agg(F.count(F.lit(1)).alias("rows"), *(F.coalesce(F.sum(word(i)), F.lit(0)).cast("string").alias(f"w{i}") for i in range(8)))
+    return sums.select(F.sha2(F.concat_ws("|", F.col("rows").cast("string"), *(f"w{i}" for i in range(8))), 256).alias("digest"), "rows")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """TOP-06, WIN-06: rows with their place (from 1) in the order of the given columns.
 
-    A bucket is a share of the hash space, so a task never holds more than that share.
+    A range-partitioned sort numbers each partition's rows; what lies before a partition comes from a table of one row
+    per partition. So no task sorts the whole table. Ties in all columns are the same row repeated.
     """
-    hashed = rows.select(digest.alias("h")).withColumn("bucket", F.substring("h", 1, 2))
-    parts = hashed.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("part"), F.count(F.lit(1)).alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("bucket", "part"))), ""), 256).alias("digest"), F.sum("n").alias("rows"))
+    part, row = F.spark_partition_id(), F.monotonically_increasing_id()
+    placed = table(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", part.alias("__part"), (row - F.shiftleft(part.cast("long"), 33)).alias("__row")), "numbered")
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("first"))
+    before = sizes.select("__part", (F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) - F.col("first")).alias("shift"))
+    return placed.join(F.broadcast(before), "__part").select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("__row") + F.col("shift") + 1).alias(name))
 
 
 def run_audits(checks: dict[str, DataFrame], sample: int = 20) -> DataFrame:

@@ -169,7 +169,7 @@ def scl_25(d):
     return d.read("customer").select(F.col("c_custkey").alias("id"), s.clip(F.when(F.col("c_custkey") % 2 == 0, F.concat_ws(" ", *["c_name"] * 5)).otherwise("   ")).alias("clipped"))
 
 
-@query("scl_26")
+@query("scl_26", """SELECT tx_id, sha256(CAST(to_json({'block_height': block_height, 'block_ts': block_ts, 'chain': chain, 'status': status, 'tx_id': tx_id}) AS VARCHAR)) AS row_hash FROM tx""")
 def scl_26(d):
     return d.tx.select("tx_id", s.row_hash("tx_id", "chain", "block_height", "block_ts", "status").alias("row_hash"))
 

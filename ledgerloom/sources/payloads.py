@@ -1,4 +1,4 @@
-"""Normalising landed payload rows into canonical rows (SRC-01, 03, 05, 06, 12, 17, 18; SNK-03, SNK-05)."""
+"""Normalising landed payload rows into canonical rows (SRC-01, 03, 05, 06, 12, 17; SNK-03, SNK-05)."""
 
 from __future__ import annotations
 
