@@ -135,15 +135,19 @@ def change_clusters(inputs: DataFrame, outputs: DataFrame, votes: DataFrame, mix
 def deposit_forwards(transfers: DataFrame, exchange: DataFrame, tolerance: Column, window: int = 3_200) -> DataFrame:
     """JON-09: deposit, user, exchange of transfers into an address that soon forwards them to an exchange.
 
-    The exchange side is cut down first; the join is on (deposit, asset) with the amount and block conditions as
-    residuals, and adaptive execution splits a hot deposit.
+    The join is on (deposit, asset, stretch of `window` blocks): a transfer meets what leaves in its own stretch and the
+    next, so a hot deposit forms no pairs over its whole history. The amount and block conditions are residuals.
+    Exchanges are joined as any table; Spark broadcasts them where they are small.
     """
-    known = exchange.select("address")
-    out = transfers.join(F.broadcast(known.select(F.col("address").alias("dst"))), "dst", "left_semi").join(F.broadcast(known.select(F.col("address").alias("src"))), "src", "left_anti")
-    out = out.select(F.col("src").alias("deposit"), F.col("dst").alias("exchange"), "asset", F.col("amount").alias("sent"), F.col("block_height").alias("after"))
-    into = transfers.join(F.broadcast(known.select(F.col("address").alias("src"))), "src", "left_anti").select(F.col("dst").alias("deposit"), F.col("src").alias("user"), "asset", "amount", "block_height")
+    known = exchange.select("address").distinct()
+    named = lambda end: known.select(F.col("address").alias(end))
+    stretch = lambda height: F.floor(height / window).cast("long")
+    rest = transfers.filter("block_height is not null").join(named("src"), "src", "left_anti")
+    out = rest.join(named("dst"), "dst", "left_semi").select(F.col("src").alias("deposit"), F.col("dst").alias("exchange"), "asset", F.col("amount").alias("sent"), F.col("block_height").alias("after"), stretch(F.col("block_height")).alias("stretch"))
+    at = stretch(F.col("block_height"))
+    into = rest.select(F.col("dst").alias("deposit"), F.col("src").alias("user"), "asset", "amount", "block_height", F.explode(F.array(at, at + 1)).alias("stretch"))
     spare, wait = F.col("amount") - F.col("sent"), F.col("after") - F.col("block_height")
-    return into.join(out, ["deposit", "asset"]).filter((spare >= 0) & (spare <= tolerance) & (wait >= 0) & (wait <= window)).select("deposit", "user", "exchange")
+    return into.join(out, ["deposit", "asset", "stretch"]).filter((spare >= 0) & (spare <= tolerance) & (wait >= 0) & (wait <= window)).select("deposit", "user", "exchange")
 
 
 def deposit_reuse(forwards: DataFrame) -> DataFrame:
@@ -164,7 +168,7 @@ def airdrop_forwards(transfers: DataFrame, exchange: DataFrame, least: int = 1_0
     """JON-10: airdrop (source, asset, amount), recipient and the address to which it sends the same amount on."""
     drops = transfers.groupBy(F.col("src").alias("source"), "asset", "amount").agg(F.countDistinct("dst").alias("n")).filter(F.col("n") >= least).drop("n")
     recipients = transfers.select(F.col("src").alias("source"), "asset", "amount", F.col("dst").alias("recipient")).distinct().join(drops, ["source", "asset", "amount"])
-    sent = transfers.join(F.broadcast(exchange.select(F.col("address").alias("dst"))), "dst", "left_anti").select("asset", "amount", F.col("src").alias("recipient"), F.col("dst").alias("aggregator")).distinct()
+    sent = transfers.join(exchange.select(F.col("address").alias("dst")), "dst", "left_anti").select("asset", "amount", F.col("src").alias("recipient"), F.col("dst").alias("aggregator")).distinct()
     return recipients.join(sent, ["asset", "amount", "recipient"])
 
 
@@ -181,7 +185,7 @@ def approval_pairs(approvals: DataFrame, exchange: DataFrame, most: int = 10) ->
     pairs = approvals.filter("owner <> spender").select("owner", "spender").distinct()
     owners = pairs.groupBy("spender").agg(F.count(F.lit(1)).alias("owners")).filter(F.col("owners") <= most)
     spenders = pairs.groupBy("owner").agg(F.count(F.lit(1)).alias("spenders")).filter(F.col("spenders") <= most)
-    return pairs.join(owners, "spender").join(spenders, "owner").join(F.broadcast(exchange.select(F.col("address").alias("spender"))), "spender", "left_anti").select("owner", "spender")
+    return pairs.join(owners, "spender").join(spenders, "owner").join(exchange.select(F.col("address").alias("spender")), "spender", "left_anti").select("owner", "spender")
 
 
 def materialize(clusters: DataFrame, run: str) -> DataFrame:

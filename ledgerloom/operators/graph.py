@@ -274,3 +274,11 @@ def canonical_choice(memberships: DataFrame, retractions: DataFrame, terminals:
     rows = asked.join(known, "membership", "left").join(end("entity", "a"), "entity", "left").join(end("owner", "b"), "owner", "left")
     outcome = F.when(F.col("owner").isNull() | (F.coalesce("a", "entity") != F.coalesce("b", "owner")), "not of this entity").when(F.col("gone"), "retracted").otherwise("accepted")
     return rows.select("entity", "membership", outcome.alias("outcome"))
+
+
+def entity_roster(entities: DataFrame, memberships: DataFrame, retractions: DataFrame) -> DataFrame:
+    """AGG-29: entity, name, members of canonical entities with an active membership; memberships of merged entities count for their terminal."""
+    ends = entities.select("id").join(resolve_merges(entities).select("id", "terminal"), "id", "left").select(F.col("id").alias("entity"), F.coalesce("terminal", "id").alias("terminal"))
+    active = memberships.join(retractions.select("id"), "id", "left_anti").join(ends, "entity")
+    n = active.groupBy(F.col("terminal").alias("entity")).agg(F.countDistinct("member").alias("members"))
+    return n.join(entities.select(F.col("id").alias("entity"), "name"), "entity").select("entity", "name", "members")

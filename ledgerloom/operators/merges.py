@@ -127,3 +127,14 @@ def refetch_diff(before: DataFrame, after: DataFrame, key: str, signature: Colum
     both = after.withColumn("signature", signature).join(old, key, "left")
     change = F.when(F.col("old_finality").isNull(), "new").when((F.col("old_finality") == "provisional") & (F.col("finality") == "final"), "finalized").when((F.col("finality") == "provisional") & ~F.col("signature").eqNullSafe(F.col("old_signature")), "corrected")
     return both.select(key, change.alias("change")).filter("change is not null")
+
+
+def judge(rows: DataFrame, kinds: list[str], targets: DataFrame) -> DataFrame:
+    """LIF-05: rows with accepted: of an allowed kind, and on a target that exists."""
+    known = targets.select("target").distinct().withColumn("found", F.lit(True))
+    return rows.join(known, "target", "left").withColumn("accepted", F.col("kind").isin(kinds) & F.coalesce("found", F.lit(False))).drop("found")
+
+
+def drop_findings(rows: DataFrame, deleted: DataFrame) -> DataFrame:
+    """LIF-05: notes and references without those of deleted findings."""
+    return rows.join(deleted.select("finding").distinct(), "finding", "left_anti")

@@ -7,10 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def movement_view(transfers: DataFrame, outputs: DataFrame) -> DataFrame:
-    """JON-01: transfers and UTXO outputs in one schema; an output has no source and the chain's own asset."""
-    account = transfers.select(F.lit("transfer").alias("subject_type"), "id", "tx_id", "chain", "src", "dst", "asset", "amount")
-    utxo = outputs.select(F.lit("tx_output").alias("subject_type"), "id", "tx_id", F.lit("bitcoin").alias("chain"), F.lit(None).cast("string").alias("src"), F.col("address").alias("dst"), F.lit("BTC").alias("asset"), "amount")
+def movement_view(transfers: DataFrame, outputs: DataFrame, value: bool = False) -> DataFrame:
+    """JON-01: transfers and UTXO outputs in one schema; an output has no source and the chain's own asset.
+
+    value: carry the transfers' column value, null for outputs, so that nothing has to be joined back.
+    """
+    account = transfers.select(F.lit("transfer").alias("subject_type"), "id", "tx_id", "chain", "src", "dst", "asset", "amount", *(["value"] if value else []))
+    utxo = outputs.select(F.lit("tx_output").alias("subject_type"), "id", "tx_id", F.lit("bitcoin").alias("chain"), F.lit(None).cast("string").alias("src"), F.col("address").alias("dst"), F.lit("BTC").alias("asset"), "amount", *([F.lit(None).cast("long").alias("value")] if value else []))
     return account.unionByName(utxo)
 
 

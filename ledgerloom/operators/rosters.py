@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import short
 from ..scratch import table
 
 
@@ -118,17 +119,53 @@ def anchor_digest(rows: DataFrame, digest: Column) -> DataFrame:
     return sums.select(F.sha2(F.concat_ws("|", F.col("rows").cast("string"), *(f"w{i}" for i in range(8))), 256).alias("digest"), "rows")
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
-    """TOP-06, WIN-06: rows with their place (from 1) in the order of the given columns.
+def numbered(rows: DataFrame, order: list[str], name: str = "place", within: list[str] | None = None) -> DataFrame:
+    """TOP-06, WIN-06, WIN-10: rows with their place (from 1) in the order of the given columns, in each group if `within` is given.
 
     A range-partitioned sort numbers each partition's rows; what lies before a partition comes from a table of one row
-    per partition. So no task sorts the whole table. Ties in all columns are the same row repeated.
+    per partition, and a group's start from an aggregate. So no task sorts the whole table or a whole group. Ties in all
+    columns are the same row repeated.
     """
+    order = [*(within or []), *(c for c in order if c not in (within or []))]
     part, row = F.spark_partition_id(), F.monotonically_increasing_id()
     placed = table(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", part.alias("__part"), (row - F.shiftleft(part.cast("long"), 33)).alias("__row")), "numbered")
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("first"))
     before = sizes.select("__part", (F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) - F.col("first")).alias("shift"))
-    return placed.join(F.broadcast(before), "__part").select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("__row") + F.col("shift") + 1).alias(name))
+    out = placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__row") + F.col("shift") + 1).drop("__part", "__row", "shift")
+    if within:
+        starts = out.groupBy(*within).agg(F.min(name).alias("__start"))
+        out = out.join(starts, within).withColumn(name, F.col(name) - F.col("__start") + 1)
+    return out.select(*(F.col(f"`{c}`") for c in rows.columns), name)
+
+
+def valuations_by_source(values: DataFrame) -> DataFrame:
+    """AGG-19: movement, source, claims, least, most, contested of valuations (id, value, source)."""
+    one = values.groupBy("id", "source").agg(F.count(F.lit(1)).alias("claims"), F.min("value").alias("least"), F.max("value").alias("most"))
+    many = one.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("contested"))
+    return one.join(many, "id").withColumnRenamed("id", "movement")
+
+
+def glossary(evidence: dict[str, DataFrame]) -> DataFrame:
+    """AGG-27: term, listed: a term is listed if its evidence has a row. One existence probe each, which stops at the first row."""
+    found = [rows.select(F.lit(term).alias("term")).limit(1) for term, rows in evidence.items()]
+    hit = found[0]
+    for f in found[1:]:
+        hit = hit.unionByName(f)
+    terms = hit.sparkSession.createDataFrame([(t,) for t in evidence], "term string")
+    return terms.join(hit.withColumn("listed", F.lit(True)), "term", "left").select("term", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
+def display(references: DataFrame, labels: dict[str, DataFrame]) -> DataFrame:
+    """JON-18: references (kind, id) with the label of their target and its node; labels: id, label by kind. A target without a label shows its id."""
+    parts = [rows.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), "label") for kind, rows in labels.items()]
+    known = parts[0]
+    for k in parts[1:]:
+        known = known.unionByName(k)
+    named = references.join(known.groupBy("kind", "id").agg(F.min("label").alias("label")), ["kind", "id"], "left")
+    alias = short(F.col("id"))
+    plain = F.when(F.col("kind").isin("tx_output", "transfer"), F.concat(F.when(F.col("kind") == "tx_output", "output ").otherwise("transfer "), alias)).when(F.col("kind") == "entity", F.concat(F.lit("entity "), alias)).otherwise(F.col("id"))
+    node = F.when(F.col("kind") == "address", F.concat(F.lit("addr:"), "id")).when(F.col("kind") == "transaction", F.concat(F.lit("tx:"), "id"))
+    return named.withColumn("label", F.coalesce("label", plain)).withColumn("node", node)
 
 
 def run_audits(checks: dict[str, DataFrame], sample: int = 20) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import merges as m
+from ..operators import rosters as r
+from ..operators.graph import entity_roster
 from .registry import Registry
 
 REGISTRY = query = Registry()
@@ -37,12 +39,16 @@ def agg_25(d):
     return notes.join(tags, "subject", "full_outer").join(label, "subject", "full_outer")
 
 
-@query("agg_27", """SELECT 'look-alike' AS term, count(*) FILTER (WHERE kind = 'lookalike') > 0 AS listed FROM transfer UNION ALL SELECT 'mempool', count(*) FILTER (WHERE block_height IS NULL) > 0 FROM tx
-  UNION ALL SELECT 'sanctioned', count(*) FILTER (WHERE category = 'sanctioned') > 0 FROM risk UNION ALL SELECT 'bridge', false""")
+@query("agg_27", """SELECT 'UTXO' AS term, count(*) FILTER (WHERE chain = 'bitcoin') > 0 AS listed FROM tx UNION ALL SELECT 'FIFO', count(*) > 0 FROM tx_input UNION ALL SELECT 'provisional', count(*) FILTER (WHERE finality = 'provisional') > 0 FROM edge
+  UNION ALL SELECT 'value at time', count(*) FILTER (WHERE value_e4 IS NOT NULL) > 0 FROM valued UNION ALL SELECT 'attribution', count(*) > 0 FROM attribution UNION ALL SELECT 'CoinJoin', (SELECT count(*) FROM (SELECT tx_id FROM tx_output GROUP BY tx_id HAVING count(*) >= 100)) > 0
+  UNION ALL SELECT 'sanctioned', count(*) FILTER (WHERE category = 'sanctioned') > 0 FROM risk UNION ALL SELECT 'co-spend cluster', (SELECT count(*) FROM (SELECT tx_id FROM tx_input GROUP BY tx_id HAVING count(DISTINCT address) >= 2)) > 0 UNION ALL SELECT 'bridge', (SELECT count(*) FROM ev WHERE event_type = 'bridge') > 0""")
 def agg_27(d):
-    flag = lambda rows, term, test: rows.agg(F.coalesce(F.bool_or(test), F.lit(False)).alias("listed")).select(F.lit(term).alias("term"), "listed")
-    parts = [flag(d.transfer, "look-alike", F.col("kind") == "lookalike"), flag(d.tx, "mempool", F.col("block_height").isNull()), flag(d.risk, "sanctioned", F.col("category") == "sanctioned"), flag(d.tx, "bridge", F.col("chain") == "none")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    """FIFO links exist where inputs do; transactions of 100 outputs or more would stand for mixes here, events of type bridge for crossings."""
+    shared = d.tx_input.groupBy("tx_id").agg(F.countDistinct("address").alias("n")).filter("n >= 2")
+    return r.glossary({
+        "UTXO": d.tx.filter("chain = 'bitcoin'"), "FIFO": d.tx_input, "provisional": d.edge.filter("finality = 'provisional'"), "value at time": d.valued.filter("value_e4 is not null"), "attribution": d.attribution,
+        "CoinJoin": d.tx_output.groupBy("tx_id").count().filter("count >= 100"), "sanctioned": d.risk.filter("category = 'sanctioned'"), "co-spend cluster": shared, "bridge": d.events.filter("event_type = 'bridge'"),
+    })
 
 
 _named = "e AS (SELECT category AS entity, address, label, source FROM attribution WHERE CAST(substr(address, 2) AS BIGINT) % 9 <> 0)"
@@ -58,9 +64,14 @@ def _entities(d):
     return d.attribution.filter(F.substring("address", 2, 20).cast("long") % 9 != 0).select(F.col("category").alias("entity"), "address", "label", "source")
 
 
-@query("agg_29", f"WITH {_named} SELECT entity FROM e GROUP BY entity HAVING count(DISTINCT address) >= 1")
+@query("agg_29", """WITH p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 5 THEN c_custkey - 1 END AS merged_into, c_mktsegment AS name FROM customer), m AS (SELECT 'c' || user_id AS member, CAST(k AS BIGINT) AS entity, event_id AS id FROM ev WHERE event_id % 3 <> 0),
+  t AS (SELECT m.*, coalesce(p.merged_into, p.id) AS terminal FROM m JOIN p ON p.id = m.entity) SELECT terminal AS entity, min(p.name) AS name, count(DISTINCT member) AS members FROM t JOIN p ON p.id = terminal GROUP BY terminal""")
 def agg_29(d):
-    return _entities(d).select("entity").distinct()
+    """Events assign users to entities, every third is retracted; the roster has canonical entities with an active member, merged ones under their terminal."""
+    k = F.col("c_custkey")
+    entities = d.read("customer").select(k.alias("id"), F.when(k % 10 == 5, k - 1).alias("merged_into"), F.col("c_mktsegment").alias("name"))
+    rows = d.events.select(F.col("event_id").alias("id"), F.concat(F.lit("c"), "user_id").alias("member"), F.col("k").alias("entity"))
+    return entity_roster(entities, rows, rows.filter("id % 3 = 0").select("id"))
 
 
 @query("agg_30", f"WITH {_named} SELECT entity, source, count(*) AS members, array_to_string(list_slice(list_sort(list(address)), 1, 5), ',') AS first, greatest(count(*) - 5, 0) AS more FROM e GROUP BY entity, source")

@@ -173,11 +173,25 @@ def lif_04(d):
     return o.select(F.lit("output").alias("side"), "id", F.col("spending_tx_id").alias("link")).unionByName(i.select(F.lit("input").alias("side"), "id", F.col("prev_output_id").alias("link")))
 
 
-@query("lif_05", "SELECT event_id AS id, event_type IN ('click', 'view') AND k < 60 AS accepted FROM ev")
+_targets = "f AS (SELECT event_id AS id, event_type IN ('click', 'view', 'purchase') AND k IN (SELECT DISTINCT k % 60 FROM ev) AS accepted, event_type = 'error' AS gone, event_id // 10 AS finding FROM ev)"
+
+
+@query("lif_05", f"WITH {_targets} SELECT id, accepted FROM f")
 def lif_05(d):
-    """Tags on customers: the type must be allowed and the target exist."""
-    targets = d.events.select((F.col("k") % 60).alias("k")).distinct().withColumn("found", F.lit(True))
-    return d.events.join(targets, "k", "left").select(F.col("event_id").alias("id"), (F.col("event_type").isin("click", "view") & F.coalesce("found", F.lit(False))).alias("accepted"))
+    """Rows on customers: the type must be allowed and the target exist."""
+    return m.judge(_investigator_rows(d), ["click", "view", "purchase"], d.events.select((F.col("k") % 60).alias("target")).distinct()).select("id", "accepted")
+
+
+def _investigator_rows(d):
+    return d.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("k").alias("target"), F.expr("event_id div 10").alias("finding"))
+
+
+@query("lif_05_cascade", f"WITH {_targets} SELECT id FROM f WHERE accepted AND finding NOT IN (SELECT finding FROM f WHERE gone)")
+def lif_05_cascade(d):
+    """Findings with a row of type error are deleted; their notes and references go with them."""
+    rows = _investigator_rows(d)
+    kept = m.judge(rows, ["click", "view", "purchase"], d.events.select((F.col("k") % 60).alias("target")).distinct()).filter("accepted")
+    return m.drop_findings(kept, rows.filter("kind = 'error'").select("finding")).select("id")
 
 
 @query("set_02", "SELECT 'claim' AS kind, id, retrieved_at AS ts FROM claim UNION ALL SELECT 'approval', id, retrieved_at FROM approval UNION ALL SELECT 'query', id, requested_at FROM source_query WHERE id % 7 <> 0")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import movements as m
 from ..operators import tracing as t
+from ..operators.graph import magnitude
+from ..operators.rosters import numbered
 from .registry import Registry
 
 REGISTRY = query = Registry()
@@ -55,8 +57,7 @@ _moved = "(SELECT m.*, CASE WHEN subject_type = 'transfer' THEN value_e4 END AS
   FROM (SELECT dst AS address, 'in' AS side, value, amount, native FROM {_moved} UNION ALL SELECT src, 'out', value, amount, native FROM {_moved} WHERE src IS NOT NULL
         UNION ALL SELECT address, 'out', NULL, amount, true FROM tx_input) GROUP BY address""")
 def agg_02(d):
-    values = d.valued.select(F.lit("transfer").alias("subject_type"), "id", F.col("value_e4").alias("value"))
-    rows = m.movement_view(d.transfer, d.tx_output).join(values, ["subject_type", "id"], "left")
+    rows = m.movement_view(d.valued.withColumns({"chain": F.lit("ethereum"), "value": F.col("value_e4")}), d.tx_output, value=True)
     return m.address_totals(rows, d.tx_input, F.col("asset").isin("Brand#1", "BTC"))
 
 
@@ -72,9 +73,9 @@ def agg_01_members(d):
     return m.rollup_members(d.edge, F.col("annotated"))
 
 
-@query("win_01", "SELECT id, row_number() OVER (PARTITION BY tx_id, src, dst, asset, amount ORDER BY id) - 1 AS occurrence FROM transfer")
+@query("win_01", "SELECT id, row_number() OVER (PARTITION BY tx_id, src, dst, asset, amount, kind ORDER BY id) - 1 AS occurrence FROM transfer")
 def win_01(d):
-    return m.occurrences(d.transfer, ["tx_id", "src", "dst", "asset", "amount"], ["id"]).select("id", "occurrence")
+    return m.occurrences(d.transfer, ["tx_id", "src", "dst", "asset", "amount", "kind"], ["id"]).select("id", "occurrence")
 
 
 @query("win_02", "SELECT l_orderkey * 100 + rn AS id, rn - 1 AS position FROM ln")
@@ -115,7 +116,7 @@ def win_09(d):
 @query("win_10", """SELECT other, asset, best, row_number() OVER (PARTITION BY asset ORDER BY best, other) AS place FROM (SELECT source AS other, asset, max(value_e4) AS best FROM edge GROUP BY ALL) WHERE best IS NOT NULL""")
 def win_10(d):
     best = d.edge.groupBy(F.col("source").alias("other"), "asset").agg(F.max("value_e4").alias("best")).filter("best is not null")
-    return best.withColumn("place", F.row_number().over(W.partitionBy("asset").orderBy("best", "other")).cast("long"))
+    return numbered(best, ["best", "other"], within=["asset"])
 
 
 @query("win_13", """WITH x AS (SELECT id, CASE WHEN value_e4 > 0 THEN '' ELSE asset END AS scale, CASE WHEN value_e4 > 0 THEN ln(value_e4) WHEN value_e4 IS NULL AND amount > 0 THEN ln(amount) END AS x FROM edge),
@@ -172,9 +173,12 @@ def flt_08(d):
     return d.attribution.filter("source = 'segment'").join(risky, "address", "left").select("address", (F.coalesce("risky", F.lit(False)) | (F.col("category") == "exchange")).alias("flagged"))
 
 
-@query("flt_09", "SELECT id, value_e4 AS by_value, amount AS by_native FROM edge")
+@query("flt_09", "SELECT id, 'usd' AS basis, value_e4 AS magnitude FROM edge WHERE value_e4 IS NULL OR value_e4 >= 50000000 UNION ALL SELECT id, 'native', amount FROM edge WHERE amount >= 500000")
 def flt_09(d):
-    return d.edge.select("id", F.col("value_e4").alias("by_value"), F.col("amount").alias("by_native"))
+    """Edges of half a kilo-dollar or more in either basis; an edge without a price passes a floor of value."""
+    rows = d.edge.withColumnRenamed("value_e4", "value")
+    parts = [rows.select("id", F.lit(basis).alias("basis"), magnitude(basis).alias("magnitude")).filter(F.col("magnitude").isNull() | (F.col("magnitude") >= least)) for basis, least in (("usd", 50_000_000), ("native", 500_000))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("flt_10", "SELECT DISTINCT address, address = 'c12' AS exact FROM attribution WHERE starts_with(lower(address), 'c12')")

@@ -26,9 +26,8 @@ def win_05(d):
 
 @query("win_06", "SELECT id, 'Exhibit ' || row_number() OVER (PARTITION BY connector ORDER BY requested_at, id) AS exhibit FROM source_query")
 def win_06(d):
-    from pyspark.sql import Window as W
-
-    return d.source_query.select("id", F.concat(F.lit("Exhibit "), F.row_number().over(W.partitionBy("connector").orderBy("requested_at", "id"))).alias("exhibit"))
+    rows = r.numbered(d.source_query.select("connector", "requested_at", "id"), ["requested_at", "id"], within=["connector"])
+    return rows.select("id", F.concat(F.lit("Exhibit "), "place").alias("exhibit"))
 
 
 @query("win_12", "SELECT connector, max(id) AS anchor FROM source_query GROUP BY connector")
@@ -121,9 +120,13 @@ def agg_18(d):
     return d.attribution.groupBy("address", "source").agg(F.count(F.lit(1)).alias("claims"), F.array_join(F.array_sort(F.collect_list("label")), ";").alias("labels"))
 
 
-@query("agg_19", "SELECT subject AS movement, count(*) AS claims, count(DISTINCT source) > 1 AS contested FROM claim GROUP BY subject")
+@query("agg_19", """WITH v AS (SELECT id, value_e4 AS value, 'feed' AS source FROM valued WHERE value_e4 IS NOT NULL UNION ALL SELECT id, value_e4 + id % 7 - 3, CASE WHEN id % 8 = 0 THEN 'feed' ELSE 'export' END FROM valued WHERE value_e4 IS NOT NULL AND id % 4 < 2)
+  SELECT id AS movement, source, count(*) AS claims, min(value) AS least, max(value) AS most, count(DISTINCT source) OVER (PARTITION BY id) > 1 AS contested FROM v GROUP BY id, source""".replace("count(DISTINCT source) OVER (PARTITION BY id) > 1", "count(*) OVER (PARTITION BY id) > 1"))
 def agg_19(d):
-    return d.claim.groupBy(F.col("subject").alias("movement")).agg(F.count(F.lit(1)).alias("claims"), (F.countDistinct("source") > 1).alias("contested"))
+    """Valuations of every movement by source; a movement that more than one source values is contested, two claims of one source are not."""
+    v = d.valued.filter("value_e4 is not null").select("id", F.col("value_e4").alias("value"))
+    more = v.filter("id % 4 < 2").select("id", (F.col("value") + F.col("id") % 7 - 3).alias("value"), F.when(F.col("id") % 8 == 0, "feed").otherwise("export").alias("source"))
+    return r.valuations_by_source(v.withColumn("source", F.lit("feed")).unionByName(more))
 
 
 @query("agg_23", "SELECT cust AS trace, count(*) FILTER (WHERE id % 7 <> 0) AS edges, sum(amount) FILTER (WHERE id % 7 <> 0)::BIGINT AS amount FROM pay GROUP BY cust")
@@ -196,10 +199,19 @@ def jon_17(d):
     return d.claim.filter("source = 'view'").select("subject", "label").distinct().join(d.claim.filter("source = 'click' or id % 2 = 0").select("subject", "label"), ["subject", "label"], "left_anti")
 
 
-@query("jon_18", "SELECT 'tx' AS kind, CAST(tx_id AS VARCHAR) AS id, chain || ' ' || tx_id AS label FROM tx UNION ALL SELECT 'address', address, label FROM attribution WHERE source = 'region'")
+_shown = "CASE WHEN length(x) > 9 THEN left(x, 4) || '…' || right(x, 4) ELSE x END"
+
+
+@query("jon_18", f"""WITH ref AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'address' WHEN 1 THEN 'transaction' WHEN 2 THEN 'transfer' ELSE 'entity' END AS kind, CASE event_id % 4 WHEN 0 THEN 'c' || user_id WHEN 1 THEN CAST(event_id AS VARCHAR) WHEN 2 THEN '0xabcdef' || event_id ELSE 'e' || k END AS x FROM ev),
+  a AS (SELECT address, min(label) AS label FROM attribution WHERE source = 'region' GROUP BY 1)
+  SELECT event_id, kind, x AS id, CASE kind WHEN 'address' THEN coalesce(a.label, x) WHEN 'transaction' THEN coalesce(chain || ' ' || tx_id, x) WHEN 'transfer' THEN 'transfer ' || {_shown} ELSE 'entity ' || {_shown} END AS label,
+    CASE kind WHEN 'address' THEN 'addr:' || x WHEN 'transaction' THEN 'tx:' || x END AS node FROM ref LEFT JOIN a ON kind = 'address' AND a.address = x LEFT JOIN tx ON kind = 'transaction' AND CAST(tx_id AS VARCHAR) = x""")
 def jon_18(d):
-    tx = d.tx.select(F.lit("tx").alias("kind"), F.col("tx_id").cast("string").alias("id"), F.concat_ws(" ", "chain", "tx_id").alias("label"))
-    return tx.unionByName(d.attribution.filter("source = 'region'").select(F.lit("address").alias("kind"), F.col("address").alias("id"), "label"))
+    i, turn = F.col("event_id"), F.col("event_id") % 4
+    kind = F.when(turn == 0, "address").when(turn == 1, "transaction").when(turn == 2, "transfer").otherwise("entity")
+    ident = F.when(turn == 0, F.concat(F.lit("c"), "user_id")).when(turn == 1, i.cast("string")).when(turn == 2, F.concat(F.lit("0xabcdef"), i)).otherwise(F.concat(F.lit("e"), "k"))
+    labels = {"address": d.attribution.filter("source = 'region'").select(F.col("address").alias("id"), "label"), "transaction": d.tx.select(F.col("tx_id").alias("id"), F.concat_ws(" ", "chain", "tx_id").alias("label"))}
+    return r.display(d.events.select("event_id", kind.alias("kind"), ident.alias("id")), labels)
 
 
 @query("jon_19", "SELECT id, owner IN (SELECT address FROM attribution) AND spender IN (SELECT dst FROM transfer UNION SELECT src FROM transfer) AS accepted FROM approval")
