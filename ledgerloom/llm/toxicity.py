@@ -22,6 +22,8 @@ BANDS, SIZES = 8, (0.5, 1.5)
 CELLS = BANDS * (len(SIZES) + 1)
 #: Ridge of the calibration.
 RIDGE = 1.0
+#: Documents for each bucket in which distinct bigrams are counted.
+BUCKET_DOCS = 8_000
 #: Stands before the first word of a text.
 START = np.int64(-1)
 
@@ -192,35 +194,59 @@ def _gram_counts(sample: DataFrame) -> Grams:
     return Grams(words, word_counts, (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), pair_counts)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as compressed differences, by byte plane."""
+    return zlib.compress(np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def continuations(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text") -> np.ndarray:
     """The number of distinct bigrams of all documents that end in each word of the sorted vocabulary; last, those that end in other words.
 
-    A bigram travels as one long: the place of its word, and 40 bits of a hash of its two words. Tasks set aside what they
-    have met already, as far as a table of bounded size goes; the distinct ones are left to Spark.
+    A bigram is a 64-bit number: the place of its word, and 40 bits of a hash of its two words. A task sets aside what it
+    has met already and deals the others by that hash into buckets, which are packed for the shuffle; a bucket is merged
+    in one task. There are as many buckets as keep one at a few million bigrams, and no word can crowd one.
     """
-    size = len(vocabulary)
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, rows = [], 0
-        for batch in batches:
-            for part in in_calls(batch):
-                _, word, before = hashed_words(part["text"])
-                spot = np.minimum(np.searchsorted(vocabulary, word), max(size - 1, 0))
-                place = np.where(vocabulary[spot] == word, spot, size) if size else np.zeros(len(word), np.int64)
-                with np.errstate(over="ignore"):
-                    mark = _mix(_mix(before) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)) >> np.uint64(24)
-                held.append(np.unique((place.astype(np.uint64) << np.uint64(40)) | mark))
-                rows += len(held[-1])
-                if rows > 2_000_000:
-                    yield pd.DataFrame({"pair": np.unique(np.concatenate(held)).view(np.int64)})
-                    held, rows = [], 0
+    size, texts = len(vocabulary), docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    buckets = max(1, -(-docs.count() // BUCKET_DOCS))
+
+    def rows(held: list[np.ndarray]) -> pd.DataFrame:
+        pairs = np.unique(np.concatenate(held))
+        bucket = (pairs % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        return pd.DataFrame({"bucket": bucket[order][cuts], "pairs": [_packed(x) for x in np.split(pairs[order], cuts[1:])]})
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, count = [], 0
+        for part in (p for batch in batches for p in in_calls(batch)):
+            _, word, before = hashed_words(part["text"])
+            if not len(word):
+                continue
+            spot = np.minimum(np.searchsorted(vocabulary, word), size - 1)
+            place = np.where(vocabulary[spot] == word, spot, size)
+            with np.errstate(over="ignore"):
+                mark = _mix(_mix(before) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)) >> np.uint64(24)
+            held.append(np.unique((place.astype(np.uint64) << np.uint64(40)) | mark))
+            count += len(held[-1])
+            if count > 4_000_000:
+                yield rows(held)
+                held, count = [], 0
         if held:
-            yield pd.DataFrame({"pair": np.unique(np.concatenate(held)).view(np.int64)})
+            yield rows(held)
+
+    def merge(packed: pd.DataFrame) -> pd.DataFrame:
+        word, n = np.unique(np.unique(np.concatenate([_unpacked(x) for x in packed["pairs"]])) >> np.uint64(40), return_counts=True)
+        return pd.DataFrame({"word": word.astype(np.int32), "n": n.astype(np.int64)})
 
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = texts.mapInPandas(pairs, "pair long").distinct().groupBy(F.shiftrightunsigned("pair", 40).alias("word")).count().toArrow()
+    merged = texts.mapInPandas(deal, "bucket long, pairs binary").groupBy("bucket").applyInPandas(merge, "word int, n long")
+    found = merged.groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size + 1)
-    out[found["word"].to_numpy()] = found["count"].to_numpy()
+    out[found["word"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
