@@ -215,7 +215,7 @@ def train(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc
     else:
         n, parts = max(1, docs.count()), 1_000_003
         drawn = found.filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(parts)) < F.lit(min(1.0, PLAIN_DOCS / n) * parts)).filter((F.col("text") != "") & ~F.col("text").rlike(_LIKELY))
-        drawn = table(drawn.groupBy(F.md5("text").alias("h")).agg(F.min_by("path", "doc_id").alias("path"), F.min("text").alias("text")).drop("h"), "secret-sample")
+        drawn = table(drawn.groupBy(F.md5("text").alias("h")).agg(F.min("path").alias("path"), F.min("text").alias("text")).drop("h"), "secret-sample")
         turns = -(-PLANTED // max(1, drawn.count()))
         cases = table(planted(drawn.select("path", "text", F.explode(F.sequence(F.lit(1), F.lit(min(turns, PLANTED)))).alias("turn"))), "secret-planted")
         rows = _candidates(cases).select("path", "planted", F.explode("candidates").alias("c"), "label")
