@@ -108,6 +108,47 @@ def test_near_duplicates_share_keys():
     assert share[60] >= 0.95 and share[200] >= 0.97, share
 
 
+def test_near_duplicates_planted(spark):
+    """Pairs with edits spread at random: of each similarity at least nine in ten share a class, and nothing else does."""
+    rng, docs, pairs = random.Random(9), [], []
+    for k in range(240):
+        size, similarity = rng.choice([12, 40, 120, 400]), (0.8, 0.85, 0.9)[k % 3]
+        text = [f"w{k}x{j}" for j in range(size)]
+        near = text[:]
+        for i in rng.sample(range(size), int((1 - similarity) * size + 1e-9)):
+            near[i] = f"n{k}x{i}"
+        docs += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(near))]
+        pairs.append((similarity, 2 * k, 2 * k + 1))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for similarity in (0.8, 0.85, 0.9):
+        hits = [got[a] == got[b] for s, a, b in pairs if s == similarity]
+        assert sum(hits) >= 0.9 * len(hits), (similarity, sum(hits), len(hits))
+    assert all(got[d] // 2 == d // 2 for d in got)
+
+
+def test_near_duplicates_repeated_ids(spark):
+    """Two texts under one id are two nodes: each is linked to its own near copy."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = near_dedup.near_duplicates(spark.createDataFrame([(5, a), (5, b), (1, a + " x"), (2, b + " x")], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["kept"]) for r in rows) == [(1, 1, True), (2, 2, True), (5, 1, False), (5, 2, False)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=90), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 200), st.integers(0, 30)), max_size=20))
+def test_counts_bound_the_distance(words, edits):
+    other = words[:]
+    for kind, at, word in edits:
+        if kind == 0 and len(other) > 1:
+            other.pop(at % len(other))
+        elif kind == 1:
+            other[at % len(other)] = word
+        else:
+            other.insert(at % (len(other) + 1), word)
+    hashed = lambda ws: near_dedup._mix(np.array(ws, np.uint64) + np.uint64(7))
+    with np.errstate(over="ignore"):
+        assert near_dedup.counts_apart(near_dedup.word_counts(hashed(words)).tobytes(), near_dedup.word_counts(hashed(other)).tobytes()) <= distance(words, other)
+
+
 def test_near_duplicates_awkward(awkward, empty):
     rows = near_dedup.near_duplicates(awkward).collect()
     assert len(rows) == 9
@@ -136,13 +177,14 @@ def test_lines_brute_force(spark):
                 x[p : p + rng.randint(0, 1)] = rng.choice(["", "q", "b"])
             lines.append("".join(x))
         texts.append((i, "\n".join(lines)))
+    texts += [(60 + i, "\n".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(2))) for i in range(20)]
     got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     seen = []
     for i, text in texts:
         kept = []
         for line in text.split("\n"):
             x = line.strip(" \t\r")
-            if not x or not any(x == y or (min(len(x), len(y)) >= line_dedup.FUZZY_CHARS and abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1) for y in seen):
+            if not x or not any(abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1 for y in seen):
                 kept.append(line)
             if x:
                 seen.append(x)
@@ -160,6 +202,21 @@ def test_exact_dedup(awkward, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def scalar_jump(key, shards):
+    """The published loop, on one key mixed as the operator mixes it."""
+    mask = 2**64 - 1
+    x = key & mask
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+    x ^= x >> 31
+    shard, ahead = 0, 0
+    while ahead < shards:
+        shard = ahead
+        x = (x * 2862933555777941757 + 1) & mask
+        ahead = int((shard + 1) * (float(1 << 31) / ((x >> 33) + 1)))
+    return shard
+
+
 def test_sharding(awkward, empty, docs):
     rows = sharding.shard_documents(docs).collect()
     for shard in range(24):
@@ -169,6 +226,7 @@ def test_sharding(awkward, empty, docs):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert all(r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) and r["size"] == len(texts[r["doc_id"]].encode()) + 8 for r in rows)
     assert sharding.shard_documents(awkward).count() == 9 and sharding.shard_documents(empty).count() == 0
+    assert {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in rows} == {i: (scalar_jump(i, 24), scalar_jump(i, 25)) for i in texts}
     keys = np.arange(20_000)
     for n in (1, 2, 7, 24):
         a, b = sharding.jump_hash(keys, n), sharding.jump_hash(keys, n + 1)
@@ -208,6 +266,33 @@ def test_packing_block(sizes):
     assert fitted.sum() + 4 * len(fitted) <= sum(min(c for c in (16, 32, 64) if c >= s) + 4 for s in sizes)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=8))
+def test_packing_against_the_optimum(sizes):
+    caps, opening, full = (16, 32, 64), 4, 1 << len(sizes)
+    total = [sum(s for i, s in enumerate(sizes) if m >> i & 1) for m in range(full)]
+    cost = [min((c for c in caps if c >= t), default=None) for t in total]
+    best = [0] + [10**9] * (full - 1)
+    for m in range(1, full):
+        low, part = m & -m, m
+        while part:
+            if part & low and cost[part] is not None:
+                best[m] = min(best[m], best[m ^ part] + cost[part] + opening)
+            part = (part - 1) & m
+    fitted = packing.pack_block(np.array(sizes), caps, opening)[2]
+    assert fitted.sum() + opening * len(fitted) <= 1.15 * best[-1]
+
+
+def test_packing_blocks_are_bounded(spark, monkeypatch):
+    """Neither null ids nor very long documents crowd a block."""
+    monkeypatch.setattr(packing, "BLOCK", 500)
+    nulls = spark.range(4_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(7).alias("n"))
+    long = spark.range(4).select(F.col("id").alias("doc_id"), F.lit(64 * 1_000).alias("n"))
+    for rows, pieces in ((nulls, 4_000), (long, 4_000)):
+        blocks = packing.pack_documents(rows, (16, 32, 64), length="n").groupBy("block").count().collect()
+        assert sum(r["count"] for r in blocks) == pieces and max(r["count"] for r in blocks) < 700
+
+
 def test_packing(awkward, empty, docs):
     rows = packing.pack_documents(awkward).collect()
     words = {4: 20_000, 5: 20_001, 1: 14, 6: 7, 2: 0, 3: 0, 7: 0, None: 6}
@@ -239,6 +324,31 @@ def test_neighbours(spark):
     assert neighbours.nearest(odd.filter("false")).count() == 0
 
 
+def test_neighbours_in_cells(spark, monkeypatch):
+    """Many cells, parts, chunks and leaves: recall against brute force, and the stopping test saves most of the leaves."""
+    for name, value in (("CELL", 700), ("CHUNK", 40), ("LEAF", 32)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 32))
+    x = centres[rng.integers(0, 40, 12_000)] + 0.1 * rng.standard_normal((12_000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = neighbours.nearest(df, every=40).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hit = 0
+    for q in range(0, 12_000, 40):
+        score = (x * x[q]).sum(1)
+        score[q] = -np.inf
+        best = np.lexsort((np.arange(12_000), -score))[:20]
+        assert [a for a, _, _ in sorted(got[q])] == list(range(1, 21))
+        hit += len(set(best.tolist()) & {b for _, b, _ in got[q]})
+    assert hit >= 0.9 * 20 * 300
+    most = (x**2).sum(1).max() * (1 + 1e-12)
+    found = neighbours.search(x, [np.array([i]) for i in range(12_000)], x[::200], 21, most)
+    assert found.visited < 0.5 * found.leaves
+
+
 def test_secrets(spark, awkward, empty, docs):
     words = ["thtionereast", "ouerndthingtionoreas", "4785380592391139", "plain", "text"]
     rng, rows, truth = random.Random(3), [], set()
@@ -264,6 +374,22 @@ def test_secrets(spark, awkward, empty, docs):
         assert clean[i].count("<secret>") <= 1 and (i % 4 == 0 or clean[i] == texts[i])
     assert secrets.redact(awkward, forest).columns == awkward.columns and secrets.redact(awkward, forest).count() == 9
     assert secrets.scan(empty, secrets.train(empty)).count() == 0
+    rows = spark.createDataFrame([(1, 'password = "P@ss!w0rd#19x" then postgres://admin:S3cretPw9@db and Authorization: Bearer abcDEF1234567890xyz', "s"), (2, "a\u0001b token = 0123456789abcdef0123456789abcdef01234567 c", "s")], "doc_id long, text string, source string")
+    found = secrets._candidates(rows.withColumn("path", F.col("source"))).select("doc_id", F.explode("candidates.value").alias("v")).collect()
+    assert {(r["doc_id"], r["v"]) for r in found} == {(1, "P@ss!w0rd#19x"), (1, "S3cretPw9"), (1, "abcDEF1234567890xyz"), (2, "0123456789abcdef0123456789abcdef01234567")}
+    labelled = df.filter("doc_id % 5 <> 0").select("doc_id", F.lit("x").alias("value"), F.lit(1).alias("is_secret"))
+    assert secrets.train(df, labelled).trees == []  # no such findings
+
+
+def test_secrets_planted_in_held_out_documents(docs):
+    """The forest of one half of the documents tells what was planted in the other half by another seed from look-alikes."""
+    texts = docs.select(F.coalesce("source", F.lit("")).alias("path"), "text", "doc_id").filter("text <> '' and n_chars < 5000")
+    forest = secrets.train(docs.filter("doc_id % 2 = 0"))
+    held = secrets.planted(texts.filter("doc_id % 2 = 1").select("path", "text", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("turn")), seed=7)
+    scored = secrets._candidates(held).select("planted", "label", F.explode(secrets._scored(forest)).alias("x"))
+    rows = scored.filter("x.c.value = planted").select("label", (F.col("x.score") >= 0.5).alias("found")).collect()
+    secret, other = [r["found"] for r in rows if r["label"]], [r["found"] for r in rows if not r["label"]]
+    assert len(secret) > 100 and len(other) > 60 and np.mean(secret) > 0.9 and np.mean(other) < 0.1
 
 
 def test_toxicity(spark, awkward, empty):
@@ -286,23 +412,79 @@ def test_toxicity(spark, awkward, empty):
     assert toxicity.train(docs, labels.filter("toxic = 0")) == 0.0 and toxicity.train(empty, labels.filter("false")) == 0.0
 
 
-def test_toxicity_keeps_few_documents_expressions(spark):
-    """Two documents of a large sample are enough for a word to count, and unlabelled documents count for continuations."""
+def test_kneser_ney_brute_force(spark):
+    """Ratios, and counts over all documents, against plain Python over every word and bigram, those of one document too."""
     rng = random.Random(2)
-    plain = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
-    rows = [(i, " ".join([rng.choice(plain) for _ in range(30)] + (["vile"] if i % 4 == 0 else [])), int(i % 4 == 0)) for i in range(800)]
-    train = [i for i in range(800) if i % 4 == 0 and zlib.crc32(str(i).encode()) % 5 > 1][:3]
-    rows = [(i, t + " scumword" if i in train else t, y) for i, t, y in rows]
-    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.train(table.select("doc_id", "text"), table.select("doc_id", F.lit(1).alias("quality"), "toxic"))
-    assert "scumword" in model.ids and model.word[model.ids["scumword"]] > 0
-    texts = [t for _, t, _ in rows] + ["", "Zz yy zz"]
-    want = {}
+    plain = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    rows = [(i, " ".join([rng.choice(plain) for _ in range(12)] + (["vile", "scum"] if i % 4 == 0 else [])), int(i % 4 == 0), 0) for i in range(80)]
+    rows.append((80, "once only vile", 1, 0))
+    sample = spark.createDataFrame(rows, "doc_id long, text string, toxic int, tuning int")
+    everything = sample.select("text").unionByName(spark.createDataFrame([("zz yy zz vile",), ("",), (None,)], "text string"))
+    grams = toxicity._gram_counts(sample)
+    ends = toxicity.continuations(everything, grams.words)
+    model = toxicity.KneserNey.fit(grams, ends, 0, 1)
+    model = __import__("pickle").loads(__import__("pickle").dumps(model))
+    texts = [r["text"] or "" for r in everything.collect()]
+    contexts = {}
     for t in texts:
-        for pair in zip(["", *toxicity.words(t)], toxicity.words(t)):
-            want.setdefault(pair[1] if pair[1] in model.ids else None, set()).add(pair)
-    got = toxicity.continuations(spark.createDataFrame([(t,) for t in texts], "text string"), sorted(model.ids))
-    assert got == {k: len(v) for k, v in want.items()}
+        for h, w in zip(["", *toxicity.words(t)], toxicity.words(t)):
+            contexts.setdefault(w, set()).add(h)
+    known = sorted({w for _, t, _, _ in rows for w in toxicity.words(t)})
+    other = sum(len(c) for w, c in contexts.items() if w not in known)
+    total = sum(len(contexts[w]) + 0.5 for w in known) + other + 0.5
+    share = lambda w: (len(contexts[w]) + 0.5 if w in known else other + 0.5) / total
+
+    def count(c, gram):
+        return sum(y == c and gram(t) for _, t, y, _ in rows)
+
+    pairs = sorted({p for _, t, _, _ in rows for p in zip(["", *toxicity.words(t)], toxicity.words(t))})
+    logs = {}
+    for c in (1, 0):
+        n = {w: count(c, lambda t: w in toxicity.words(t)) for w in known}
+        m = {p: count(c, lambda t: p in set(zip(["", *toxicity.words(t)], toxicity.words(t)))) for p in pairs}
+        d1, d2 = toxicity.discounts(np.array([*n.values(), 0])), toxicity.discounts(np.array(list(m.values())))
+        mass = sum(d1[min(x, 3)] for x in n.values())
+        p1 = lambda w: (n.get(w, 0) - d1[min(n.get(w, 0), 3)] + mass * share(w)) / sum(n.values())
+
+        def p2(h, w):
+            after = {q: x for q, x in m.items() if q[0] == h}
+            if not sum(after.values()):
+                return p1(w)
+            x = m.get((h, w), 0)
+            return (x - d2[min(x, 3)] + sum(d2[min(v, 3)] for v in after.values()) * p1(w)) / sum(after.values())
+
+        logs[c] = [np.mean([np.log(p2(h, w)) for h, w in zip(["", *toxicity.words(t)], toxicity.words(t))]) if toxicity.words(t) else 0 for t in texts]
+    got = model.parts(*toxicity.hashed_words(texts), len(texts)).sum(1)
+    assert np.allclose(got, np.array(logs[1]) - np.array(logs[0]), atol=5e-3)
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = toxicity.op9_toxicity(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("score", "toxic").collect()
+    assert auc([r["score"] for r in rows], [r["toxic"] for r in rows]) >= 0.9
+
+
+def test_labels_that_contradict(spark, docs):
+    """An id labelled both ways takes no part."""
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(200)] + [(i, 1 - i % 2, 1 - i % 2) for i in range(100)], "doc_id long, quality int, toxic int")
+    half = labels.filter("doc_id >= 100")
+    a, b = toxicity.score_toxicity(docs, toxicity.train(docs, labels)), toxicity.score_toxicity(docs, toxicity.train(docs, half))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def auc(scores, labels):
+    order = sorted((s, y) for s, y in zip(scores, labels))
+    above = sum(y for _, y in order)
+    wins = ties = 0.0
+    seen = {}
+    for s, y in order:
+        seen.setdefault(s, [0, 0])[y] += 1
+    below = 0
+    for s in sorted(seen):
+        wins += seen[s][1] * below
+        ties += seen[s][1] * seen[s][0] / 2
+        below += seen[s][0]
+    return (wins + ties) / (above * below)
 
 
 def test_quality(spark, awkward, empty):
@@ -311,6 +493,8 @@ def test_quality(spark, awkward, empty):
     rows = quality.score_quality(docs, model).join(labels, "doc_id").collect()
     held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     assert np.mean([r["keep"] == (r["quality"] == 1) for r in held]) > 0.9
+    both, text, metadata = (auc([r[c] for r in held], [r["quality"] for r in held]) for c in ("score", "text_score", "metadata_score"))
+    assert both > 0.9 and both >= max(text, metadata) - 0.01, (both, text, metadata)
     assert quality.score_quality(awkward, model).count() == 9 and quality.score_quality(empty, model).count() == 0
     assert quality.train(docs, labels.filter("false")) == 1.0
 
@@ -332,10 +516,21 @@ def test_pipeline(spark, tmp_path):
     assert docs.select("doc_id").distinct().count() == before.count()
 
 
-def test_pipeline_awkward(spark, tmp_path, awkward):
+def test_pipeline_awkward(spark, awkward):
+    """Every stage runs on what the one before kept of an awkward table, and of an empty one."""
     import corpus_pipeline
 
+    from ledgerloom.scratch import table
+
     sf = "/root/testdata/sf0.001"
-    for rows in (awkward, awkward.filter("false")):
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            assert stage(spark, rows, sf).columns == awkward.columns
+    for rows, kept in ((awkward, 9), (awkward.filter("false"), 0)):
+        docs = rows
+        for name, stage in corpus_pipeline.STAGES:
+            docs = table(stage(spark, docs, sf), name)
+            if name != "packing":
+                assert docs.columns == awkward.columns
+        assert docs.count() <= kept
+    # of a text with copies one document stays, of an id with two texts both
+    rows = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (2, "One two three four five six"), (1, "another text of its own here"), (None, "no id no id no id")], "doc_id long, text string")
+    left = corpus_pipeline.drop_near_duplicates(spark, rows, sf).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == [(0, "no id no id no id"), (1, "another text of its own here"), (1, "one two three four five six")]
