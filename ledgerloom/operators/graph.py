@@ -203,8 +203,8 @@ def denomination_parents(edges: DataFrame, focus: str, parents: DataFrame, least
 def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 10) -> DataFrame:
     """GRF-19: node, community: groups of two nodes or more that are linked more densely than their degrees let expect, and connected.
 
-    edges: source, target; parallel edges add up, direction does not count, loops go. Nodes move, in two halves by
-    turns, to the neighbouring label of the best gain in modularity at the resolution, ties to the lesser label, until none moves or for `rounds` rounds. Labels are then
+    edges: source, target; parallel edges add up, direction does not count, loops go. Nodes move, half of them at
+    a time, to the neighbouring label of the best gain in modularity at the resolution, ties to the lesser label, until none moves or for `rounds` rounds. Labels are then
     split into connected parts. A partition of its own, not that of another algorithm; structure, not ownership.
     """
     a, b = F.least("source", "target"), F.greatest("source", "target")
@@ -215,7 +215,7 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 10) ->
     labels = table(degrees.select("node", "degree", F.col("node").alias("label")), "community-labels")
     still = 0
     for turn in range(2 * rounds):
-        moves = F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2
+        moves = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0  # other halves each turn, or neighbours would swap for ever
         mass = labels.groupBy("label").agg(F.sum("degree").alias("mass"))
         towards = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("w").alias("w"))
         own = labels.filter(moves).select("node", "degree", F.col("label").alias("was"))
@@ -226,7 +226,7 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 10) ->
         moved = table(labels.join(best, "node", "left").select("node", "degree", F.when(~F.col("stay"), F.col("to")).otherwise(F.col("label")).alias("label"), F.coalesce(~F.col("stay"), F.lit(False)).alias("moved")), "community-labels")
         still = 0 if moved.filter("moved").limit(1).count() else still + 1
         labels = moved.drop("moved")
-        if still == 2:
+        if still == 4:
             break
     inside = weights.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").filter("x = y")
     return connected_components(inside.select("a", "b")).select("node", F.col("component").alias("community"))
