@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import exact
+from .scans import exclusive_scan
 
 def movement_view(transfers: DataFrame, outputs: DataFrame, value: bool = False) -> DataFrame:
     """JON-01: transfers and UTXO outputs in one schema; an output has no source and the chain's own asset.
@@ -13,7 +15,7 @@ def movement_view(transfers: DataFrame, outputs: DataFrame, value: bool = False)
     value: carry the transfers' column value, null for outputs, so that nothing has to be joined back.
     """
     account = transfers.select(F.lit("transfer").alias("subject_type"), "id", "tx_id", "chain", "src", "dst", "asset", "amount", *(["value"] if value else []))
-    utxo = outputs.select(F.lit("tx_output").alias("subject_type"), "id", "tx_id", F.lit("bitcoin").alias("chain"), F.lit(None).cast("string").alias("src"), F.col("address").alias("dst"), F.lit("BTC").alias("asset"), "amount", *([F.lit(None).cast("long").alias("value")] if value else []))
+    utxo = outputs.select(F.lit("tx_output").alias("subject_type"), "id", "tx_id", F.lit("bitcoin").alias("chain"), F.lit(None).cast("string").alias("src"), F.col("address").alias("dst"), F.lit("BTC").alias("asset"), "amount", *([F.lit(None).cast(transfers.schema["value"].dataType).alias("value")] if value else []))
     return account.unionByName(utxo)
 
 
@@ -51,26 +53,35 @@ def attach_prices(movements: DataFrame, cache: DataFrame, fetched: DataFrame) ->
 
 
 def address_totals(movements: DataFrame, inputs: DataFrame, native: Column) -> DataFrame:
-    """AGG-02: per address, value received and sent and the native amounts; UTXO addresses send by inputs. Zero is null."""
+    """AGG-02: per address, value received and sent and the native amounts; UTXO addresses send by inputs. Zero is null.
+
+    Amounts and values may be numbers or, for whole numbers of any size up to 90 digits, text; each comes back in its own kind.
+    """
     value, amount = F.col("value"), F.when(native, F.col("amount"))
     side = lambda who, sign: movements.filter(F.col(who).isNotNull()).select(F.col(who).alias("address"), F.lit(sign).alias("side"), value.alias("value"), amount.alias("amount"))
-    sides = side("dst", "in").unionByName(side("src", "out")).unionByName(inputs.select("address", F.lit("out").alias("side"), F.lit(None).cast("long").alias("value"), "amount"))
-    total = lambda c, s: F.nullif(F.sum(F.when(F.col("side") == s, F.col(c))), F.lit(0).cast("long"))
+    no_value = F.lit(None).cast(movements.schema["value"].dataType).alias("value")
+    sides = side("dst", "in").unionByName(side("src", "out")).unionByName(inputs.select("address", F.lit("out").alias("side"), no_value, "amount"))
+    zero = lambda c: F.lit("0" if exact.is_text(sides, c) else 0).cast("string" if exact.is_text(sides, c) else "long")
+    total = lambda c, s: F.nullif(exact.sum_of(sides, c, F.col("side") == s), zero(c))
     return sides.groupBy("address").agg(
         total("value", "in").alias("received_value"), total("value", "out").alias("sent_value"), total("amount", "in").alias("received_native"), total("amount", "out").alias("sent_native")
     )
 
 
 def rollup_parallel(edges: DataFrame, individual: Column) -> DataFrame:
-    """AGG-01: edges of one (source, target, asset) as one; single edges and individual ones stay as they are. Which they are: rollup_members."""
+    """AGG-01: edges of one (source, target, asset, kind) as one; single edges and individual ones stay as they are. Which they are: rollup_members.
+
+    Edges without a column kind are of one kind. Amounts and values may be numbers or text of whole numbers, which are summed exactly.
+    """
+    key = _edge_key(edges)
     plain = edges.filter(~individual)
-    grouped = plain.groupBy("source", "target", "asset").agg(
-        F.count(F.lit(1)).alias("count"), F.sum("amount").alias("amount"), F.sum("value_e4").alias("value_e4"),
+    grouped = plain.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("count"), exact.sum_of(plain, "amount").alias("amount"), exact.sum_of(plain, "value_e4").alias("value_e4"),
         F.max(F.when(F.col("finality") == "provisional", "provisional").otherwise("final")).alias("finality"),
         F.count_if(F.col("value_e4").isNull()).alias("no_price"), F.array_join(F.array_sort(F.collect_set("source_name")), ",").alias("source_names"),
     )
     alone = edges.filter(individual).select(
-        "source", "target", "asset", F.lit(1).cast("long").alias("count"), "amount", "value_e4", "finality", F.when(F.col("value_e4").isNull(), 1).otherwise(0).cast("long").alias("no_price"),
+        *key, F.lit(1).cast("long").alias("count"), "amount", "value_e4", "finality", F.when(F.col("value_e4").isNull(), 1).otherwise(0).cast("long").alias("no_price"),
         F.col("source_name").alias("source_names"),
     )
     return grouped.unionByName(alone)
@@ -78,7 +89,20 @@ def rollup_parallel(edges: DataFrame, individual: Column) -> DataFrame:
 
 def rollup_members(edges: DataFrame, individual: Column) -> DataFrame:
     """AGG-01: the edges beneath each rolled-up one, a row each: a pair may have any number of them."""
-    return edges.filter(~individual).select("source", "target", "asset", "id")
+    return edges.filter(~individual).select(*_edge_key(edges), "id")
+
+
+def _edge_key(edges: DataFrame) -> list[str]:
+    return [c for c in ("source", "target", "asset", "kind") if c in edges.columns]
+
+
+def clustering_transfers(transfers: DataFrame) -> DataFrame:
+    """FLT-14: the transfers that clustering can use: both ends known and an amount that is a whole number, of any size; the amount as text.
+
+    A null end, a null amount or a text that is no whole number (or has more than 90 digits) leaves a row out.
+    """
+    amount = exact.text(exact.parse(F.col("amount")))
+    return transfers.select("id", "src", "dst", "asset", amount.alias("amount"), "block_height").dropna(subset=["src", "dst", "amount"])
 
 
 def occurrences(transfers: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -92,10 +116,21 @@ def representative_value(values: DataFrame) -> DataFrame:
     return values.filter("value is not null").groupBy("subject_type", "id").agg(best.alias("value"), (F.count(F.lit(1)) > 1).alias("contested"))
 
 
-def running(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """WIN-08: half-open intervals [lo, hi) of the running amount of each key."""
-    hi = F.sum("amount").over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return rows.withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col("amount"))
+def running(rows: DataFrame, key: str | list[str], order: str) -> DataFrame:
+    """WIN-08: half-open intervals [lo, hi) of the running amount of each key, in the kind of the amount.
+
+    Whole numbers in text become exact numbers (functions.exact), which compare as numbers do; exact.text writes them. A null amount
+    counts as 0. Ties of the order come in any order. A key of any size is shared out over tasks.
+    """
+    key = [key] if isinstance(key, str) else key
+    if not exact.is_text(rows, "amount"):
+        out = exclusive_scan(rows.withColumn("__n", F.coalesce("amount", F.lit(0).cast(rows.schema["amount"].dataType))), key, [order], {"__n": "lo"})
+        return out.withColumn("hi", F.col("lo") + F.col("__n")).drop("__n").select(*rows.columns, "lo", "hi")
+    own = F.coalesce(exact.parse(F.col("amount")), exact.parse(F.lit("0")))
+    limbs = [f"__{i}" for i in range(exact.LIMBS)]
+    split = rows.withColumn("__own", own).select("*", *(p.alias(c) for p, c in zip(exact.parts_of(F.col("__own")), limbs)))
+    found = exclusive_scan(split, key, [order], {c: f"{c}s" for c in limbs}).withColumn("lo", exact.carried([F.col(f"{c}s") for c in limbs]))
+    return found.withColumn("hi", exact.plus(F.col("lo"), F.col("__own"))).select(*rows.columns, "lo", "hi")
 
 
 def edge_widths(edges: DataFrame, low: float = 1.5, high: float = 8.0) -> DataFrame:

@@ -5,22 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..scratch import table
 from .movements import running
+from .scans import overlay
+
+
+def fifo_intervals(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """TRC-01, JON-16: tx_id, source_id, dest_id, amount, source_at, dest_at: the stretches of each transaction's line that an input and an
+    output share, and where they begin within both.
+
+    Inputs and outputs lie on the line by their running amounts. A sweep over the starts of both sides cuts it where either changes
+    (scans.overlay): work and rows grow with inputs plus outputs, never with their product, and a transaction of any size is shared out over
+    tasks. Amounts are numbers, or text of whole numbers of up to 90 digits; the three measures are then exact numbers. Empty amounts
+    take no part.
+    """
+    side = lambda rows, own, place, first: rows.select("tx_id", F.lit(first).alias("side"), F.col(place).cast("long").alias("__place"), F.col(own).alias("__id"), "amount")
+    items = running(side(inputs, "id", "input_index", 0).unionByName(side(outputs, "id", "output_index", 1)), ["tx_id", "side"], "__place").filter("hi > lo")
+    begins = items.select("tx_id", "side", F.col("lo").alias("pos"), F.struct(F.col("__id").alias("id"), F.col("lo").alias("start")).alias("item"))
+    none = F.struct(F.lit(None).cast(items.schema["__id"].dataType).alias("id"), F.lit(None).cast(items.schema["lo"].dataType).alias("start"))
+    ends = items.groupBy("tx_id", "side").agg(F.max("hi").alias("pos")).withColumn("item", none)
+    of = lambda which, name: F.when(F.col("side") == which, F.col("item")).alias(name)
+    pieces = overlay(begins.unionByName(ends).select("tx_id", "pos", of(0, "left"), of(1, "right")), ["tx_id"])
+    minus = exact.minus if exact.is_text(inputs, "amount") else lambda x, y: x - y
+    return pieces.select(
+        "tx_id", F.col("left.id").alias("source_id"), F.col("right.id").alias("dest_id"), minus(F.col("hi"), F.col("lo")).alias("amount"),
+        minus(F.col("lo"), F.col("left.start")).alias("source_at"), minus(F.col("lo"), F.col("right.start")).alias("dest_at"),
+    )
 
 
 def fifo_apportion(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """TRC-01: tx_id, source_id, dest_id, amount for all transactions at once.
+    """TRC-01: tx_id, source_id, dest_id, amount for all transactions at once: the lengths of fifo_intervals.
 
-    Inputs and outputs of a transaction lie on one line by their running amounts; a link is the overlap of an input's
-    and an output's interval. What outputs do not cover is the fee; outputs beyond the inputs stay without a link. The
-    join is on the transaction, so a transaction's intervals meet in one task whatever the number of transactions.
+    What outputs do not cover is the fee; outputs beyond the inputs stay without a link. Amounts in text give amounts in text.
     """
-    a = running(inputs.select("tx_id", F.col("id").alias("source_id"), "input_index", "amount"), "tx_id", "input_index").select("tx_id", "source_id", F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
-    b = running(outputs.select("tx_id", F.col("id").alias("dest_id"), "output_index", "amount"), "tx_id", "output_index").select("tx_id", "dest_id", F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
-    return a.join(b, (a["tx_id"] == b["tx_id"]) & (a["a_lo"] < b["b_hi"]) & (b["b_lo"] < a["a_hi"])).select(
-        a["tx_id"], "source_id", "dest_id", (F.least("a_hi", "b_hi") - F.greatest("a_lo", "b_lo")).alias("amount")
-    ).filter("amount > 0")
+    size = exact.text(F.col("amount")) if exact.is_text(inputs, "amount") else F.col("amount")
+    return fifo_intervals(inputs, outputs).select("tx_id", "source_id", "dest_id", size.alias("amount"))
 
 
 def trace_transactions(inputs: DataFrame, outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -31,18 +51,28 @@ def trace_transactions(inputs: DataFrame, outputs: DataFrame) -> tuple[DataFrame
     return links, missing
 
 
-def taint(links: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """TRC-03: what of the starting outputs reaches each output within `hops` links, in whole units, rounded down at each hop.
+def taint(pieces: DataFrame, start: DataFrame, hops: int) -> DataFrame:
+    """TRC-03: which units of each output come from the starting ones: output_id, lo, hi, hop for up to `hops` transactions on.
 
-    An output passes on its taint in proportion to its links. One join and one aggregation a hop.
+    pieces: what fifo_intervals gives for outputs as sources; start: output_id, amount, tainted as a whole. Taint is a set of stretches [lo, hi) within an
+    output. A hop cuts them by the pieces of the output that is spent and shifts each part to its place in the next output, so every unit
+    is followed, none is split or rounded, and what falls to no output is the fee (taint_balance). Stretches of one output and hop
+    are disjoint. Both sets are swept, not joined as pairs, so an output with many pieces and stretches costs their sum.
     """
-    share = links.join(links.groupBy("source_id").agg(F.sum("amount").alias("whole")), "source_id")
-    front = start.select("output_id", "amount", F.lit(0).alias("hop"))
+    front = start.select("output_id", F.lit(0).cast("long").alias("lo"), F.col("amount").cast("long").alias("hi"), F.lit(0).alias("hop")).filter("hi > lo")
     levels = [front]
+    where = pieces.select(F.col("source_id").alias("output_id"), F.col("source_at").alias("lo"), (F.col("source_at") + F.col("amount")).alias("hi"), F.struct(F.col("dest_id").alias("id"), (F.col("dest_at") - F.col("source_at")).alias("shift")).alias("item"))
     for hop in range(1, hops + 1):
-        moved = front.select(F.col("output_id").alias("source_id"), F.col("amount").alias("tainted")).join(share, "source_id")
-        front = moved.groupBy(F.col("dest_id").alias("output_id")).agg(F.sum(F.expr("cast(floor(cast(tainted as decimal(19,0)) * cast(amount as decimal(19,0)) / cast(whole as decimal(19,0))) as bigint)")).alias("amount")).filter("amount > 0").select("output_id", "amount", F.lit(hop).alias("hop"))
-        front = table(front, "taint")
+        tainted = front.select("output_id", "lo", "hi", F.struct(F.col("output_id").alias("id"), F.lit(0).cast("long").alias("shift")).alias("item"))
+        reached = where.join(front.select("output_id").distinct(), "output_id", "left_semi")
+        cuts = [
+            rows.select("output_id", F.col(at).alias("pos"), *(F.when(F.lit(mine), item).alias(name) for name, mine in (("left", left), ("right", not left))))
+            for rows, left in ((reached, True), (tainted, False))
+            for at, item in (("lo", F.col("item")), ("hi", F.struct(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("shift"))))
+        ]
+        moved = overlay(cuts[0].unionByName(cuts[1]).unionByName(cuts[2]).unionByName(cuts[3]), ["output_id"])
+        shift = F.col("left.shift")
+        front = table(moved.select(F.col("left.id").alias("output_id"), (F.col("lo") + shift).alias("lo"), (F.col("hi") + shift).alias("hi"), F.lit(hop).alias("hop")), "taint")
         levels.append(front)
     out = levels[0]
     for level in levels[1:]:
@@ -50,6 +80,18 @@ def taint(links: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return out
 
 
+def taint_balance(stretches: DataFrame, inputs: DataFrame) -> DataFrame:
+    """TRC-03: hop, units, moved, fee, resting: what taint does with its units: units = moved (tainted at the next hop) + fee + resting (in outputs that no
+    input, by prev_output_id, spends). The last hop has nothing moved and its spent units are open, not fee."""
+    spent = inputs.select(F.col("prev_output_id").alias("output_id"), F.lit(True).alias("spent")).distinct()
+    size = F.col("hi") - F.col("lo")
+    units = stretches.join(spent, "output_id", "left").groupBy("hop").agg(F.sum(size).alias("units"), F.coalesce(F.sum(F.when(F.col("spent"), size)), F.lit(0)).alias("spent"))
+    moved = stretches.filter("hop > 0").groupBy((F.col("hop") - 1).alias("hop")).agg(F.sum(size).alias("moved"))
+    out = units.join(moved, "hop", "left").withColumn("moved", F.coalesce("moved", F.lit(0)))
+    last = stretches.agg(F.max("hop").alias("last"))
+    return out.join(F.broadcast(last)).select("hop", "units", "moved", F.when(F.col("hop") < F.col("last"), F.col("spent") - F.col("moved")).alias("fee"), (F.col("units") - F.col("spent")).alias("resting"))
+
+
 def conservation(links: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """AUD-14: inputs that are overspent and outputs that are overfunded by the links; none if all is well."""
     spent = links.groupBy(F.col("source_id").alias("id")).agg(F.sum("amount").alias("linked")).join(inputs.select("id", "amount"), "id").select(F.lit("input").alias("side"), "id", "linked", "amount")

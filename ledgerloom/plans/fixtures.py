@@ -64,10 +64,13 @@ valued AS (
   FROM transfer t LEFT JOIN price p ON p.asset = t.asset AND p.price_ts = t.block_ts),
 edge AS (
   SELECT id, src AS source, dst AS target, asset, amount, value_e4, CASE WHEN block_height IS NULL OR block_height > (SELECT max(block_height) FROM tx) - 64 THEN 'provisional' ELSE 'final' END AS finality,
-         CASE WHEN id % 5 = 0 THEN 'etherscan' ELSE 'arkham' END AS source_name, id % 97 = 0 AS annotated
+         CASE WHEN id % 5 = 0 THEN 'etherscan' ELSE 'arkham' END AS source_name, id % 97 = 0 AS annotated, kind
   FROM valued)
 """
 
+#: Amounts as sources give them: text of 24 to 32 digits, every digit used, for the row of an id.
+WEI_SQL = "CAST({amount} AS VARCHAR) || lpad(CAST({id} * 999983 % 1000000000000000 AS VARCHAR), 23, '0')"
+
 
 class Ledger:
     """The same tables as DataFrames, read lazily from sf_dir."""
@@ -202,9 +205,14 @@ class Ledger:
         return self.valued.join(F.broadcast(tip)).select(
             "id", F.col("src").alias("source"), F.col("dst").alias("target"), "asset", "amount", "value_e4",
             F.when(F.col("block_height").isNull() | (F.col("block_height") > F.col("settled")), "provisional").otherwise("final").alias("finality"),
-            F.when(F.col("id") % 5 == 0, "etherscan").otherwise("arkham").alias("source_name"), (F.col("id") % 97 == 0).alias("annotated"),
+            F.when(F.col("id") % 5 == 0, "etherscan").otherwise("arkham").alias("source_name"), (F.col("id") % 97 == 0).alias("annotated"), "kind",
         )
 
 
+def wei(amount: str = "amount", key: str = "id"):
+    """WEI_SQL as a column."""
+    return F.concat(F.col(amount).cast("string"), F.lpad((F.col(key) * 999_983 % 10**15).cast("string"), 23, "0"))
+
+
 def _name(prefix: str, key: str):
     return F.concat(F.lit(prefix), F.col(key).cast("string"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..operators import movements as m
 from ..operators import tracing as t
 from ..operators.graph import magnitude
 from ..operators.rosters import numbered
+from .fixtures import WEI_SQL, wei
 from .registry import Registry
 
 REGISTRY = query = Registry()
@@ -61,18 +63,46 @@ def agg_02(d):
     return m.address_totals(rows, d.tx_input, F.col("asset").isin("Brand#1", "BTC"))
 
 
-@query("agg_01", """SELECT source, target, asset, count(*) AS count, sum(amount)::BIGINT AS amount, sum(value_e4)::BIGINT AS value_e4, max(finality) AS finality, count(*) FILTER (WHERE value_e4 IS NULL) AS no_price,
+@query("agg_01", """SELECT source, target, asset, kind, count(*) AS count, sum(amount)::BIGINT AS amount, sum(value_e4)::BIGINT AS value_e4, max(finality) AS finality, count(*) FILTER (WHERE value_e4 IS NULL) AS no_price,
   array_to_string(list_sort(list(DISTINCT source_name)), ',') AS source_names FROM edge WHERE NOT annotated GROUP BY ALL
-  UNION ALL SELECT source, target, asset, 1, amount, value_e4, finality, CASE WHEN value_e4 IS NULL THEN 1 ELSE 0 END, source_name FROM edge WHERE annotated""")
+  UNION ALL SELECT source, target, asset, kind, 1, amount, value_e4, finality, CASE WHEN value_e4 IS NULL THEN 1 ELSE 0 END, source_name FROM edge WHERE annotated""")
 def agg_01(d):
     return m.rollup_parallel(d.edge, F.col("annotated"))
 
 
-@query("agg_01_members", "SELECT source, target, asset, id FROM edge WHERE NOT annotated")
+@query("agg_01_members", "SELECT source, target, asset, kind, id FROM edge WHERE NOT annotated")
 def agg_01_members(d):
     return m.rollup_members(d.edge, F.col("annotated"))
 
 
+_wei_valued = f"(SELECT v.*, CAST({WEI_SQL.format(amount='amount', id='id')} AS HUGEINT) AS wei, CAST({WEI_SQL.format(amount='amount', id='id')} AS HUGEINT) * price_cents AS wei_value FROM transfer v LEFT JOIN price p ON p.asset = v.asset AND p.price_ts = v.block_ts)"
+_wei_output = f"(SELECT *, CAST({WEI_SQL.format(amount='amount', id='id')} AS HUGEINT) AS wei FROM tx_output)"
+_wei_input = f"(SELECT *, CAST({WEI_SQL.format(amount='amount', id='prev_output_id')} AS HUGEINT) AS wei FROM tx_input)"
+
+
+def _wei_transfers(d):
+    """Transfers with amounts in text and their values: exact products of amount and unit price, in text too."""
+    price = d.price.withColumnRenamed("price_ts", "block_ts")
+    priced = d.transfer.withColumn("amount", wei()).join(price, ["asset", "block_ts"], "left")
+    return priced.withColumn("value_e4", exact.text(exact.times(exact.parse(F.col("amount")), F.col("price_cents"))))
+
+
+@query("agg_02_wei", f"""SELECT address, nullif(CAST(sum(value) FILTER (WHERE side = 'in') AS VARCHAR), '0') AS received_value, nullif(CAST(sum(value) FILTER (WHERE side = 'out') AS VARCHAR), '0') AS sent_value,
+  nullif(CAST(sum(wei) FILTER (WHERE side = 'in' AND native) AS VARCHAR), '0') AS received_native, nullif(CAST(sum(wei) FILTER (WHERE side = 'out' AND native) AS VARCHAR), '0') AS sent_native
+  FROM (SELECT dst AS address, 'in' AS side, wei_value AS value, wei, asset = 'Brand#1' AS native FROM {_wei_valued} UNION ALL SELECT src, 'out', wei_value, wei, asset = 'Brand#1' FROM {_wei_valued}
+        UNION ALL SELECT address, 'in', NULL, wei, true FROM {_wei_output} UNION ALL SELECT address, 'out', NULL, wei, true FROM {_wei_input}) GROUP BY address""")
+def agg_02_wei(d):
+    rows = m.movement_view(_wei_transfers(d).withColumn("value", F.col("value_e4")), d.tx_output.withColumn("amount", wei()), value=True)
+    return m.address_totals(rows, d.tx_input.withColumn("amount", wei(key="prev_output_id")), F.col("asset").isin("Brand#1", "BTC"))
+
+
+@query("agg_01_wei", f"""SELECT src AS source, dst AS target, asset, kind, count(*) AS count, CAST(sum(wei) AS VARCHAR) AS amount, CAST(sum(wei_value) AS VARCHAR) AS value_e4, count(*) FILTER (WHERE wei_value IS NULL) AS no_price
+  FROM {_wei_valued} GROUP BY ALL""")
+def agg_01_wei(d):
+    edges = _wei_transfers(d).select("id", F.col("src").alias("source"), F.col("dst").alias("target"), "asset", "kind", "amount", "value_e4", F.lit("final").alias("finality"), F.lit("etherscan").alias("source_name"))
+    return m.rollup_parallel(edges, F.lit(False)).drop("finality", "source_names")
+
+
 @query("win_01", "SELECT id, row_number() OVER (PARTITION BY tx_id, src, dst, asset, amount, kind ORDER BY id) - 1 AS occurrence FROM transfer")
 def win_01(d):
     return m.occurrences(d.transfer, ["tx_id", "src", "dst", "asset", "amount", "kind"], ["id"]).select("id", "occurrence")
@@ -105,6 +135,11 @@ def win_08(d):
     return m.running(d.tx_output, "tx_id", "output_index").select("id", "hi")
 
 
+@query("win_08_wei", f"SELECT id, CAST(sum(wei) OVER w AS VARCHAR) AS hi, CAST(sum(wei) OVER w - wei AS VARCHAR) AS lo FROM {_wei_output} WINDOW w AS (PARTITION BY tx_id ORDER BY output_index)")
+def win_08_wei(d):
+    return m.running(d.tx_output.withColumn("amount", wei()), "tx_id", "output_index").select("id", *(exact.text(F.col(c)).alias(c) for c in ("hi", "lo")))
+
+
 @query("win_09", """WITH e AS (SELECT target AS hub, 'in' AS direction, source AS other, value_e4, amount FROM edge UNION ALL SELECT source, 'out', target, value_e4, amount FROM edge),
   g AS (SELECT hub, direction, other, sum(value_e4)::BIGINT AS value_e4, sum(amount)::BIGINT AS amount FROM e GROUP BY ALL)
   SELECT *, row_number() OVER (PARTITION BY hub, direction ORDER BY value_e4 IS NOT NULL, coalesce(value_e4, amount) DESC, other) AS place,
@@ -201,9 +236,9 @@ def flt_13(d):
     return d.attribution.filter(F.lower("category").contains("exchange")).select("address").distinct()
 
 
-@query("flt_14", "SELECT id, src, dst, asset, amount, block_height FROM transfer WHERE src IS NOT NULL AND dst IS NOT NULL")
+@query("flt_14", f"SELECT id, src, dst, asset, CAST(wei AS VARCHAR) AS amount, block_height FROM {_wei_valued} WHERE src IS NOT NULL AND dst IS NOT NULL")
 def flt_14(d):
-    return d.transfer.withColumn("amount", F.col("amount").cast("string").try_cast("bigint")).dropna(subset=["src", "dst", "amount"]).select("id", "src", "dst", "asset", "amount", "block_height")
+    return m.clustering_transfers(d.transfer.withColumn("amount", wei()))
 
 
 _fifo = """WITH a AS (SELECT tx_id, prev_output_id AS source_id, amount, sum(amount) OVER (PARTITION BY tx_id ORDER BY input_index) AS hi FROM tx_input),
@@ -221,6 +256,15 @@ def trc_01(d):
     return t.fifo_apportion(d.tx_input.select("tx_id", F.col("prev_output_id").alias("id"), "input_index", "amount"), d.tx_output)
 
 
+@query("trc_01_wei", f"""WITH a AS (SELECT tx_id, prev_output_id AS source_id, wei AS amount, sum(wei) OVER (PARTITION BY tx_id ORDER BY input_index) AS hi FROM {_wei_input}),
+  b AS (SELECT tx_id, id AS dest_id, wei AS amount, sum(wei) OVER (PARTITION BY tx_id ORDER BY output_index) AS hi FROM {_wei_output})
+  SELECT a.tx_id, source_id, dest_id, CAST(least(a.hi, b.hi) - greatest(a.hi - a.amount, b.hi - b.amount) AS VARCHAR) AS amount FROM a JOIN b ON a.tx_id = b.tx_id AND a.hi - a.amount < b.hi AND b.hi - b.amount < a.hi
+  WHERE a.amount > 0 AND b.amount > 0""")
+def trc_01_wei(d):
+    inputs = d.tx_input.select("tx_id", F.col("prev_output_id").alias("id"), "input_index", wei(key="prev_output_id").alias("amount"))
+    return t.fifo_apportion(inputs, d.tx_output.withColumn("amount", wei()))
+
+
 @query("jon_16", _fifo + "SELECT tx_id, count(*) AS links, sum(amount)::BIGINT AS linked FROM link WHERE amount > 0 GROUP BY tx_id")
 def jon_16(d):
     return _links(d).groupBy("tx_id").agg(F.count(F.lit(1)).alias("links"), F.sum("amount").alias("linked"))
@@ -238,13 +282,33 @@ def trc_02(d):
     return links.groupBy("tx_id").agg(F.count(F.lit(1)).alias("links"), F.sum("amount").alias("linked")).join(missing, "tx_id", "left").select("tx_id", "links", "linked", F.coalesce("unresolved", F.lit(0)).cast("long").alias("unresolved"))
 
 
-_taint = lambda level, before: f"""t{level} AS (SELECT dest_id AS output_id, sum(CAST(floor(CAST(t.amount AS HUGEINT) * l.amount // whole) AS BIGINT))::BIGINT AS amount FROM {before} t JOIN link l ON l.source_id = t.output_id
-  JOIN (SELECT source_id, sum(amount)::HUGEINT AS whole FROM link WHERE amount > 0 GROUP BY 1) w ON w.source_id = l.source_id WHERE l.amount > 0 GROUP BY 1 HAVING sum(CAST(floor(CAST(t.amount AS HUGEINT) * l.amount // whole) AS BIGINT)) > 0)"""
+_pieces = """WITH a AS (SELECT tx_id, prev_output_id AS source_id, amount, sum(amount) OVER (PARTITION BY tx_id ORDER BY input_index) AS hi FROM tx_input),
+  b AS (SELECT tx_id, id AS dest_id, amount, sum(amount) OVER (PARTITION BY tx_id ORDER BY output_index) AS hi FROM tx_output),
+  piece AS (SELECT source_id, dest_id, lo - a_lo AS source_at, lo - b_lo AS dest_at, hi - lo AS amount FROM (
+    SELECT source_id, dest_id, a.hi - a.amount AS a_lo, b.hi - b.amount AS b_lo, greatest(a.hi - a.amount, b.hi - b.amount) AS lo, least(a.hi, b.hi) AS hi
+    FROM a JOIN b ON a.tx_id = b.tx_id AND a.hi - a.amount < b.hi AND b.hi - b.amount < a.hi) WHERE hi > lo),
+  t0 AS (SELECT id AS output_id, 0::HUGEINT AS lo, amount::HUGEINT AS hi FROM tx_output WHERE tx_id % 100 = 1 AND amount > 0)"""
+_hop = lambda n: f"""t{n} AS (SELECT dest_id AS output_id, dest_at - source_at + greatest(lo, source_at) AS lo, dest_at - source_at + least(hi, source_at + p.amount) AS hi
+  FROM t{n - 1} JOIN piece p ON source_id = output_id AND lo < source_at + p.amount AND source_at < hi)"""
+_taint = _pieces + ", " + ", ".join(map(_hop, (1, 2, 3))) + ", tainted AS (" + " UNION ALL ".join(f"SELECT output_id, lo::BIGINT AS lo, hi::BIGINT AS hi, {n} AS hop FROM t{n}" for n in range(4)) + ")"
+
+
+def _tainted(d):
+    """From the outputs of every hundredth transaction on, three hops far: the starting set is an argument of the operator."""
+    pieces = t.fifo_intervals(d.tx_input.select("tx_id", F.col("prev_output_id").alias("id"), "input_index", "amount"), d.tx_output)
+    return t.taint(pieces, d.tx_output.filter("tx_id % 100 = 1").select(F.col("id").alias("output_id"), "amount"), 3)
 
 
-@query("trc_03", _fifo.rstrip() + ", t0 AS (SELECT id AS output_id, amount FROM tx_output WHERE tx_id % 100 = 1), " + ", ".join(_taint(i + 1, f"t{i}") for i in range(3)) + " SELECT *, 0 AS hop FROM t0 UNION ALL SELECT *, 1 FROM t1 UNION ALL SELECT *, 2 FROM t2 UNION ALL SELECT *, 3 FROM t3")
+@query("trc_03", _taint + " SELECT * FROM tainted")
 def trc_03(d):
-    return t.taint(_links(d), d.tx_output.filter("tx_id % 100 = 1").select(F.col("id").alias("output_id"), "amount"), 3)
+    return _tainted(d)
+
+
+@query("trc_03_balance", _taint + """ SELECT hop, sum(hi - lo)::BIGINT AS units, coalesce((SELECT sum(n.hi - n.lo) FROM tainted n WHERE n.hop = t.hop + 1), 0)::BIGINT AS moved,
+  CASE WHEN hop < 3 THEN (coalesce(sum(hi - lo) FILTER (spent), 0) - coalesce((SELECT sum(n.hi - n.lo) FROM tainted n WHERE n.hop = t.hop + 1), 0))::BIGINT END AS fee, coalesce(sum(hi - lo) FILTER (NOT spent), 0)::BIGINT AS resting
+  FROM (SELECT *, output_id IN (SELECT prev_output_id FROM tx_input) AS spent FROM tainted) t GROUP BY hop""")
+def trc_03_balance(d):
+    return t.taint_balance(_tainted(d), d.tx_input)
 
 
 @query("trc_04", _fifo + """SELECT source_id, dest_id, s.address AS source, e.address AS target, l.amount FROM link l LEFT JOIN tx_output s ON s.id = source_id LEFT JOIN tx_output e ON e.id = dest_id WHERE l.amount > 0 AND source_id % 7 <> 0""")
