@@ -51,16 +51,20 @@ def same_address(addresses: DataFrame) -> DataFrame:
 def resolve_merges(pointers: DataFrame) -> DataFrame:
     """GRF-04: id, terminal, cyclic for every id with a pointer (merged_into), by pointer jumping.
 
-    Each round squares the distance that is covered, in one join. An id whose terminal still has a pointer is on or
-    below a cycle.
+    Each round squares the distance that is covered, in one join, and the jumping ends when no pointer off a cycle moves: after one round where forests are
+    flat, after log2(depth) rounds else, log2(n) at most. An id whose terminal still has a pointer is on or below a cycle.
     """
     jump = pointers.filter("merged_into is not null").select("id", F.col("merged_into").alias("to"))
     original = jump.select(F.col("id").alias("to"), F.lit(True).alias("cyclic"))
     n, rounds = jump.count(), 0
     while 2**rounds <= n:
         further = jump.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        jump = table(jump.join(further, "to", "left").select("id", F.coalesce("next", "to").alias("to")), "merge-jumps")
+        jump = table(jump.join(further, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "merge-jumps")
         rounds += 1
+        moved = jump.filter("moved").count()
+        if not moved:
+            break
+        jump = jump.drop("moved")
     return jump.join(original, "to", "left").select("id", F.col("to").alias("terminal"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
@@ -196,3 +200,44 @@ def materialize(clusters: DataFrame, run: str) -> DataFrame:
 def undo(memberships: DataFrame, retractions: DataFrame, run: str) -> DataFrame:
     """GRF-18: the retractions after a run is undone."""
     return retractions.select("id").unionByName(memberships.filter(F.col("run") == run).select("id").join(retractions.select("id"), "id", "left_anti"))
+
+
+def extend_clusters(members: DataFrame, edges: DataFrame, run: str) -> tuple[DataFrame, DataFrame]:
+    """GRF-02 with GRF-17: what new edges (a, b) between addresses add to clusters that are there: memberships (address, entity_id) of addresses that had none,
+    and merges (id, merged_into) of entities that the edges bridge.
+
+    members: address, entity_id, resolved through earlier merges (current_members). The known part of the graph is contracted first: an
+    address with a membership stands for its entity, so components are computed over the new edges alone, whatever the table holds.
+    A component with one old entity takes its id, one with several the least of them, one with none an id of the run and its least address.
+    The same edges again give two empty tables. Entity ids are strings; null ends are ignored.
+    """
+    own = members.groupBy("address").agg(F.min("entity_id").alias("entity_id"))
+    twice = members.join(own.withColumnRenamed("entity_id", "least"), "address").filter("entity_id <> least").select(F.concat(F.lit("0"), "entity_id").alias("a"), F.concat(F.lit("0"), "least").alias("b"))
+    links = edges.filter("a is not null and b is not null")
+    for end in ("a", "b"):
+        known = own.select(F.col("address").alias(end), F.col("entity_id").alias("__entity"))
+        node = F.coalesce(F.concat(F.lit("0"), "__entity"), F.concat(F.lit("1"), F.col(end).cast("string")))
+        links = links.join(known, end, "left").withColumn(end, node).drop("__entity")
+    found = table(connected_components(links.select("a", "b").filter("a <> b").unionByName(twice).distinct()), "extended-clusters")
+    root, rest = F.substring("component", 2, 10**6), F.substring("node", 2, 10**6)
+    new = found.filter("node like '1%'").select(rest.alias("address"), F.when(F.col("component").startswith("0"), root).otherwise(F.sha2(F.concat(F.lit(run + "|"), root), 256)).alias("entity_id"))
+    merges = found.filter("node like '0%' and node <> component").select(rest.alias("id"), root.alias("merged_into"))
+    return new, merges
+
+
+def current_members(members: DataFrame, merges: DataFrame) -> DataFrame:
+    """Memberships with their entities resolved through merges (id, merged_into)."""
+    final = resolve_merges(merges).select(F.col("id").alias("entity_id"), "terminal")
+    return members.join(final, "entity_id", "left").withColumn("entity_id", F.coalesce("terminal", "entity_id")).drop("terminal").select(*members.columns)
+
+
+def cospend_batch(members: DataFrame, inputs: DataFrame, mixes: DataFrame, run: str) -> tuple[DataFrame, DataFrame]:
+    """GRF-02: what the inputs of further transactions add: memberships (address, entity_id, flagged, confidence) and merges; see extend_clusters.
+
+    Addresses that are spent in a mix are linked too, but flagged, at 0.5 instead of 0.9. Old memberships stay as they are.
+    """
+    rows = inputs.filter("address is not null").select("tx_id", "address").distinct()
+    new, merges = extend_clusters(members.select("address", "entity_id"), star_edges(rows, "tx_id", "address"), run)
+    mixed = rows.join(mixes, "tx_id", "left_semi").select("address").distinct().withColumn("flagged", F.lit(True))
+    marked = new.join(mixed, "address", "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
+    return marked.withColumn("confidence", F.when(F.col("flagged"), 0.5).otherwise(0.9)), merges

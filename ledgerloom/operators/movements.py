@@ -106,8 +106,19 @@ def clustering_transfers(transfers: DataFrame) -> DataFrame:
 
 
 def occurrences(transfers: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """WIN-01: the ordinal, from 0, of a movement among those of equal content."""
-    return transfers.withColumn("occurrence", F.row_number().over(W.partitionBy(*key).orderBy(*order)).cast("long") - 1)
+    """WIN-01: the ordinal, from 0, of a movement among those of equal content. One movement may be repeated any number of times."""
+    return exclusive_scan(transfers.withColumn("__one", F.lit(1).cast("long")), key, order, {"__one": "occurrence"}).drop("__one")
+
+
+def merge_transfers(rows: DataFrame, content: list[str]) -> DataFrame:
+    """UPS-04: one row per movement that several sources report: content, occurrence, id (the first writer's), writers.
+
+    Each source's reports of equal content are numbered, and the n-th of one source is the n-th of any other: so two equal movements of one
+    transaction stay two, and a second report of either adds nothing. content names the columns that make a movement (transaction, type,
+    ends, asset, amount); rows also have source and id, by which the first writer is told.
+    """
+    placed = occurrences(rows, [*content, "source"], ["id"])
+    return placed.groupBy(*content, "occurrence").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("writers"))
 
 
 def representative_value(values: DataFrame) -> DataFrame:

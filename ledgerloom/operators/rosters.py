@@ -108,17 +108,6 @@ def snapshot_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame
     return before.select(key, "hash").join(now, key, "left").select(key, change.alias("change")).filter("change is not null")
 
 
-def anchor_digest(rows: DataFrame, digest: Column) -> DataFrame:
-    """AUD-12: one SHA-256 over all row digests, whatever their order: over the number of rows and the sums of the digests' eight words.
-
-    The sums combine map-side, so that no task gathers digests, whatever the number of rows.
-    """
-    h = rows.select(digest.alias("h"))
-    word = lambda i: F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
-    sums = h.agg(F.count(F.lit(1)).alias("rows"), *(F.coalesce(F.sum(word(i)), F.lit(0)).cast("string").alias(f"w{i}") for i in range(8)))
-    return sums.select(F.sha2(F.concat_ws("|", F.col("rows").cast("string"), *(f"w{i}" for i in range(8))), 256).alias("digest"), "rows")
-
-
 def numbered(rows: DataFrame, order: list[str], name: str = "place", within: list[str] | None = None) -> DataFrame:
     """TOP-06, WIN-06, WIN-10: rows with their place (from 1) in the order of the given columns, in each group if `within` is given.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import clustering as c
 from ..operators.components import connected_components
 from ..operators.movements import resolve_spends
+from ..scratch import table
 from .registry import Registry
 
 REGISTRY = query = Registry()
@@ -39,6 +40,32 @@ def grf_02(d):
     return c.cospend_clusters(d.tx_output, d.tx_output.groupBy("tx_id").count().filter("count >= 6").select("tx_id"))
 
 
+def _named(suffix, rows):
+    """The parts of _cospend under names of their own, over some transactions' inputs."""
+    o = f"(SELECT DISTINCT tx_id, address FROM tx_input WHERE {rows})"
+    return f"""e{suffix} AS MATERIALIZED (SELECT DISTINCT m.a, s.address AS b FROM {o} s JOIN (SELECT tx_id, min(address) AS a FROM {o} GROUP BY 1) m USING (tx_id) WHERE a <> address),
+    both{suffix} AS MATERIALIZED (SELECT a, b FROM e{suffix} UNION SELECT b, a FROM e{suffix}), comp{suffix}(node, component) USING KEY (node) AS (SELECT node, node FROM (SELECT a AS node FROM e{suffix} UNION SELECT b FROM e{suffix})
+    UNION (SELECT u.node, min(v.component) FROM comp{suffix} v JOIN both{suffix} ON b = v.node JOIN recurring.comp{suffix} u ON u.node = a WHERE v.component < u.component GROUP BY u.node))"""
+
+
+@query("grf_02_batches", f"""WITH {_named(1, "tx_id % 4 = 1")}, {_named(2, "true")},
+  mix AS (SELECT tx_id FROM (SELECT tx_id, max(n) AS same FROM (SELECT tx_id, amount // 2000000 AS v, count(*) AS n FROM tx_output GROUP BY 1, 2) GROUP BY 1) JOIN (SELECT tx_id, count(*) AS inputs FROM tx_input GROUP BY 1) USING (tx_id) WHERE inputs >= 5 AND same >= 5),
+  joined AS (SELECT c.node, c.component, sha256('run-1|' || f.component) AS old FROM comp2 c LEFT JOIN comp1 f USING (node)),
+  survivor AS (SELECT component, coalesce(min(old), sha256('run-2|' || component)) AS entity_id FROM joined GROUP BY component),
+  seen AS (SELECT DISTINCT address, tx_id % 4 = 1 AS early FROM tx_input WHERE tx_id IN (SELECT tx_id FROM mix))
+  SELECT 'member' AS kind, node AS id, entity_id, EXISTS (SELECT 1 FROM seen WHERE seen.address = node AND early = (old IS NOT NULL)) AS flagged FROM joined JOIN survivor USING (component)
+  UNION ALL SELECT DISTINCT 'merge', old, entity_id, false FROM joined JOIN survivor USING (component) WHERE old <> entity_id""")
+def grf_02_batches(d):
+    """Two batches of transactions one after the other: members with their resolved entities, and entities that the second batch merged."""
+    mixes = c.coinjoins(d.tx_input, d.tx_output.withColumn("amount", F.expr("amount div 2000000")))
+    none = d.tx_input.filter("false").select("address", F.lit("").alias("entity_id"))
+    first, _ = c.cospend_batch(none, d.tx_input.filter("tx_id % 4 = 1"), mixes, "run-1")
+    first = table(first, "memberships")
+    second, merges = c.cospend_batch(first, d.tx_input.filter("tx_id % 4 <> 1"), mixes, "run-2")
+    now = c.current_members(first.unionByName(second), merges)
+    return now.select(F.lit("member").alias("kind"), F.col("address").alias("id"), "entity_id", "flagged").unionByName(merges.select(F.lit("merge").alias("kind"), "id", F.col("merged_into").alias("entity_id"), F.lit(False).alias("flagged")))
+
+
 @query("agg_10", "SELECT tx_id, count(DISTINCT address) AS addresses, array_to_string(list_sort(list(DISTINCT address)), ',') AS members FROM tx_input GROUP BY tx_id")
 def agg_10(d):
     members = F.array_sort(F.collect_set("address"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import merges as m
+from ..operators.movements import merge_transfers
+from ..scratch import new_folder
+from ..streaming.ingest import ingest, stored
 from .registry import Registry
 
 REGISTRY = query = Registry()
@@ -59,14 +62,13 @@ ups_10 = _first("ups_10", "Risk sub-signals by (parent, signal).", ["user_id * 1
 ups_12 = _first("ups_12", "Memberships by (entity, address, source, method).", ["k % 9", "user_id", "event_type", "k % 2"])
 
 
-@query("ups_04", "SELECT tx_id, src, dst, asset, amount, min(id) AS id, count(*) AS writers FROM transfer GROUP BY tx_id, src, dst, asset, amount")
+@query("ups_04", """SELECT tx_id, kind, src, dst, asset, amount // 1000000 AS amount, row_number() OVER (PARTITION BY tx_id, kind, src, dst, asset, amount // 1000000 ORDER BY id) - 1 AS occurrence, id, 2 AS writers FROM transfer""")
 def ups_04(d):
-    """A second source reports every transfer again under another id; the first writer's row stays."""
-    again = d.transfer.withColumn("id", F.col("id") + 10**12)
-    rows = d.transfer.unionByName(again)
-    keys = ["tx_id", "src", "dst", "asset", "amount"]
-    n = rows.groupBy(*keys).agg((F.count(F.lit(1)) / 2).cast("long").alias("writers"))
-    return m.first_rows(rows.select(*keys, "id"), keys, "id").join(n, keys).select(*keys, "id", "writers")
+    """A second source reports every transfer again under another id. Amounts are in units of 10,000 dollars, so that equal movements occur."""
+    own = d.transfer.withColumn("amount", F.expr("amount div 1000000"))
+    content = ["tx_id", "kind", "src", "dst", "asset", "amount"]
+    both = own.withColumn("source", F.lit("first")).unionByName(own.withColumns({"id": F.col("id") + 10**12, "source": F.lit("second")}))
+    return merge_transfers(both, content)
 
 
 @query("ups_05", "SELECT tx_id, output_index, (id % 3 = 0 OR id % 5 = 0) AS spent, CASE WHEN id % 3 = 0 THEN id ELSE CASE WHEN id % 5 = 0 THEN -id END END AS spending_tx_id FROM tx_output")
@@ -215,3 +217,14 @@ def set_05(d):
     final = d.tx.filter("tx_id % 5 = 0").select("tx_id")
     parts = [x.select("tx_id").join(final, "tx_id", "left_semi") for x in (d.tx, d.transfer, d.tx_output)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct().select(F.col("tx_id").alias("hash"))
+
+
+@query("str_01", """SELECT event_type, user_id, event_id, us, props FROM ev QUALIFY row_number() OVER (PARTITION BY event_type, user_id, k % 10 ORDER BY event_id) = 1""")
+def str_01(d):
+    """All events land in three batches, one of which lands a second time; each row is known by (type, user, tens of k), the first one stays."""
+    home, schema = new_folder(d.spark, "ingest"), "event_type string, user_id long, ten long, event_id long, us long, props string"
+    rows = d.events.select("event_type", "user_id", (F.col("k") % 10).alias("ten"), "event_id", "us", "props")
+    for nth, third in enumerate((2, 0, 1, 0)):
+        rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == third).write.parquet(f"{home}/landing/{nth}")
+        ingest(d.spark, f"{home}/landing/*", schema, f"{home}/target", f"{home}/checkpoint", ["event_type", "user_id", "ten"], lambda r: m.first_rows(r, ["event_type", "user_id", "ten"], "event_id"), buckets=16, source="parquet")
+    return stored(d.spark, f"{home}/target", schema).select("event_type", "user_id", "event_id", "us", "props")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import lookalike_key, row_hash
+from ..operators import merkle
 from ..operators import movements as m
 from ..operators import rosters as r
 from .registry import Registry
@@ -292,13 +293,35 @@ def aud_11(d):
     return r.snapshot_changes(hashed, hashed.filter("id % 3 <> 0"), "id")
 
 
-_words = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
+_field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::varchar) || ':' || {c}::varchar END"
+_TX = ["tx_id", "chain", "block_height", "block_ts", "status"]
+_tree = f"""counted AS (SELECT k, h, k || ' ' || h || ' ' || count(*) AS line, count(*) AS copies FROM (SELECT sha256({_field("tx_id")}) AS k, sha256({" || ".join(map(_field, _TX))}) AS h FROM tx) GROUP BY k, h),
+  depth AS (SELECT min(d) AS depth FROM range(1, 12) r(d) WHERE pow(16, d) * 64 >= (SELECT count(*) FROM tx)),
+  tree(level, position, digest, rows) AS (SELECT depth, substr(k, 1, depth), sha256(string_agg(line, chr(10) ORDER BY line)), sum(copies)::BIGINT FROM counted, depth GROUP BY 1, 2
+    UNION ALL SELECT level - 1, substr(position, 1, level - 1), sha256(string_agg(position || ' ' || digest, chr(10) ORDER BY position)), sum(rows)::BIGINT FROM tree WHERE level > 0 GROUP BY 1, 2)"""
 
 
-@query("aud_12", f"""WITH h AS (SELECT sha256(CAST(to_json({{'block_height': block_height, 'block_ts': block_ts, 'chain': chain, 'status': status, 'tx_id': tx_id}}) AS VARCHAR)) AS h FROM tx)
-  SELECT sha256(count(*) || '|' || array_to_string([{_words}], '|')) AS digest, count(*) AS rows FROM h""")
+def _snapshot(rows, of):
+    return merkle.snapshot(rows, ["tx_id"], _TX, merkle.depth_for(of.count()))
+
+
+@query("aud_12", f"WITH {_tree} SELECT digest, rows FROM tree WHERE level = 0")
 def aud_12(d):
-    return r.anchor_digest(d.tx, row_hash("tx_id", "chain", "block_height", "block_ts", "status"))
+    return _snapshot(d.tx, d.tx).anchor()
+
+
+@query("aud_12_tree", f"WITH {_tree} SELECT level::INT AS level, position, digest, rows FROM tree")
+def aud_12_tree(d):
+    return _snapshot(d.tx, d.tx).tree()
+
+
+@query("aud_09_tree", """SELECT tx_id, 'deleted' AS change FROM tx WHERE tx_id % 55 = 0 UNION ALL SELECT tx_id, 'modified' FROM tx WHERE tx_id % 65 = 0 AND tx_id % 55 <> 0
+  UNION ALL SELECT -tx_id - 1, 'added' FROM tx WHERE tx_id % 97 = 0""")
+def aud_09_tree(d):
+    """Some transactions go, some are rewritten and some are new; found by descending both trees."""
+    k = F.col("tx_id")
+    now = d.tx.filter(k % 55 != 0).withColumn("status", F.when(k % 65 == 0, "rewritten").otherwise(F.col("status")))
+    return merkle.changes(_snapshot(d.tx, d.tx), _snapshot(now.unionByName(d.tx.filter(k % 97 == 0).withColumn("tx_id", -k - 1)), d.tx))
 
 
 @query("aud_13", """SELECT 'idempotency' AS check, false AS ok, count(*) AS offending, (SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT CAST(id AS VARCHAR) AS id FROM claim WHERE id % 10 = 0 ORDER BY 1 LIMIT 20)) AS sample FROM claim WHERE id % 10 = 0

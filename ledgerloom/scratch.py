@@ -56,6 +56,22 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever file system it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder that an operator of this library made itself."""
+    _delete(spark, path)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder that all executors share, for an operator that keeps several tables."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def discard(df: DataFrame) -> None:
     """Removes a table that nothing reads any more. Only folders that table() made are removed."""
     folder = _folder(df.sparkSession).split("://")[-1].lstrip("/")
