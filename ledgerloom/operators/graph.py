@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cap, short
-from ..scratch import table
+from ..scratch import discard, table
 from .clustering import resolve_merges
 from .components import connected_components
 
@@ -200,36 +200,93 @@ def denomination_parents(edges: DataFrame, focus: str, parents: DataFrame, least
     return best.select("node", F.concat_ws(":", F.lit("dgrp"), F.lit(focus), "p.asset", F.col("p.amount").cast("string")).alias("parent"), F.col("p.pool_size").alias("pool_size"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 10) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 10, levels: int = 10) -> DataFrame:
     """GRF-19: node, community: groups of two nodes or more that are linked more densely than their degrees let expect, and connected.
 
-    edges: source, target; parallel edges add up, direction does not count, loops go. Nodes move, half of them at
-    a time, to the neighbouring label of the best gain in modularity at the resolution, ties to the lesser label, until none moves or for `rounds` rounds. Labels are then
-    split into connected parts. A partition of its own, not that of another algorithm; structure, not ownership.
+    edges: source, target; parallel edges add up, direction does not count, loops go. In levels: nodes move to the neighbouring community of the
+    best gain in modularity (_moves); each community is refined, by moves within it that start from single nodes, into parts that are
+    connected; the parts are contracted into the nodes of a smaller weighted graph, which start from the communities they came from.
+    It ends when nothing contracts or modularity stops rising; the best level's communities are projected back and split into connected parts.
+    A level is a bounded number of joins and aggregates over its edges, and levels shrink. All weights are whole, so sums and the result don't
+    depend on partitions. A partition of its own, not that of another algorithm; structure, not ownership.
     """
     a, b = F.least("source", "target"), F.greatest("source", "target")
     weights = table(edges.select(a.alias("a"), b.alias("b")).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("w")), "community-edges")
-    both = weights.unionByName(weights.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    degrees = table(both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree")), "community-degrees")
-    total = degrees.agg(F.sum("degree")).first()[0] or 1.0
-    labels = table(degrees.select("node", "degree", F.col("node").alias("label")), "community-labels")
-    still = 0
+    first, graph = weights, weights
+    nodes = table(_both(graph).groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree")).withColumn("label", F.col("node")), "community-nodes")
+    total = nodes.agg(F.sum("degree")).first()[0] or 1.0
+    place = nodes.select(F.col("node").alias("origin"), "node")
+    best, found = None, None
+    for _ in range(levels):
+        moved = _moves(graph, nodes, total, resolution, rounds)
+        candidate = table(place.join(moved.select("node", "label"), "node").select(F.col("origin").alias("node"), "label"), "community-labels")
+        quality = modularity(first, candidate, resolution, total)
+        if best is not None and quality <= best:
+            break
+        best, found = quality, candidate
+        inside = table(_ends(graph, moved).filter("x = y").select("a", "b", "w"), "community-inside")
+        parts = _moves(inside, nodes.withColumn("label", F.col("node")), total, resolution, 2)
+        linked = _ends(inside, parts).filter("x = y").select("a", "b")
+        single = moved.join(connected_components(linked), "node", "left").select("node", "degree", "label", F.coalesce("component", "node").alias("part"))
+        single = table(single, "community-parts")
+        size, was = single.select("part").distinct().count(), nodes.count()
+        if size == was:
+            break
+        name = single.groupBy("label").agg(F.min("part").alias("name"))
+        nodes = table(single.join(name, "label").groupBy(F.col("part").alias("node")).agg(F.sum("degree").alias("degree"), F.min("name").alias("label")), "community-nodes")
+        ends = _ends(graph, single.select("node", F.col("part").alias("label"))).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "w")
+        graph = table(ends.groupBy("a", "b").agg(F.sum("w").alias("w")), "community-edges")
+        place = table(place.join(single.select("node", "part"), "node").select("origin", F.col("part").alias("node")), "community-places")
+    inside = _ends(first, found).filter("x = y")
+    return connected_components(inside.select("a", "b")).select("node", F.col("component").alias("community"))
+
+
+def _both(weights: DataFrame) -> DataFrame:
+    return weights.unionByName(weights.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+
+
+def _ends(weights: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges with the labels x and y of their ends."""
+    return weights.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+
+
+def modularity(weights: DataFrame, labels: DataFrame, resolution: float = 1.0, total: float | None = None) -> float:
+    """Newman's modularity of labels (node, label) on undirected weights (a, b, w; each pair once, no loops). A node without a label is one by itself."""
+    degrees = _both(weights).groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree"))
+    total = total or degrees.agg(F.sum("degree")).first()[0] or 1.0
+    within = _ends(weights, labels).filter("x = y").agg(F.sum("w")).first()[0] or 0.0
+    named = degrees.join(labels, "node", "left").withColumn("group", F.struct("label", F.when(F.col("label").isNull(), F.col("node"))))
+    mass = named.groupBy("group").agg(F.sum("degree").alias("mass")).agg(F.sum(F.col("mass") * F.col("mass"))).first()[0] or 0.0
+    return 2 * within / total - resolution * mass / total**2
+
+
+def _moves(weights: DataFrame, nodes: DataFrame, total: float, resolution: float, rounds: int) -> DataFrame:
+    """nodes (node, degree, label) after moves to the neighbouring label of the best gain, ties to staying, then to the lesser label.
+
+    A round moves one half of the nodes and then the other, by a hash that changes from round to round, as neighbours that move at once would swap
+    for ever. It ends when a round moves none.
+    """
+    both, labels = _both(weights), nodes.select("node", "degree", "label")
     for turn in range(2 * rounds):
-        moves = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0  # other halves each turn, or neighbours would swap for ever
+        half = lambda node: F.pmod(F.xxhash64(node, F.lit(turn // 2)), F.lit(2)) == turn % 2  # noqa: B023, E731
         mass = labels.groupBy("label").agg(F.sum("degree").alias("mass"))
-        towards = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("w").alias("w"))
-        own = labels.filter(moves).select("node", "degree", F.col("label").alias("was"))
-        offers = towards.join(own, "node").unionByName(own.select("node", F.col("was").alias("label"), F.lit(0.0).alias("w"), "degree", "was")).groupBy("node", "label", "degree", "was").agg(F.sum("w").alias("w")).join(mass, "label")
+        own = labels.filter(half("node")).select("node", "degree", F.col("label").alias("was"))
+        towards = both.filter(half("a")).join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("w").alias("w"))
+        stay = own.select("node", F.col("was").alias("label"), F.lit(0.0).alias("w"))
+        offers = towards.unionByName(stay).groupBy("node", "label").agg(F.sum("w").alias("w")).join(own, "node").join(mass, "label")
         rival = F.col("mass") - F.when(F.col("label") == F.col("was"), F.col("degree")).otherwise(0.0)
-        gain = F.round(F.col("w") - resolution * F.col("degree") * rival / total, 9)
-        best = offers.withColumn("gain", gain).groupBy("node").agg(F.max("gain").alias("gain")).join(offers.withColumn("gain", gain), ["node", "gain"]).groupBy("node").agg(F.min("label").alias("to"), F.max(F.col("label") == F.col("was")).alias("stay"))
-        moved = table(labels.join(best, "node", "left").select("node", "degree", F.when(~F.col("stay"), F.col("to")).otherwise(F.col("label")).alias("label"), F.coalesce(~F.col("stay"), F.lit(False)).alias("moved")), "community-labels")
-        still = 0 if moved.filter("moved").limit(1).count() else still + 1
-        labels = moved.drop("moved")
-        if still == 4:
+        loss = F.round(resolution * F.col("degree") * rival / total - F.col("w"), 9)
+        best = offers.groupBy("node").agg(F.min(F.struct(loss.alias("loss"), (F.col("label") != F.col("was")).alias("goes"), "label")).alias("to"))
+        moved = labels.join(best, "node", "left").select("node", "degree", F.coalesce("to.label", "label").alias("label"), F.coalesce("to.goes", F.lit(False)).alias("goes"))
+        old, labels = labels, table(moved, "community-labels")
+        went = labels.agg(F.count_if("goes")).first()[0]
+        labels = labels.drop("goes")
+        if turn:
+            discard(old)
+        if turn % 2 and not went and not before:
             break
-    inside = weights.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").filter("x = y")
-    return connected_components(inside.select("a", "b")).select("node", F.col("component").alias("community"))
+        before = went
+    return labels
 
 
 def merge_entities(entities: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
