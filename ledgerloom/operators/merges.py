@@ -111,16 +111,6 @@ def sweep_reorged(tx: DataFrame, touched: DataFrame, present: DataFrame, referen
     return gone.join(referenced.select("tx_id").distinct().withColumn("kept", F.lit(True)), "tx_id", "left").select("tx_id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
-def cascade(outputs: DataFrame, inputs: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """LIF-04: outputs and inputs without removed transactions: outputs they spent are unspent, inputs of theirs lose the link."""
-    gone = removed.select("tx_id").distinct()
-    left = outputs.join(gone, "tx_id", "left_anti").join(gone.select(F.col("tx_id").alias("spending_tx_id"), F.lit(True).alias("undone")), "spending_tx_id", "left")
-    left = left.withColumn("spending_tx_id", F.when(F.col("undone").isNull(), F.col("spending_tx_id"))).withColumn("spent", F.col("spending_tx_id").isNotNull()).drop("undone")
-    lost = outputs.join(gone, "tx_id", "left_semi").select(F.col("id").alias("prev_output_id"), F.lit(True).alias("lost"))
-    kept = inputs.join(gone, "tx_id", "left_anti").join(lost, "prev_output_id", "left").withColumn("prev_output_id", F.when(F.col("lost").isNull(), F.col("prev_output_id"))).drop("lost")
-    return left, kept
-
-
 def refetch_diff(before: DataFrame, after: DataFrame, key: str, signature: Column) -> DataFrame:
     """SET-04: rows that are new, became final, or changed while provisional."""
     old = before.select(key, F.col("finality").alias("old_finality"), signature.alias("old_signature"))

@@ -96,11 +96,6 @@ def missing_keys(rows: DataFrame, key: str, targets: DataFrame, target_key: str)
     return rows.join(known, key, "left_anti")
 
 
-def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """AUD-04: rows and distinct natural keys of a table, and whether they agree."""
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("keys")).withColumn("ok", F.col("rows") == F.col("keys"))
-
-
 def snapshot_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """AUD-09 to AUD-11: rows of a baseline (key, hash) that were deleted or rewritten since."""
     now = after.select(key, F.col("hash").alias("new_hash"))

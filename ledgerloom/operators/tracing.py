@@ -108,3 +108,10 @@ def retract(rows: DataFrame, retractions: DataFrame, asked: DataFrame, key: str)
     """TRC-05: the retractions after a request; known ids once each, unknown ones are refused, a second request changes nothing."""
     new = asked.select(key).distinct().join(rows.select(key), key, "left_semi").join(retractions.select(key), key, "left_anti")
     return retractions.select(key).unionByName(new)
+
+
+def bridge_links(asked: DataFrame, movements: DataFrame) -> DataFrame:
+    """JON-15: source_id, dest_id, source_chain, dest_chain of the asked links (source_id, dest_id) whose ends are movements of two different
+    chains; links within a chain, or of an end that is no movement, are rejected."""
+    end = lambda side: movements.select(F.col("id").alias(f"{side}_id"), F.col("chain").alias(f"{side}_chain"))
+    return asked.join(end("source"), "source_id").join(end("dest"), "dest_id").filter("source_chain <> dest_chain").select("source_id", "dest_id", "source_chain", "dest_chain")

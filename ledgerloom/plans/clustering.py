@@ -214,11 +214,11 @@ def grf_15(d):
 
 
 _pairs = """pair AS (SELECT DISTINCT owner, spender FROM approval WHERE owner <> spender),
-  ok AS (SELECT * FROM pair WHERE spender IN (SELECT spender FROM pair GROUP BY 1 HAVING count(*) <= 3) AND owner IN (SELECT owner FROM pair GROUP BY 1 HAVING count(*) <= 3) AND spender NOT IN (SELECT address FROM attribution WHERE category = 'exchange'))"""
+  ok AS (SELECT * FROM pair WHERE spender IN (SELECT spender FROM pair GROUP BY 1 HAVING count(*) <= 7) AND owner IN (SELECT owner FROM pair GROUP BY 1 HAVING count(*) <= 7) AND spender NOT IN (SELECT address FROM attribution WHERE category = 'exchange'))"""
 
 
 def _approved(d):
-    return c.approval_pairs(d.approval, d.attribution.filter("category = 'exchange'"), 3)
+    return c.approval_pairs(d.approval, d.attribution.filter("category = 'exchange'"), 7)
 
 
 @query("jon_20", f"WITH {_pairs} SELECT * FROM ok")

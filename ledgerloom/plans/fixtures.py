@@ -53,7 +53,7 @@ ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(ep
 claim AS (
   SELECT event_id AS id, 'c' || user_id AS subject, event_type AS source, 'label' || k % 5 AS label, CASE WHEN k % 7 <> 0 THEN 'cat' || k % 3 END AS category, us AS retrieved_at
   FROM ev WHERE event_type IN ('click', 'view')),
-approval AS (SELECT event_id AS id, 'c' || user_id AS owner, 'c' || k AS spender, us AS retrieved_at FROM ev WHERE event_id % 50 = 0),
+approval AS (SELECT event_id AS id, 'c' || user_id AS owner, 'c' || (user_id + k % 12) AS spender, us AS retrieved_at FROM ev WHERE event_type = 'purchase'),
 source_query AS (
   SELECT event_id AS id, event_type AS connector, 'cap' || event_id % 4 AS capability, props AS params, us AS requested_at, CASE WHEN event_id % 10 = 0 THEN 'partial' ELSE 'ok' END AS status FROM ev),
 risk AS (
@@ -177,7 +177,8 @@ class Ledger:
 
     @cached_property
     def approval(self) -> DataFrame:
-        return self.events.filter("event_id % 50 = 0").select(F.col("event_id").alias("id"), _name("c", "user_id").alias("owner"), _name("c", "k").alias("spender"), F.col("us").alias("retrieved_at"))
+        spender = F.concat(F.lit("c"), (F.col("user_id") + F.col("k") % 12).cast("string"))
+        return self.events.filter("event_type = 'purchase'").select(F.col("event_id").alias("id"), _name("c", "user_id").alias("owner"), spender.alias("spender"), F.col("us").alias("retrieved_at"))
 
     @cached_property
     def source_query(self) -> DataFrame:

@@ -164,17 +164,6 @@ def lif_03(d):
     return d.tx.join(refs, "tx_id", "left_semi").select("tx_id")
 
 
-@query("lif_04", """WITH o AS (SELECT t.id, t.tx_id, i.tx_id AS spender FROM tx_output t LEFT JOIN (SELECT prev_output_id, min(tx_id) AS tx_id FROM tx_input GROUP BY 1) i ON prev_output_id = t.id)
-  SELECT 'output' AS side, id, CASE WHEN spender % 5 <> 0 THEN spender END AS link FROM o WHERE tx_id % 5 <> 0
-  UNION ALL SELECT 'input', i.id, CASE WHEN o.tx_id % 5 <> 0 THEN prev_output_id END FROM tx_input i JOIN o ON o.id = prev_output_id WHERE i.tx_id % 5 <> 0""")
-def lif_04(d):
-    from ..operators.movements import resolve_spends
-
-    outputs = resolve_spends(d.tx_input, d.tx_output)[1].select("id", "tx_id", "spending_tx_id", "spent")
-    o, i = m.cascade(outputs, d.tx_input, d.tx.filter("tx_id % 5 = 0"))
-    return o.select(F.lit("output").alias("side"), "id", F.col("spending_tx_id").alias("link")).unionByName(i.select(F.lit("input").alias("side"), "id", F.col("prev_output_id").alias("link")))
-
-
 _targets = "f AS (SELECT event_id AS id, event_type IN ('click', 'view', 'purchase') AND k IN (SELECT DISTINCT k % 60 FROM ev) AS accepted, event_type = 'error' AS gone, event_id // 10 AS finding FROM ev)"
 
 

@@ -367,12 +367,13 @@ def jon_14(d):
     return asked.join(d.tx_output.select("tx_id", F.col("id").alias("dest_id")), ["tx_id", "dest_id"], "left_semi").join(d.tx_input.select("tx_id", F.col("prev_output_id").alias("source_id")), ["tx_id", "source_id"], "left_semi").select("tx_id", "source_id", "dest_id")
 
 
-@query("jon_15", """SELECT a.id AS source_id, b.id AS dest_id, a.chain AS source_chain, b.chain AS dest_chain FROM movement a JOIN movement b ON b.tx_id = a.tx_id + a.tx_id % 2 + 1 AND b.id % 100 = a.id % 100 WHERE a.tx_id % 20 = 2 AND a.chain <> b.chain""")
+@query("jon_15", """SELECT a.id AS source_id, b.id AS dest_id, a.chain AS source_chain, b.chain AS dest_chain FROM movement a JOIN movement b ON b.tx_id = a.tx_id + a.tx_id % 2 + 1 AND b.id % 100 = a.id % 100 WHERE a.chain <> b.chain""")
 def jon_15(d):
+    """Asked links join the lines of a transaction to those of the one after it, or of the one after that, which is of the same chain."""
     v = m.movement_view(d.transfer, d.tx_output)
-    a = v.filter("tx_id % 20 = 2").select(F.col("id").alias("source_id"), F.col("chain").alias("source_chain"), (F.col("tx_id") + F.col("tx_id") % 2 + 1).alias("tx"), (F.col("id") % 100).alias("line"))
-    b = v.select(F.col("id").alias("dest_id"), F.col("chain").alias("dest_chain"), F.col("tx_id").alias("tx"), (F.col("id") % 100).alias("line"))
-    return a.join(b, ["tx", "line"]).filter("source_chain <> dest_chain").select("source_id", "dest_id", "source_chain", "dest_chain")
+    a = v.select(F.col("id").alias("source_id"), (F.col("tx_id") + F.col("tx_id") % 2 + 1).alias("tx"), (F.col("id") % 100).alias("line"))
+    b = v.select(F.col("id").alias("dest_id"), F.col("tx_id").alias("tx"), (F.col("id") % 100).alias("line"))
+    return t.bridge_links(a.join(b, ["tx", "line"]).select("source_id", "dest_id"), v)
 
 
 @query("agg_31", "SELECT kind, asset, n FROM (SELECT kind, asset, count(*) AS n, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, asset) AS place FROM transfer GROUP BY kind, asset) WHERE place = 1")

@@ -230,29 +230,11 @@ def jon_08(d):
     return effective(members, members.filter(F.substring("address", 2, 20).cast("long") % 9 == 0), "address")
 
 
-@query("aud_01", "SELECT id FROM claim WHERE id % 13 = 0 UNION ALL SELECT id FROM approval WHERE id % 4 = 0")
-def aud_01(d):
-    """Some rows cite no query, some one that is not there."""
-    rows = d.claim.select("id", F.when(F.col("id") % 13 != 0, F.col("id")).alias("query_id")).unionByName(d.approval.select("id", F.when(F.col("id") % 4 == 0, -F.col("id") - 1).otherwise(F.col("id")).alias("query_id")))
-    return r.missing_keys(rows, "query_id", d.source_query, "id").select("id")
-
-
 @query("aud_02", "SELECT id FROM claim WHERE id % 10 = 0")
 def aud_02(d):
     return r.missing_keys(d.claim.withColumn("query_id", F.col("id")), "query_id", d.source_query.filter("status = 'ok'"), "id").select("id")
 
 
-@query("aud_03", "SELECT id FROM approval WHERE owner NOT IN (SELECT address FROM attribution WHERE category = 'exchange') UNION ALL SELECT id FROM approval WHERE spender NOT IN (SELECT src FROM transfer)")
-def aud_03(d):
-    a = r.missing_keys(d.approval.select("id", F.col("owner").alias("k")), "k", d.attribution.filter("category = 'exchange'"), "address")
-    return a.select("id").unionByName(r.missing_keys(d.approval.select("id", F.col("spender").alias("k")), "k", d.transfer, "src").select("id"))
-
-
-@query("aud_04", "SELECT count(*) AS rows, count(DISTINCT (l_orderkey, l_linenumber)) AS keys, count(*) = count(DISTINCT (l_orderkey, l_linenumber)) AS ok FROM lineitem")
-def aud_04(d):
-    return r.duplicate_keys(d.read("lineitem"), ["l_orderkey", "l_linenumber"])
-
-
 @query("aud_05", "SELECT id FROM movement WHERE subject_type = 'tx_output' AND id % 1000 = 101")
 def aud_05(d):
     """A source is written to some outputs, as no ledger does."""
