@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cap, short
-from ..scratch import discard, table
+from ..scratch import discard, new_folder, table
 from .clustering import resolve_merges
 from .components import connected_components
 
@@ -38,6 +38,49 @@ def build_edges(movements: DataFrame, inputs: DataFrame) -> DataFrame:
     return moved.unionByName(spent)
 
 
+def mark_edges(edges: DataFrame, settled: DataFrame, contested: DataFrame, unverified: DataFrame, poison: DataFrame) -> DataFrame:
+    """GRF-20: edges with finality, contested, unverified and poison.
+
+    settled: one row, settled: the greatest height that is final; an edge above it, or without a height, is provisional. contested and poison: id of
+    edges whose valuations differ, and of poisoning suspects. unverified: asset of tokens that nobody vouches for; it marks transfers without a price.
+    """
+    marked = edges.join(contested.select("id").distinct().withColumn("contested", F.lit(True)), "id", "left").join(poison.select("id").distinct().withColumn("poison", F.lit(True)), "id", "left")
+    marked = marked.join(unverified.select("asset").distinct().withColumn("__token", F.lit(True)), "asset", "left").join(settled.select("settled"))  # one row
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return marked.select(
+        *edges.columns, F.when(F.col("seq").isNull() | (F.col("seq") > F.col("settled")), "provisional").otherwise("final").alias("finality"), flag(F.col("contested")).alias("contested"),
+        (flag(F.col("__token")) & (F.col("kind") == "transfer") & F.col("no_price")).alias("unverified"), flag(F.col("poison")).alias("poison"),
+    )
+
+
+def trace_overlay(links: DataFrame, edges: DataFrame) -> DataFrame:
+    """GRF-20 with TRC-04: effective trace links (source_id, dest_id, source, target, amount) as edges of kind trace, in the columns of `edges`."""
+    node = lambda c: F.coalesce(F.concat(F.lit("addr:"), c), F.lit("external"))
+    own = {"id": F.concat_ws("-", F.lit("trace"), "source_id", "dest_id"), "kind": F.lit("trace"), "source": node(F.col("source")), "target": node(F.col("target")), "asset": F.lit("BTC"), "amount": F.col("amount"), "no_price": F.lit(True)}
+    no = {"contested", "unverified", "poison"}
+    return links.select(*(own.get(f.name, F.lit(False) if f.name in no else F.lit(None)).cast(f.dataType).alias(f.name) for f in edges.schema.fields))
+
+
+class EdgeStore:
+    """GRF-20, GRF-21: edges in folders by a hash of their source and, a second time, of their target, so that a step from some nodes reads only the folders
+    that these fall into, whatever the size of the graph. Give as many folders as the graph has pieces that a task may read."""
+
+    def __init__(self, edges: DataFrame, buckets: int = 64):
+        self.spark, self.buckets, self.path, self.schema = edges.sparkSession, buckets, new_folder(edges.sparkSession, "edge-store"), edges.schema
+        for end in ("source", "target"):
+            edges.withColumn("__bucket", self._bucket(F.col(end))).repartition("__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{end}")
+
+    def _bucket(self, node: Column) -> Column:
+        return F.pmod(F.xxhash64(node), F.lit(self.buckets)).cast("int")
+
+    def incident(self, nodes: list[str], end: str) -> DataFrame:
+        """The edges whose `end` is one of the nodes."""
+        places = self.spark.createDataFrame([(n,) for n in nodes], "n string").select(self._bucket(F.col("n")).alias("b")).distinct().collect()
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
+        stored = self.spark.read.schema(f"{ddl}, __bucket int").parquet(f"{self.path}/{end}")
+        return stored.filter(F.col("__bucket").isin([r["b"] for r in places]) & F.col(end).isin(nodes)).drop("__bucket")
+
+
 def build_nodes(edges: DataFrame, custom: DataFrame, entities: DataFrame, risks: DataFrame) -> DataFrame:
     """GRF-20, nodes: id, kind, label, custom_label, risk, attributed for every end of an edge.
 
@@ -80,7 +123,7 @@ class View:
 
 
 def build_view(
-    nodes: DataFrame, edges: DataFrame, focus: str, hops: int = 1, node_cap: int = 150, basis: str = "usd", group_dust: bool = True, dust_value=0, dust_amount=0, least_value=None,
+    nodes: DataFrame, edges: DataFrame | EdgeStore, focus: str, hops: int = 1, node_cap: int = 150, basis: str = "usd", group_dust: bool = True, dust_value=0, dust_amount=0, least_value=None,
     kinds: list[str] | None = None, fold_value=None, fold_amounts: dict[str, int] | None = None, only_flagged: bool = False, show_unverified: bool = False, fold_poison: bool = True, expand: tuple[str, ...] = (),
 ) -> View:
     """GRF-21: the neighbourhood of a focus, at most node_cap nodes; what is folded away is counted, never dropped.
@@ -94,15 +137,17 @@ def build_view(
     all that there is room for. Only addresses and transactions are walked on from.
 
     What comes to the driver are kept nodes and edges, node_cap at most for each hub and direction. Incident edges are
-    found by a filter on the hubs, which reaches the scan; buckets are aggregates with map-side combine.
+    found in the folders of an EdgeStore, or in a plain table of edges by a filter on the hubs, which reaches the scan; buckets
+    are aggregates with map-side combine.
     """
+    around = edges.incident if isinstance(edges, EdgeStore) else lambda hubs, end: edges.filter(F.col(end).isin(hubs))
     near = F.col("value") if basis != "native" else F.lit(None).cast("long")
     small = F.when(near.isNotNull(), near < dust_value).otherwise(F.coalesce("amount", F.lit(0)) < dust_amount)
     mag = magnitude(basis)
     usable = F.lit(True) if not kinds else F.col("kind").isin(kinds)
     if least_value is not None:
         usable &= mag.isNull() | (mag >= least_value)
-    edges = edges.filter((F.col("kind") == "trace") | usable)
+    usable |= F.col("kind") == "trace"
     below = F.lit(None).cast("string")
     for asset, most in (fold_amounts or {}).items():
         below = F.when((F.col("asset") == asset) & (F.coalesce("amount", F.lit(0)) < most), F.lit(f"fold:{asset}")).otherwise(below)
@@ -123,7 +168,7 @@ def build_view(
     for hop in range(hops):
         reached: list[str] = []
         for direction, end, other in (("in", "target", "source"), ("out", "source", "target")):
-            incident = edges.filter(F.col(end).isin(frontier) & (F.col(end) != F.col(other))).withColumnsRenamed({end: "hub", other: "other"})
+            incident = around(frontier, end).filter(usable & (F.col(end) != F.col(other))).withColumnsRenamed({end: "hub", other: "other"})
             dealt = incident.join(flags, "other", "left").withColumn("bucket", bucket)
             dealt = table(dealt.select("id", "kind", "hub", "other", "other_kind", "asset", "amount", "value", "no_price", "bucket"), "view-edges")
             turn = F.array_position(F.lit(frontier), F.col("hub"))
@@ -159,9 +204,9 @@ def build_view(
         frontier = reached
         if not frontier:
             break
-    spark = edges.sparkSession
+    spark = nodes.sparkSession
     inside = list(depth)
-    kept = edges.filter(F.col("source").isin(inside) & F.col("target").isin(inside) & (F.col("id").isin(list(kept_edges)) | (F.col("kind") == "trace")))
+    kept = around(inside, "source").filter(usable & F.col("target").isin(inside) & (F.col("id").isin(list(kept_edges)) | (F.col("kind") == "trace")))
     counted = folds[0]
     for f in folds[1:]:
         counted = counted.unionByName(f)
@@ -200,6 +245,22 @@ def denomination_parents(edges: DataFrame, focus: str, parents: DataFrame, least
     return best.select("node", F.concat_ws(":", F.lit("dgrp"), F.lit(focus), "p.asset", F.col("p.amount").cast("string")).alias("parent"), F.col("p.pool_size").alias("pool_size"))
 
 
+def view_parents(view_nodes: DataFrame, view_edges: DataFrame, entities: DataFrame, focus: str, resolution: float = 1.0, least: int = LEAST_POOL) -> DataFrame:
+    """GRF-24: node, parent, kind of the nodes of a bounded view: the entity wins over the pool of one denomination, that over the community.
+
+    view_nodes: id; view_edges: those of the view; entities: node, parent. Communities are those of the view's own edges between addresses that
+    have no parent yet; the focus has none. A view is bounded, so this is small work whatever the graph.
+    """
+    inside = view_nodes.select(F.col("id").alias("node")).filter(F.col("node") != focus)
+    own = table(entities.join(inside, "node", "left_semi").groupBy("node").agg(F.min("parent").alias("parent")).withColumn("kind", F.lit("entity")), "view-entities")
+    pools = denomination_parents(view_edges, focus, own, least).join(inside, "node", "left_semi").select("node", "parent", F.lit("denomination").alias("kind"))
+    settled = table(own.unionByName(pools), "view-parents")
+    free = inside.filter(F.col("node").startswith("addr:")).join(settled, "node", "left_anti").select("node")
+    among = view_edges.join(free.withColumnRenamed("node", "source"), "source", "left_semi").join(free.withColumnRenamed("node", "target"), "target", "left_semi")
+    found = communities(among.select("source", "target"), resolution)
+    return settled.unionByName(found.select("node", F.concat(F.lit("comm:"), "community").alias("parent"), F.lit("community").alias("kind")))
+
+
 def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 10, levels: int = 10) -> DataFrame:
     """GRF-19: node, community: groups of two nodes or more that are linked more densely than their degrees let expect, and connected.
 
