@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exact
+from ..scratch import table
 from .scans import exclusive_scan
 
 def movement_view(transfers: DataFrame, outputs: DataFrame, value: bool = False) -> DataFrame:
@@ -156,11 +157,26 @@ def edge_widths(edges: DataFrame, low: float = 1.5, high: float = 8.0) -> DataFr
 
 
 def capped_counterparties(edges: DataFrame, cap: int) -> DataFrame:
-    """WIN-09: counterparties per hub and direction, unpriced before priced, then by size; the first `cap` stay, the rest fold."""
+    """WIN-09: counterparties per hub and direction, unpriced before priced, then by size; the first `cap` have a place, the rest are folded.
+
+    The first are found by a limited window, of which a task passes on `cap` rows a hub at most; the rest have no place and are not sorted,
+    so a hub with any number of counterparties is no task of its own.
+    """
     ends = lambda hub, other, way: edges.select(F.col(hub).alias("hub"), F.lit(way).alias("direction"), F.col(other).alias("other"), "value_e4", "amount")
     sums = ends("target", "source", "in").unionByName(ends("source", "target", "out")).groupBy("hub", "direction", "other").agg(F.sum("value_e4").alias("value_e4"), F.sum("amount").alias("amount"))
+    sums = table(sums, "counterparties")
     order = W.partitionBy("hub", "direction").orderBy(F.col("value_e4").isNotNull(), F.desc(F.coalesce("value_e4", "amount")), "other")
-    return sums.withColumn("place", F.row_number().over(order).cast("long")).withColumn("folded", F.col("place") > cap)
+    key = ["hub", "direction", "other"]
+    first = sums.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= cap).select(*key, "place")
+    return sums.join(first, key, "left").withColumn("folded", F.col("place").isNull())
+
+
+def bounded_pull(rows: DataFrame, key: str, order: list[str], limit: int) -> DataFrame:
+    """FLT-04: the first `limit` rows of each key in order, with partial: whether the key has more. One row beyond the limit tells; so tasks
+    pass on limit + 1 rows of a key at most, however many it has."""
+    place = F.row_number().over(W.partitionBy(key).orderBy(*order))
+    first = rows.withColumn("__place", place).filter(F.col("__place") <= limit + 1)
+    return first.withColumn("partial", F.max("__place").over(W.partitionBy(key)) > limit).filter(F.col("__place") <= limit).drop("__place")
 
 
 def next_hops(frontier: DataFrame, transfers: DataFrame, known: DataFrame, cap: int) -> DataFrame:

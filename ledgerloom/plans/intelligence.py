@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import usd_label
 from ..operators import enrichment as e
 from ..operators import rosters
-from ..scratch import shared_dir
+from ..scratch import new_folder, shared_dir
 from ..sources import intelligence as p
+from ..sources.imports import write_import
 from .registry import Registry
 
 REGISTRY = query = Registry()
@@ -95,6 +96,14 @@ def src_07(d):
     return _transfer_log(d).select("row", "outcome", "chain", "src", "dst", "transfer_type", "symbol", "amount", "position", "historical_usd")
 
 
+@query("agg_34", f"""WITH {_tlog} SELECT count(*) AS rows, count(*) FILTER (WHERE outcome = 'ok') AS ok, count(*) FILTER (WHERE outcome = 'skipped') AS skipped, 0 AS failed, count(*) FILTER (WHERE outcome = 'rejected_utxo') AS rejected_utxo,
+  count(*) FILTER (WHERE outcome = 'unsupported') AS unsupported, count(*) FILTER (WHERE outcome = 'error') AS error, 0 AS rounded,
+  count(*) FILTER (WHERE outcome = 'ok' AND amount % 100 <> 0 AND (nat OR amount % 10 = 0)) AS truncation_risk, bool_or(id % 1000 = 999) AS partial FROM tp""")
+def agg_34(d):
+    """The counters of the transfer log's import, from the run that writes its rows; a row of number 999 tells of a cut source."""
+    return write_import(_transfer_log(d), new_folder(d.spark, "import"), F.col("row") % 1000 == 999)
+
+
 @query("enr_08", f"WITH {_tlog} SELECT id, amount || '.5' AS value, 'log' AS source FROM tp WHERE outcome = 'ok' AND id % 3 = 0 AND id % 5 <> 0 AND id % 4 <> 0 AND amount <> 0")
 def enr_08(d):
     rows = _transfer_log(d).filter("outcome = 'ok'").withColumnRenamed("row", "id")

@@ -142,8 +142,8 @@ def win_08_wei(d):
 
 @query("win_09", """WITH e AS (SELECT target AS hub, 'in' AS direction, source AS other, value_e4, amount FROM edge UNION ALL SELECT source, 'out', target, value_e4, amount FROM edge),
   g AS (SELECT hub, direction, other, sum(value_e4)::BIGINT AS value_e4, sum(amount)::BIGINT AS amount FROM e GROUP BY ALL)
-  SELECT *, row_number() OVER (PARTITION BY hub, direction ORDER BY value_e4 IS NOT NULL, coalesce(value_e4, amount) DESC, other) AS place,
-         row_number() OVER (PARTITION BY hub, direction ORDER BY value_e4 IS NOT NULL, coalesce(value_e4, amount) DESC, other) > 20 AS folded FROM g""")
+  SELECT hub, direction, other, value_e4, amount, CASE WHEN n <= 20 THEN n END AS place, n > 20 AS folded
+  FROM (SELECT *, row_number() OVER (PARTITION BY hub, direction ORDER BY value_e4 IS NOT NULL, coalesce(value_e4, amount) DESC, other) AS n FROM g)""")
 def win_09(d):
     return m.capped_counterparties(d.edge, 20)
 
@@ -181,9 +181,7 @@ def flt_03(d):
 
 @query("flt_04", """SELECT src, id, n > 5 AS partial FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY block_height NULLS FIRST, id) AS place, count(*) OVER (PARTITION BY src) AS n FROM transfer) WHERE place <= 5""")
 def flt_04(d):
-    place = F.row_number().over(W.partitionBy("src").orderBy("block_height", "id"))
-    n = d.transfer.groupBy("src").agg((F.count(F.lit(1)) > 5).alias("partial"))
-    return d.transfer.withColumn("place", place).filter("place <= 5").join(n, "src").select("src", "id", "partial")
+    return m.bounded_pull(d.transfer, "src", ["block_height", "id"], 5).select("src", "id", "partial")
 
 
 @query("flt_05", "SELECT a.address, a.label FROM attribution a WHERE a.address IN (SELECT src FROM transfer UNION SELECT dst FROM transfer)")

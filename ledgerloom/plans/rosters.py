@@ -156,11 +156,6 @@ def agg_26(d):
     return d.tx.select("chain").distinct().withColumn("threshold", finality_threshold(F.col("chain")))
 
 
-@query("agg_34", "SELECT count(*) FILTER (WHERE cents % 10 = 0) AS skipped, count(*) FILTER (WHERE rn > 10) AS rejected, count(*) FILTER (WHERE brand = 'Brand#3') AS unsupported FROM ln")
-def agg_34(d):
-    return d.lines.agg(F.count_if(F.col("cents") % 10 == 0).alias("skipped"), F.count_if(F.col("rn") > 10).alias("rejected"), F.count_if(F.col("brand") == "Brand#3").alias("unsupported"))
-
-
 @query("top_01", """WITH top AS (SELECT node FROM (SELECT source AS node FROM edge UNION ALL SELECT target FROM edge) GROUP BY node ORDER BY count(*) DESC, node LIMIT 150)
   SELECT id FROM edge WHERE source IN (SELECT node FROM top) AND target IN (SELECT node FROM top)""")
 def top_01(d):

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import shift_point
+from ..scratch import new_folder
 from ..sources import payloads as p
+from ..sources.imports import write_import
 from .registry import Registry
 
 REGISTRY = query = Registry()
@@ -43,11 +45,20 @@ def src_05(d):
     return p.adapt_utxo(rows.select(F.to_json(F.struct("*")).alias("payload")))[1].withColumn("output_index", F.col("output_index").cast("long"))
 
 
+def _explorer_csv(d):
+    shown, side = shift_point(F.col("amount"), 2), F.col("id") % 2 == 0
+    return d.transfer.select(_text("id").alias("tx_hash"), F.upper("src").alias("src"), F.upper("dst").alias("dst"), F.when(side, "0").otherwise(shown).alias("value_out"), F.when(side, shown).otherwise("").alias("value_in"), F.when(F.col("id") % 6 == 0, "Error(0)").otherwise("").alias("status"))
+
+
 @query("src_06", "SELECT CAST(id AS VARCHAR) AS tx_hash, src, dst, CAST(amount AS VARCHAR) || '0000000000000000' AS amount FROM transfer WHERE amount <> 0 AND id % 6 <> 0")
 def src_06(d):
-    shown, side = shift_point(F.col("amount"), 2), F.col("id") % 2 == 0
-    rows = d.transfer.select(_text("id").alias("tx_hash"), F.upper("src").alias("src"), F.upper("dst").alias("dst"), F.when(side, "0").otherwise(shown).alias("value_out"), F.when(side, shown).otherwise("").alias("value_in"), F.when(F.col("id") % 6 == 0, "Error(0)").otherwise("").alias("status"))
-    return p.adapt_explorer_csv(rows)
+    return p.adapt_explorer_csv(_explorer_csv(d))
+
+
+@query("agg_34_csv", """SELECT count(*) AS rows, count(*) FILTER (WHERE id % 6 <> 0 AND amount <> 0) AS ok, count(*) FILTER (WHERE id % 6 <> 0 AND amount = 0) AS skipped, count(*) FILTER (WHERE id % 6 = 0) AS failed,
+  0 AS rejected_utxo, 0 AS unsupported, 0 AS error, 0 AS rounded, count(*) FILTER (WHERE id % 6 <> 0 AND amount % 100 <> 0) AS truncation_risk, false AS partial FROM transfer""")
+def agg_34_csv(d):
+    return write_import(p.classify_explorer_csv(_explorer_csv(d)), new_folder(d.spark, "import"))
 
 
 @query("src_12", "SELECT asset AS price_key, price_ts, price_cents / 100e0 AS price FROM price WHERE price_cents % 5 <> 0")

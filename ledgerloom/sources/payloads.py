@@ -44,15 +44,23 @@ def adapt_utxo(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return inputs, outputs
 
 
-def adapt_explorer_csv(rows: DataFrame, decimals: int = 18) -> DataFrame:
-    """SRC-06: native transfers of an explorer's CSV export: the amount out if it is not zero, else in; failed and zero rows go.
+def classify_explorer_csv(rows: DataFrame, decimals: int = 18) -> DataFrame:
+    """SRC-06: tx_hash, src, dst, amount, outcome, rounded, truncation_risk of every row of an explorer's CSV export: the amount out if it is not zero, else in;
+    failed transactions, skipped are those that move nothing, error those whose amounts are no numbers.
 
     rows: tx_hash, src, dst, value_in, value_out, status, all text, as renamed from the export's headers.
     """
     out, into = to_base_units(F.col("value_out"), F.lit(decimals)), to_base_units(F.col("value_in"), F.lit(decimals))
     r = rows.withColumn("out", out).withColumn("into", into)
-    amount = F.when(F.coalesce(F.col("out.amount"), F.lit("0")) != "0", F.col("out.amount")).otherwise(F.col("into.amount"))
-    return r.withColumn("amount", amount).filter(~is_failed(F.lit(None).cast("string"), F.col("status")) & (F.coalesce("amount", F.lit("0")) != "0")).select("tx_hash", F.lower("src").alias("src"), F.lower("dst").alias("dst"), "amount")
+    used = F.when(F.coalesce(F.col("out.amount"), F.lit("0")) != "0", F.col("out")).otherwise(F.col("into"))
+    said = (F.coalesce(F.trim("value_out"), F.lit("")) != "") & F.col("out").isNull() | (F.coalesce(F.trim("value_in"), F.lit("")) != "") & F.col("into").isNull()
+    outcome = F.when(is_failed(F.lit(None).cast("string"), F.col("status")), "failed").when(F.coalesce(F.col("used.amount"), F.lit("0")) != "0", "ok").when(said, "error").otherwise("skipped")
+    return r.withColumn("used", used).select("tx_hash", F.lower("src").alias("src"), F.lower("dst").alias("dst"), F.col("used.amount").alias("amount"), outcome.alias("outcome"), F.col("used.rounded").alias("rounded"), F.col("used.truncation_risk").alias("truncation_risk"))
+
+
+def adapt_explorer_csv(rows: DataFrame, decimals: int = 18) -> DataFrame:
+    """SRC-06: native transfers of an explorer's CSV export; failed rows and those that move nothing go."""
+    return classify_explorer_csv(rows, decimals).filter("outcome = 'ok'").select("tx_hash", "src", "dst", "amount")
 
 
 def adapt_prices(rows: DataFrame) -> DataFrame:
