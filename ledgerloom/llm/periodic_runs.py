@@ -278,5 +278,28 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL: dict[str, str] = {}
+_CRC = "list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::varchar, ''), lambda s: ord(s)::bigint)), lambda k, x: xor(k >> 8, t[1 + (xor(k, x) & 255)]))"
+
+#: Two words p apart open five equal words each time: so pairs of equal five-word stretches, in islands of one distance, are the runs.
+SQL = {
+    "op12_periodic_runs": f"""
+        WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (
+                 SELECT i, list_reduce(list_concat([i], range(8)), lambda k, s: CASE WHEN k & 1 = 1 THEN xor(k >> 1, 3988292384) ELSE k >> 1 END) AS v FROM range(256) r(i))),
+             given AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(4294967295, {_CRC}) END AS h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents, crc),
+             placed AS (SELECT *, h // 10 AS g, len(w) AS n, CASE WHEN len(w) > 0 THEN h // 10 % len(w) END AS a FROM given),
+             period AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed),
+             docs AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM period),
+             words AS (SELECT r, unnest(range(n)) AS i, unnest(w) AS word FROM docs),
+             five AS (SELECT r, i, word || chr(1) || lead(word, 1) OVER o || chr(1) || lead(word, 2) OVER o || chr(1) || lead(word, 3) OVER o || chr(1) || lead(word, 4) OVER o AS gram FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+             pair AS (SELECT x.r, x.i, y.i - x.i AS q FROM five x JOIN five y ON x.r = y.r AND x.gram = y.gram AND x.i < y.i),
+             island AS (SELECT r, q, min(i) AS start, count(*) + 4 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM pair) GROUP BY r, q, k),
+             run AS (SELECT r, start, length, min(q) AS period FROM island WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+             told AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM run GROUP BY r),
+             best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY length::DOUBLE / period DESC, start, period) AS k FROM run) WHERE k = 1),
+             dropped AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM run),
+             kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS said FROM words ANTI JOIN dropped USING (r, i) GROUP BY r)
+        SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+               sha256(coalesce(told.said, '')) AS runs_sha256, sha256(coalesce(kept.said, '')) AS collapsed_sha256
+        FROM docs LEFT JOIN told USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)""",
+}
 QUERIES = {"op12_periodic_runs": op12_periodic_runs}

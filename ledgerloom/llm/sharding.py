@@ -80,5 +80,23 @@ def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
-SQL: dict[str, str] = {}
+_JUMP = """{name}(id, x, shard, ahead) AS (SELECT id, x, 0::BIGINT, 0::BIGINT FROM mixed
+    UNION ALL SELECT id, y, ahead, least(floor((ahead + 1) * (2147483648::DOUBLE / ((y >> 33)::DOUBLE + 1))), 1099511627776)::BIGINT
+      FROM (SELECT *, ((x::UHUGEINT * 2862933555777941757 + 1) % 18446744073709551616)::UBIGINT AS y FROM {name} WHERE ahead < {shards}))"""
+_PLACE = "{name}_at AS (SELECT id, max(shard) AS shard FROM {name} GROUP BY id)"
+
+SQL = {
+    "op6_jump_sharding": f"""
+        WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS t FROM (
+                 SELECT i, list_reduce(list_concat([i], range(8)), lambda k, s: CASE WHEN k & 1 = 1 THEN xor(k >> 1, 3988292384) ELSE k >> 1 END) AS v FROM range(256) r(i))),
+             docs AS (SELECT row_number() OVER () AS id, doc_id, strlen(coalesce(text, '')) + 8 AS size,
+                        xor(4294967295, list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda s: CAST('0x' || s AS BIGINT))), lambda k, x: xor(k >> 8, t[1 + (xor(k, x) & 255)]))) AS text_crc32
+                      FROM documents, crc),
+             first AS (SELECT id, ((xor(k, k >> 30)::UHUGEINT * 13787848793156543929) % 18446744073709551616)::UBIGINT AS x FROM (SELECT id, ((coalesce(doc_id, 0)::HUGEINT + 18446744073709551616) % 18446744073709551616)::UBIGINT AS k FROM docs)),
+             second AS (SELECT id, ((xor(x, x >> 27)::UHUGEINT * 10723151780598845931) % 18446744073709551616)::UBIGINT AS x FROM first),
+             mixed AS MATERIALIZED (SELECT id, xor(x, x >> 31) AS x FROM second),
+             {_JUMP.format(name="now", shards=N_SHARDS)}, {_PLACE.format(name="now")}, {_JUMP.format(name="grown", shards=N_SHARDS + 1)}, {_PLACE.format(name="grown")}
+        SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, n.shard::INT AS shard, row_number() OVER (PARTITION BY n.shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, g.shard::INT AS grown_shard
+        FROM docs JOIN now_at n USING (id) JOIN grown_at g USING (id)""",
+}
 QUERIES = {"op6_jump_sharding": op6_jump_sharding}

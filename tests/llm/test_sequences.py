@@ -246,14 +246,15 @@ def test_a_spoilt_text_is_not_read_back(spark):
         chat_format.read_back(segments.filter("segment <> 6")).collect()
 
 
-@pytest.mark.parametrize("name", ["op11_prefix_trie", "op13_chat_format"])
+@pytest.mark.parametrize("name", ["op6_jump_sharding", "op11_prefix_trie", "op12_periodic_runs", "op13_chat_format"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
 
     from ledgerloom import llm
 
     con = duckdb.connect()
-    con.execute("create view conversations as select * from read_parquet('/root/testdata/sf0.001/conversations.parquet')")
+    for table in ("conversations", "documents"):
+        con.execute(f"create view {table} as select * from read_parquet('/root/testdata/sf0.001/{table}.parquet')")
     found = con.execute(llm.SQL[name])
     names = [x[0] for x in found.description]
     df = llm.QUERIES[name](spark, "/root/testdata/sf0.001")
