@@ -96,6 +96,21 @@ def missing_keys(rows: DataFrame, key: str, targets: DataFrame, target_key: str)
     return rows.join(known, key, "left_anti")
 
 
+def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """AUD-04: rows and distinct natural keys of one table, and whether they agree; catalogue.natural_keys judges all declared tables."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("keys")).withColumn("ok", F.col("rows") == F.col("keys"))
+
+
+def revealed(edges: DataFrame, cap: int) -> DataFrame:
+    """TOP-05: hub, other, revealed: the counterparties of each hub, of which the first `cap` by amount, then by name, are shown and the others remain.
+
+    The first are found by a limited window, of which a task passes on `cap` rows a hub at most.
+    """
+    sums = table(edges.groupBy(F.col("target").alias("hub"), F.col("source").alias("other")).agg(F.sum("amount").alias("amount")), "counterparties")
+    first = sums.withColumn("place", F.row_number().over(W.partitionBy("hub").orderBy(F.desc("amount"), "other"))).filter(F.col("place") <= cap).select("hub", "other", F.lit(True).alias("shown"))
+    return sums.join(first, ["hub", "other"], "left").select("hub", "other", F.coalesce("shown", F.lit(False)).alias("revealed"))
+
+
 def snapshot_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """AUD-09 to AUD-11: rows of a baseline (key, hash) that were deleted or rewritten since."""
     now = after.select(key, F.col("hash").alias("new_hash"))

@@ -100,8 +100,8 @@ def aud_03(d):
 _KEYS = [("asset", "c_asset", "chain, contract"), ("address", "c_address", "chain, address"), ("transaction_", "c_tx", "chain, tx_hash"), ("transfer", "c_transfer", "id"), ("tx_output", "c_output", "transaction_id, output_index"), ("tx_input", "c_input", "transaction_id, input_index"), ("risk_detail", "c_detail", "risk_assessment_id, signal")]
 
 
-@query("aud_04", f"WITH {_case_sql} " + " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows, count(DISTINCT ({key})) AS keys, count(*) = count(DISTINCT ({key})) AS ok FROM {rows}" for t, rows, key in _KEYS))
-def aud_04(d):
+@query("aud_04_tables", f"WITH {_case_sql} " + " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows, count(DISTINCT ({key})) AS keys, count(*) = count(DISTINCT ({key})) AS ok FROM {rows}" for t, rows, key in _KEYS))
+def aud_04_tables(d):
     """Some transactions share a hash; the occurrence makes every transfer's key its own."""
     return c.natural_keys(_case(d))
 

@@ -170,10 +170,7 @@ def top_03(d):
 
 @query("top_05", "SELECT hub, other, place <= 50 AS revealed FROM (SELECT target AS hub, source AS other, row_number() OVER (PARTITION BY target ORDER BY sum(amount) DESC, source) AS place FROM edge GROUP BY 1, 2)")
 def top_05(d):
-    from pyspark.sql import Window as W
-
-    sums = d.edge.groupBy(F.col("target").alias("hub"), F.col("source").alias("other")).agg(F.sum("amount").alias("amount"))
-    return sums.select("hub", "other", (F.row_number().over(W.partitionBy("hub").orderBy(F.desc("amount"), "other")) <= 50).alias("revealed"))
+    return r.revealed(d.edge, 50)
 
 
 _hexed = "SELECT id, CASE WHEN kind = 'lookalike' THEN '0x' || lpad(hex(CAST(substr(src, 2) AS BIGINT) % 97), 4, '0') || lpad('', 32, 'f') || '00cc' ELSE '0x' || lpad(hex(CAST(substr(src, 2) AS BIGINT) % 97), 4, '0') || lpad(substr(src, 2), 32, '0') || '00cc' END AS src, dst, amount FROM transfer"
@@ -230,6 +227,11 @@ def aud_02(d):
     return r.missing_keys(d.claim.withColumn("query_id", F.col("id")), "query_id", d.source_query.filter("status = 'ok'"), "id").select("id")
 
 
+@query("aud_04", "SELECT count(*) AS rows, count(DISTINCT (l_orderkey, l_linenumber)) AS keys, count(*) = count(DISTINCT (l_orderkey, l_linenumber)) AS ok FROM lineitem")
+def aud_04(d):
+    return r.duplicate_keys(d.read("lineitem"), ["l_orderkey", "l_linenumber"])
+
+
 @query("aud_05", "SELECT id FROM movement WHERE subject_type = 'tx_output' AND id % 1000 = 101")
 def aud_05(d):
     """A source is written to some outputs, as no ledger does."""
