@@ -12,6 +12,7 @@ from ..functions.scalars import cap, short
 from ..scratch import discard, new_folder, table
 from .clustering import resolve_merges
 from .components import connected_components
+from .rosters import numbered
 
 #: Counterparties that an expanded bundle shows, and members that make a pool; fixed values.
 REVEALED, LEAST_POOL = 50, 2
@@ -106,6 +107,33 @@ def default_focus(edges: DataFrame, seed: str | None = None) -> str | None:
     return top["node"] if top else None
 
 
+def find_focus(nodes: DataFrame, texts: list[str], default: str | None) -> DataFrame:
+    """FLT-10: text, node, how for each text that a user asks for: the node of that id, else that of the address, else of an address that begins so, without
+    regard to case and outer spaces, the least id of several; else the default focus. nodes: id, address. One pass over the nodes for all texts."""
+    said = [(t, t.strip().lower()) for t in texts]
+    address = F.lower(F.coalesce("address", F.lit("")))
+    least = lambda when, name: F.min(F.when(when, F.col("id"))).alias(name)
+    found = nodes.agg(F.count(F.lit(1)).alias("n"), *(c for i, (t, q) in enumerate(said) for c in (least(F.col("id") == t, f"id{i}"), least((address == q) & F.lit(q != ""), f"exact{i}"), least(address.startswith(q) & F.lit(q != ""), f"prefix{i}"))))
+    rows = F.explode(F.array(*(F.struct(F.lit(t).alias("text"), *(F.col(f"{how}{i}").alias(how) for how in ("id", "exact", "prefix"))) for i, (t, _) in enumerate(said))))
+    how = F.when(F.col("r.id").isNotNull(), "id").when(F.col("r.exact").isNotNull(), "exact").when(F.col("r.prefix").isNotNull(), "prefix").otherwise("default")
+    return found.select(rows.alias("r")).select("r.text", F.coalesce("r.id", "r.exact", "r.prefix", F.lit(default)).alias("node"), how.alias("how"))
+
+
+def neighbour_order(edges: DataFrame, anchor: str, mode: str = "value") -> DataFrame:
+    """WIN-10: node, asset, key, place, tray: the neighbours of an anchor in the order of their best edge, by value, by sequence (height) or by native amount.
+
+    Only movements count, not traces or bundles. A neighbour's key is its greatest; native amounts are ordered within their asset (ties of a
+    neighbour's best go to the least asset), the others on one scale. Neighbours without a key have no place and lie in the tray.
+    """
+    key = {"value": F.col("value"), "sequence": F.col("seq"), "native": F.when(F.col("amount") > 0, F.col("amount"))}[mode]
+    other = F.when(F.col("source") == anchor, F.col("target")).when(F.col("target") == anchor, F.col("source"))
+    own = edges.filter(F.col("kind").isin("transfer", "tx_input", "tx_output")).select(other.alias("node"), (F.coalesce("asset", F.lit("?")) if mode == "native" else F.lit("")).alias("asset"), key.cast("long").alias("key")).filter(F.col("node") != anchor)
+    best = own.groupBy("node").agg(F.max("key").alias("key"), F.min_by("asset", F.when(F.col("key").isNotNull(), F.struct(-F.col("key"), "asset"))).alias("asset"))
+    placed = numbered(best.filter("key is not null").select("node", "asset", "key"), ["asset", "key", "node"])
+    tray = best.filter("key is null").select("node", F.lit("").alias("asset"), "key", F.lit(None).cast("long").alias("place"))
+    return placed.withColumn("place", F.col("place").cast("long")).unionByName(tray).withColumn("tray", F.col("key").isNull())
+
+
 def magnitude(basis: str = "usd") -> Column:
     """FLT-09: the number an edge is judged by: its value, null without a price, or in native basis its amount."""
     return F.col("amount") if basis == "native" else F.col("value")

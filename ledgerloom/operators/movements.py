@@ -179,6 +179,17 @@ def bounded_pull(rows: DataFrame, key: str, order: list[str], limit: int) -> Dat
     return first.withColumn("partial", F.max("__place").over(W.partitionBy(key)) > limit).filter(F.col("__place") <= limit).drop("__place")
 
 
+def top_counterparties(transfers: DataFrame, address: str, n: int) -> DataFrame:
+    """TOP-04: transfers of an address with one of its n counterparties of most transfers, ties to the lesser name; transfers without a counterparty stay.
+
+    The counterparty is the other end; of a transfer that doesn't touch the address it is the receiver.
+    """
+    other = F.when(F.col("dst") == address, F.col("src")).when(F.col("src") == address, F.col("dst")).otherwise(F.col("dst"))
+    rows = transfers.withColumn("__other", other)
+    best = rows.filter("__other is not null").groupBy("__other").count().orderBy(F.desc("count"), "__other").limit(n)
+    return rows.join(best, "__other", "left_semi").unionByName(rows.filter("__other is null")).drop("__other")
+
+
 def next_hops(frontier: DataFrame, transfers: DataFrame, known: DataFrame, cap: int) -> DataFrame:
     """JON-11: outgoing transfers of the frontier that the trace does not hold, the first `cap` for each address by size."""
     out = transfers.join(frontier.select(F.col("address").alias("src")).distinct(), "src", "left_semi").join(known.select("id"), "id", "left_anti")

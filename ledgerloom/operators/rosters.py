@@ -111,6 +111,14 @@ def revealed(edges: DataFrame, cap: int) -> DataFrame:
     return sums.join(first, ["hub", "other"], "left").select("hub", "other", F.coalesce("shown", F.lit(False)).alias("revealed"))
 
 
+def delisted(known: DataFrame, current: DataFrame, editions: DataFrame, edition: Column) -> DataFrame:
+    """JON-17: chain, address that were listed before and are not in the current edition; none at all if a newer edition than this was read already, as an
+    older list tells nothing. editions: published, dates of those read before (null where unknown); an edition without a date counts as current."""
+    newest = editions.agg(F.max("published").alias("newest"))
+    gone = known.select("chain", "address").distinct().join(current.select("chain", "address"), ["chain", "address"], "left_anti")
+    return gone.join(newest).filter(F.coalesce(F.col("newest") <= edition, F.lit(True))).select("chain", "address")  # one row
+
+
 def snapshot_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """AUD-09 to AUD-11: rows of a baseline (key, hash) that were deleted or rewritten since."""
     now = after.select(key, F.col("hash").alias("new_hash"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import merges as m
+from ..operators.activity import activity_timeline
 from ..operators.movements import merge_transfers
 from ..scratch import new_folder
 from ..streaming.ingest import ingest, stored
@@ -185,11 +186,27 @@ def lif_05_cascade(d):
     return m.drop_findings(kept, rows.filter("kind = 'error'").select("finding")).select("id")
 
 
-@query("set_02", "SELECT 'claim' AS kind, id, retrieved_at AS ts FROM claim UNION ALL SELECT 'approval', id, retrieved_at FROM approval UNION ALL SELECT 'query', id, requested_at FROM source_query WHERE id % 7 <> 0")
+@query("set_02", """SELECT us AS ts, 'fetch' AS kind, 'Fetched ' || event_type || ' · cap' || event_id % 4 || CASE WHEN event_id % 10 = 0 THEN ' · partial' ELSE '' END AS summary, 'source_query' AS ref_type, CAST(event_id AS VARCHAR) AS ref_id, props AS detail FROM ev
+  UNION ALL SELECT us, 'trace', 'Trace created: t' || k, 'trace', CAST(event_id AS VARCHAR), NULL FROM ev WHERE event_type = 'signup' AND event_id % 7 <> 0
+  UNION ALL SELECT us, 'finding', 'Finding recorded', 'finding', CAST(event_id AS VARCHAR), CASE WHEN k % 3 = 0 THEN NULL WHEN k % 3 = 1 THEN rpad('', 79, 'y') || '…' ELSE props END FROM ev WHERE event_type = 'purchase'
+  UNION ALL SELECT us, 'annotation', 'Annotation added to ' || CASE WHEN k % 2 = 0 THEN 'address' ELSE 'trace' END, 'annotation', CAST(event_id AS VARCHAR), NULL FROM ev WHERE event_type = 'click'
+  UNION ALL SELECT us, 'tag', 'Tag ' || chr(39) || 'label' || k % 5 || chr(39) || ' added to entity', 'tag', CAST(event_id AS VARCHAR), NULL FROM ev WHERE event_type = 'view'
+  UNION ALL SELECT us, CASE k % 3 WHEN 2 THEN 'bridge_link' ELSE 'trace_edit' END, CASE k % 3 WHEN 0 THEN 'Trace transfer link retracted' WHEN 1 THEN 'Trace BTC link retracted' ELSE 'Cross-chain bridge link added' END,
+    CASE k % 3 WHEN 0 THEN 'trace_transfer_retraction' WHEN 1 THEN 'trace_btc_link_retraction' ELSE 'trace_bridge_link' END, CAST(event_id AS VARCHAR), NULL FROM ev WHERE event_type = 'error'
+  UNION ALL SELECT block_ts * 1000000, 'exhibit', 'Exhibit captured (' || chain || ')', 'exhibit', CAST(tx_id AS VARCHAR), status FROM tx UNION ALL SELECT us, 'report', 'Report generated: r' || k, 'report', CAST(event_id AS VARCHAR), NULL FROM ev WHERE event_type = 'purchase'""")
 def set_02(d):
-    rows = lambda df, kind, ts: df.select(F.lit(kind).alias("kind"), "id", F.col(ts).alias("ts"))
-    shown = d.source_query.join(d.source_query.filter("id % 7 = 0").select("id"), "id", "left_anti")
-    return rows(d.claim, "claim", "retrieved_at").unionByName(rows(d.approval, "approval", "retrieved_at")).unionByName(rows(shown, "query", "requested_at")).orderBy("ts", "kind", "id")
+    col = F.col
+    of = lambda kind, *more: d.events.filter(col("event_type") == kind).select(col("event_id").alias("id"), col("us").alias("created_at"), "k", "props", *more)
+    errors = of("error")
+    return activity_timeline({
+        "source_query": d.source_query.withColumn("endpoint", col("params")),
+        "trace": of("signup", F.concat(F.lit("t"), "k").alias("name")), "trace_retraction": of("signup").filter("id % 7 = 0").select(col("id").alias("trace_id")),
+        "finding": of("purchase", F.when(col("k") % 3 == 0, "  ").when(col("k") % 3 == 1, F.repeat(F.lit("y"), F.lit(90))).otherwise(F.concat(F.lit(" "), "props")).alias("statement")),
+        "annotation": of("click", F.when(col("k") % 2 == 0, "address").otherwise("trace").alias("target_type")), "tag": of("view", F.concat(F.lit("label"), col("k") % 5).alias("label"), F.lit("entity").alias("target_type")),
+        "trace_transfer_retraction": errors.filter("k % 3 = 0"), "trace_btc_link_retraction": errors.filter("k % 3 = 1"), "trace_bridge_link": errors.filter("k % 3 = 2"),
+        "exhibit": d.tx.select(col("tx_id").alias("id"), col("chain").alias("exhibit_type"), (col("block_ts") * 1_000_000).alias("captured_at"), col("status").alias("description")),
+        "report": of("purchase", F.concat(F.lit("r"), "k").alias("title")).withColumnRenamed("created_at", "generated_at"),
+    })
 
 
 @query("set_04", """SELECT tx_id, CASE WHEN tx_id % 6 = 0 THEN 'new' WHEN tx_id % 4 = 0 THEN 'finalized' ELSE 'corrected' END AS change FROM tx

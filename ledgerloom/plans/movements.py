@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exact
 from ..operators import movements as m
 from ..operators import tracing as t
-from ..operators.graph import magnitude
-from ..operators.rosters import numbered
+from ..operators.graph import default_focus, find_focus, magnitude, neighbour_order
 from .fixtures import WEI_SQL, wei
 from .registry import Registry
 
@@ -148,10 +147,16 @@ def win_09(d):
     return m.capped_counterparties(d.edge, 20)
 
 
-@query("win_10", """SELECT other, asset, best, row_number() OVER (PARTITION BY asset ORDER BY best, other) AS place FROM (SELECT source AS other, asset, max(value_e4) AS best FROM edge GROUP BY ALL) WHERE best IS NOT NULL""")
+_order = lambda mode, key, asset: f"""SELECT '{mode}' AS mode, node, CASE WHEN key IS NULL THEN '' ELSE asset END AS asset, key, CASE WHEN key IS NOT NULL THEN row_number() OVER (PARTITION BY key IS NULL ORDER BY asset, key, node) END AS place, key IS NULL AS tray
+  FROM (SELECT node, max(key) AS key, min(asset) FILTER (WHERE key = best) AS asset FROM (SELECT *, max(key) OVER (PARTITION BY node) AS best FROM (SELECT CASE WHEN source = 's7' THEN target ELSE source END AS node, {asset} AS asset, {key} AS key FROM seen WHERE (source = 's7') <> (target = 's7'))) GROUP BY node)"""
+
+
+@query("win_10", "WITH seen AS (SELECT e.*, block_height AS seq FROM edge e JOIN transfer USING (id)) " + " UNION ALL ".join((_order("value", "value_e4", "''"), _order("sequence", "seq", "''"), _order("native", "CASE WHEN amount > 0 THEN amount END", "asset"))))
 def win_10(d):
-    best = d.edge.groupBy(F.col("source").alias("other"), "asset").agg(F.max("value_e4").alias("best")).filter("best is not null")
-    return numbered(best, ["best", "other"], within=["asset"])
+    """The neighbours of one supplier, by each of the three modes."""
+    edges = d.edge.join(d.transfer.select("id", F.col("block_height").alias("seq")), "id").withColumn("kind", F.lit("transfer")).withColumnRenamed("value_e4", "value")
+    parts = [neighbour_order(edges, "s7", mode).withColumn("mode", F.lit(mode)) for mode in ("value", "sequence", "native")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("win_13", """WITH x AS (SELECT id, CASE WHEN value_e4 > 0 THEN '' ELSE asset END AS scale, CASE WHEN value_e4 > 0 THEN ln(value_e4) WHEN value_e4 IS NULL AND amount > 0 THEN ln(amount) END AS x FROM edge),
@@ -214,9 +219,18 @@ def flt_09(d):
     return parts[0].unionByName(parts[1])
 
 
-@query("flt_10", "SELECT DISTINCT address, address = 'c12' AS exact FROM attribution WHERE starts_with(lower(address), 'c12')")
+_texts = ["addr:c7", " C12 ", "c1", "S", "nobody", ""]
+
+
+@query("flt_10", f"""WITH n AS (SELECT DISTINCT 'addr:' || address AS id, address FROM attribution UNION SELECT 'addr:' || address, address FROM exchange), q(text, q) AS (VALUES {", ".join(f"('{t}', '{t.strip().lower()}')" for t in _texts)}),
+  top AS (SELECT 'addr:' || node AS node FROM (SELECT source AS node FROM edge UNION ALL SELECT target FROM edge) GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1),
+  hit AS (SELECT text, (SELECT min(id) FROM n WHERE id = text) AS a, (SELECT min(id) FROM n WHERE lower(address) = q AND q <> '') AS b, (SELECT min(id) FROM n WHERE starts_with(lower(address), q) AND q <> '') AS c FROM q)
+  SELECT text, coalesce(a, b, c, (SELECT node FROM top)) AS node, CASE WHEN a IS NOT NULL THEN 'id' WHEN b IS NOT NULL THEN 'exact' WHEN c IS NOT NULL THEN 'prefix' ELSE 'default' END AS how FROM hit""")
 def flt_10(d):
-    return d.attribution.filter(F.lower("address").startswith("c12")).select("address", (F.col("address") == "c12").alias("exact")).distinct()
+    """The texts are what users ask for: an id, an address, a beginning, and two that find nothing."""
+    node = lambda c: F.concat(F.lit("addr:"), c)
+    nodes = d.attribution.select("address").unionByName(d.exchange).distinct().select(node("address").alias("id"), "address")
+    return find_focus(nodes, _texts, default_focus(d.edge.select(node("source").alias("source"), node("target").alias("target"))))
 
 
 @query("flt_11", "SELECT id FROM edge WHERE source = 's7' OR target = 's7'")
@@ -385,9 +399,9 @@ def agg_32(d):
     return d.tx.groupBy("chain").agg(F.max(F.col("block_height") + F.col("tx_id") % 9).alias("tip"))
 
 
-@query("top_04", """WITH n AS (SELECT dst, count(*) AS n FROM transfer WHERE src = 'c7' OR src LIKE 'c7_' GROUP BY dst ORDER BY n DESC, dst LIMIT 10)
-  SELECT id FROM transfer WHERE (src = 'c7' OR src LIKE 'c7_') AND dst IN (SELECT dst FROM n)""")
+@query("top_04", """WITH own AS (SELECT *, CASE WHEN dst = 's7' THEN CASE WHEN id % 5 <> 0 THEN src END WHEN src = 's7' THEN dst ELSE dst END AS other FROM transfer),
+  n AS (SELECT other FROM own WHERE other IS NOT NULL GROUP BY other ORDER BY count(*) DESC, other LIMIT 10) SELECT id FROM own WHERE other IS NULL OR other IN (SELECT other FROM n)""")
 def top_04(d):
-    own = d.transfer.filter("src = 'c7' or src like 'c7_'")
-    best = own.groupBy("dst").count().orderBy(F.desc("count"), "dst").limit(10)
-    return own.join(best, "dst", "left_semi").select("id")
+    """Some transfers to the address have no sender."""
+    rows = d.transfer.withColumn("src", F.when((F.col("dst") == "s7") & (F.col("id") % 5 == 0), F.lit(None)).otherwise(F.col("src")))
+    return m.top_counterparties(rows, "s7", 10).select("id")

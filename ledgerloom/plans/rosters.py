@@ -187,9 +187,14 @@ def grf_23(d):
     return r.poisoning(rows, lookalike_key(F.col("address")))
 
 
-@query("jon_17", "SELECT subject, label FROM claim WHERE source = 'view' EXCEPT SELECT subject, label FROM claim WHERE source = 'click' OR id % 2 = 0")
+@query("jon_17", """WITH known AS (SELECT source AS chain, subject AS address FROM claim WHERE id % 3 <> 0), now AS (SELECT source AS chain, subject AS address FROM claim WHERE id % 3 = 0)
+  SELECT edition, chain, address FROM (SELECT chain, address FROM known EXCEPT SELECT chain, address FROM now), (VALUES ('newest'), ('undated')) e(edition)""")
 def jon_17(d):
-    return d.claim.filter("source = 'view'").select("subject", "label").distinct().join(d.claim.filter("source = 'click' or id % 2 = 0").select("subject", "label"), ["subject", "label"], "left_anti")
+    """Against the newest edition, one without a date, and one that is older than what was read before, which tells nothing."""
+    rows = d.claim.select("id", F.col("source").alias("chain"), F.col("subject").alias("address"))
+    editions = d.claim.select(F.when(F.col("id") % 2 == 0, F.lit("2024-05-01").cast("date")).alias("published"))
+    parts = [r.delisted(rows.filter("id % 3 <> 0"), rows.filter("id % 3 = 0"), editions, F.lit(day).cast("date")).withColumn("edition", F.lit(name)) for name, day in (("newest", "2024-05-01"), ("undated", None), ("stale", "2024-04-30"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 _shown = "CASE WHEN length(x) > 9 THEN left(x, 4) || '…' || right(x, 4) ELSE x END"
