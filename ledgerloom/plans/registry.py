@@ -23,7 +23,7 @@ def with_tables(sql: str) -> str:
     for name in reversed(_PARTS):
         if re.search(rf"\b{name}\b", text):
             needed.add(name)
-            text += _PARTS[name]
+            text += "\n" + _PARTS[name]
     tables = [_PARTS[name] for name in _PARTS if name in needed]
     if not tables:
         return f"WITH RECURSIVE {inner}" if inner else statement
