@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..functions.scalars import change_confidence, script_type
 from ..scratch import table
 from .components import connected_components
@@ -141,8 +142,13 @@ def deposit_forwards(transfers: DataFrame, exchange: DataFrame, tolerance: Colum
 
     The join is on (deposit, asset, stretch of `window` blocks): a transfer meets what leaves in its own stretch and the
     next, so a hot deposit forms no pairs over its whole history. The amount and block conditions are residuals.
-    Exchanges are joined as any table; Spark broadcasts them where they are small.
+    Exchanges are joined as any table; Spark broadcasts them where they are small. Amounts may be numbers or text of whole
+    numbers of up to 90 digits; the tolerance is of their kind.
     """
+    minus, none, most = (lambda a, b: a - b), F.lit(0), tolerance
+    if exact.is_text(transfers, "amount"):
+        transfers = transfers.withColumn("amount", exact.parse(F.col("amount")))
+        minus, none, most = exact.minus, exact.parse(F.lit("0")), exact.parse(tolerance)
     known = exchange.select("address").distinct()
     named = lambda end: known.select(F.col("address").alias(end))
     stretch = lambda height: F.floor(height / window).cast("long")
@@ -150,8 +156,8 @@ def deposit_forwards(transfers: DataFrame, exchange: DataFrame, tolerance: Colum
     out = rest.join(named("dst"), "dst", "left_semi").select(F.col("src").alias("deposit"), F.col("dst").alias("exchange"), "asset", F.col("amount").alias("sent"), F.col("block_height").alias("after"), stretch(F.col("block_height")).alias("stretch"))
     at = stretch(F.col("block_height"))
     into = rest.select(F.col("dst").alias("deposit"), F.col("src").alias("user"), "asset", "amount", "block_height", F.explode(F.array(at, at + 1)).alias("stretch"))
-    spare, wait = F.col("amount") - F.col("sent"), F.col("after") - F.col("block_height")
-    return into.join(out, ["deposit", "asset", "stretch"]).filter((spare >= 0) & (spare <= tolerance) & (wait >= 0) & (wait <= window)).select("deposit", "user", "exchange")
+    spare, wait = minus(F.col("amount"), F.col("sent")), F.col("after") - F.col("block_height")
+    return into.join(out, ["deposit", "asset", "stretch"]).filter((spare >= none) & (spare <= most) & (wait >= 0) & (wait <= window)).select("deposit", "user", "exchange")
 
 
 def deposit_reuse(forwards: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from ..operators import clustering as c
 from ..operators.components import connected_components
 from ..operators.movements import resolve_spends
 from ..scratch import table
+from .fixtures import WEI_SQL, wei
 from .registry import Registry
 
 REGISTRY = query = Registry()
@@ -185,6 +186,14 @@ def jon_09(d):
     return c.deposit_forwards(d.transfer, d.exchange, F.lit(1)).distinct()
 
 
+@query("jon_09_wei", f"""WITH w AS (SELECT *, CAST({WEI_SQL.format(amount='amount', id='id')} AS HUGEINT) AS wei FROM transfer)
+  SELECT DISTINCT i.dst AS deposit, i.src AS "user", o.dst AS exchange FROM w i JOIN w o ON o.src = i.dst AND o.asset = i.asset
+  WHERE i.dst NOT IN (SELECT address FROM exchange) AND i.src NOT IN (SELECT address FROM exchange) AND o.dst IN (SELECT address FROM exchange) AND i.wei - o.wei BETWEEN 0 AND 100000000000000000000000 AND o.block_height - i.block_height BETWEEN 0 AND 3200""")
+def jon_09_wei(d):
+    """Amounts in text, far beyond 64 bits; the tolerance too."""
+    return c.deposit_forwards(d.transfer.withColumn("amount", wei()), d.exchange, F.lit("1" + "0" * 23)).distinct()
+
+
 @query("grf_14", _components(f"""WITH {_forward}, u AS (SELECT DISTINCT deposit, "user" FROM fw WHERE deposit IN (SELECT deposit FROM fw GROUP BY 1 HAVING count(DISTINCT exchange) = 1)),
   e AS (SELECT DISTINCT m.a, u."user" AS b FROM u JOIN (SELECT deposit, min("user") AS a FROM u GROUP BY 1) m USING (deposit) WHERE a <> "user")""") + """,
   n AS (SELECT component, count(*) AS size FROM component GROUP BY 1 HAVING count(*) BETWEEN 2 AND 1000)
