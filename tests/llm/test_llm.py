@@ -529,7 +529,7 @@ def test_pipeline_awkward(spark, awkward):
             docs = table(stage(spark, docs, sf), name)
             if name != "packing":
                 assert docs.columns == awkward.columns
-        assert docs.count() <= kept
+        assert docs.select("doc_id").distinct().count() <= kept  # packing gives a row for each piece
     # of a text with copies one document stays, of an id with two texts both
     rows = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (2, "One two three four five six"), (1, "another text of its own here"), (None, "no id no id no id")], "doc_id long, text string")
     left = corpus_pipeline.drop_near_duplicates(spark, rows, sf).collect()
