@@ -19,6 +19,7 @@ def exclusive_scan(rows: DataFrame, key: list[str], order: list[str], sums: dict
     """
     sums, lasts = sums or {}, lasts or {}
     part, row = F.spark_partition_id(), F.monotonically_increasing_id()
+    rows = table(rows, "scan-rows")  # ranges are drawn from a sample, for which rows would be computed a second time
     placed = table(rows.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order).select("*", part.alias("__part"), row.alias("__row")), "scan")
     here = W.partitionBy("__part", *key).orderBy("__row").rowsBetween(W.unboundedPreceding, -1)
     local = placed.select("*", *(F.sum(c).over(here).alias(n) for c, n in sums.items()), *(F.last(c, ignorenulls=True).over(here).alias(n) for c, n in lasts.items()))
