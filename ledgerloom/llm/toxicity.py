@@ -17,13 +17,12 @@ from ._common import ROWS_PER_CALL, id_text, in_calls, read, table
 
 #: Labelled documents that the models are fitted on, at most, for each class. A document counts once.
 TOXIC_DOCS, ORDINARY_DOCS = 3_000, 9_000
-#: Cells that the ratio is told apart by: bands of evidence (powers of two of the training documents that have an expression) and bounds of the ratio's size.
-BANDS, SIZES = 8, (0.5, 1.5)
-CELLS = BANDS * (len(SIZES) + 1)
-#: Ridge of the calibration.
-RIDGE = 1.0
-#: Documents for each bucket in which distinct bigrams are counted.
-BUCKET_DOCS = 8_000
+#: Discounts to choose from: standard deviations by which a class's count must pass what chance gives it, before any of it is kept.
+SPREADS = (1.0, 2.0, 3.0, 4.0, 6.0)
+#: Weight that keeps the slope finite where the ratio parts the classes.
+RIDGE = 1e-3
+#: Characters of text for each bucket in which distinct bigrams are counted.
+BUCKET_CHARS = 20_000_000
 #: Stands before the first word of a text.
 START = np.int64(-1)
 
@@ -53,16 +52,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 0, 1, 2 and more, estimated from the counts of counts (Chen and Goodman, 1999)."""
-    n1, n2, n3, n4 = (max(1, int((counts == i).sum())) for i in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.1, 0.1, 0.1], [0, 0.99, 1.99, 2.99])
+def discounts(count: np.ndarray, both: np.ndarray, part: float, spread: float) -> np.ndarray:
+    """What Kneser-Ney takes off a class's counts: all that chance explains, given the counts of both classes and the class's part of them.
 
-
-def _cells(kind: int, ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The cell of ratios of one kind (word, history, bigram) by their size and by the documents n behind them."""
-    return (kind * CELLS + np.searchsorted(SIZES, np.abs(ratio), "right") * BANDS + np.minimum(np.log2(np.maximum(n, 1)).astype(int), BANDS - 1)).astype(np.uint8)
+    That is the expected count and `spread` standard deviations. The more often an expression is, the more of its count may
+    be chance; a fixed discount would keep the noise of every common word, and a long text has many.
+    """
+    expected = both * part
+    return np.minimum(count, expected + spread * np.sqrt(expected + 1))
 
 
 @dataclass
@@ -81,23 +78,21 @@ class KneserNey:
     """Both models as arrays over the training words and bigrams, by sorted hash.
 
     P_c(w|h) = (n_c(h,w) - D)/n_c(h) + b_c(h) P_c(w) and P_c(w) = (n_c(w) - D)/N_c + b_c P(w), where P(w) is the share of
-    the distinct bigrams of all documents that end in w, and D and b are the class's own. Kept are log-ratios toxic over
-    ordinary: of each word, of the backoff weight of each history, and what a bigram adds to its word's.
+    the distinct bigrams of all documents that end in w, which both classes back off to, D are the discounts and b the
+    mass that they free. Kept are log-ratios toxic over ordinary: of each word, of the backoff weight of each history, and
+    what a bigram adds to its word's if any of its count is left; else that is the backoff weight's.
     """
 
     words: np.ndarray
     word: np.ndarray
-    word_cell: np.ndarray
     follow: np.ndarray
-    follow_cell: np.ndarray
     pairs: np.ndarray
     pair: np.ndarray
-    pair_cell: np.ndarray
-    slopes: np.ndarray
+    slope: float = 1.0
     offset: float = 0.0
 
     @classmethod
-    def fit(cls, grams: Grams, ends: np.ndarray, toxic: int, ordinary: int) -> KneserNey:
+    def fit(cls, grams: Grams, ends: np.ndarray, toxic: int, ordinary: int, spread: float) -> KneserNey:
         """Fits on two columns of the counts. ends: distinct bigrams of all documents by the word they end in, last those of unknown words.
 
         The last entry of each array over words stands for a word that no training document has, and as a history for
@@ -105,30 +100,24 @@ class KneserNey:
         """
         size = len(grams.words)
         share = (ends + 0.5) / (ends + 0.5).sum()
-        words, total = np.append(grams.word_counts, np.zeros((1, 4), np.int32), 0), np.zeros(size + 1)
-        models, log_word, log_follow = [], np.zeros(size + 1), np.zeros(size + 1)
+        columns, total = [toxic, ordinary], grams.word_counts.sum(0)
+        words = np.append(grams.word_counts[:, columns], np.zeros((1, 2), np.int32), 0)
+        models, log_word, log_follow, kept = [], np.zeros(size + 1), np.zeros(size + 1), np.zeros(len(grams.before), bool)
         for sign, c in ((1, toxic), (-1, ordinary)):
-            n, m = words[:, c], grams.pair_counts[:, c]
-            d1, d2 = discounts(n), discounts(m)
-            p = (n - d1[np.minimum(n, 3)] + d1[np.minimum(n, 3)].sum() * share) / n.sum()
+            part = total[c] / total[columns].sum()
+            n, m = grams.word_counts[:, c], grams.pair_counts[:, c]
+            off, less = discounts(np.append(n, 0), words.sum(1), part, spread), discounts(m, grams.pair_counts[:, columns].sum(1), part, spread)
+            p = (np.append(n, 0) - off + off.sum() * share) / n.sum()
             history = np.bincount(grams.before, m, size + 1)
-            weight = np.where(history > 0, np.bincount(grams.before, d2[np.minimum(m, 3)], size + 1) / np.maximum(history, 1), 1.0)
-            models.append((sign, c, d2, p, history, weight))
-            log_word, log_follow, total = log_word + sign * np.log(p), log_follow + sign * np.log(weight), total + history
-        pair, cell = np.zeros(len(grams.before), np.float32), np.zeros(len(grams.before), np.uint8)
-        for i in range(0, len(pair), 500_000):
-            own = slice(i, i + 500_000)
-            first, second, log_pair = grams.before[own], grams.after[own], 0.0
-            for sign, c, d2, p, history, weight in models:
-                m = grams.pair_counts[own, c]
-                found = np.where(history[first] > 0, (m - d2[np.minimum(m, 3)]) / np.maximum(history[first], 1), 0.0)
-                log_pair = log_pair + sign * np.log(found + weight[first] * p[second])
-            n = grams.pair_counts[own, toxic] + grams.pair_counts[own, ordinary]
-            pair[own] = np.where(n > 0, log_pair - log_word[second], log_follow[first])
-            cell[own] = _cells(2, pair[own], n)
-        n = words[:, toxic] + words[:, ordinary]
-        keys = grams.before.astype(np.int64) * (size + 1) + grams.after
-        return cls(grams.words, log_word.astype(np.float32), _cells(0, log_word, n), log_follow.astype(np.float32), _cells(1, log_follow, total), keys, pair, cell, np.ones(3 * CELLS))
+            weight = np.where(history > 0, np.bincount(grams.before, less, size + 1) / np.maximum(history, 1), 1.0)
+            kept |= m > less
+            models.append((sign, m - less, p, history, weight))
+            log_word, log_follow = log_word + sign * np.log(p), log_follow + sign * np.log(weight)
+        first, second, log_pair = grams.before[kept], grams.after[kept], 0.0
+        for sign, left, p, history, weight in models:
+            log_pair = log_pair + sign * np.log(left[kept] / np.maximum(history[first], 1) + weight[first] * p[second])
+        pair = (log_pair - log_word[second]).astype(np.float32)
+        return cls(grams.words, log_word.astype(np.float32), log_follow.astype(np.float32), first.astype(np.int64) * (size + 1) + second, pair)
 
     def __getstate__(self) -> dict:
         """Small on its way to the tasks: histories as numbers of bigrams, ratios in half precision, compressed."""
@@ -142,27 +131,26 @@ class KneserNey:
         self.__dict__ |= {k: v for k, v in read.items() if k != "starts"}
         self.pairs = np.repeat(np.arange(size, dtype=np.int64) * size, read["starts"]) + read["pairs"]
 
-    def parts(self, doc: np.ndarray, word: np.ndarray, before: np.ndarray, count: int) -> np.ndarray:
-        """For each of `count` texts the mean log-likelihood ratio of its words (see hashed_words), as a sum of parts by cell; 0 without words."""
+    def ratio(self, doc: np.ndarray, word: np.ndarray, before: np.ndarray, count: int) -> np.ndarray:
+        """For each of `count` texts the log-likelihood ratio of its words (see hashed_words) by the number of words; 0 without words."""
         size = len(self.words)
         place = lambda x: np.where(self.words[spot := np.minimum(np.searchsorted(self.words, x), size - 1)] == x, spot, size)
         w, h = place(word), place(before)
-        keys = h * np.int64(size + 1) + w
-        spot = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
         real = (h < size) | (before == START)  # an unknown word has the place of START but is no history
-        known = (self.pairs[spot] == keys) & real
-        add = np.where(known, self.pair[spot], np.where(real, self.follow[h], 0))
-        cell = np.where(known, self.pair_cell[spot], self.follow_cell[h])
-        flat = np.bincount(doc * 3 * CELLS + self.word_cell[w], self.word[w], count * 3 * CELLS) + np.bincount(doc * 3 * CELLS + cell, add, count * 3 * CELLS)
-        return flat.reshape(count, 3 * CELLS) / np.maximum(np.bincount(doc, minlength=count), 1)[:, None]
+        add = np.where(real, self.follow[h], 0)
+        if len(self.pairs):
+            keys = h * np.int64(size + 1) + w
+            spot = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+            add = np.where((self.pairs[spot] == keys) & real, self.pair[spot], add)
+        return np.bincount(doc, self.word[w] + add, count) / np.maximum(np.bincount(doc, minlength=count), 1)
 
     def score(self, texts) -> np.ndarray:
-        z = self.offset + self.parts(*hashed_words(texts), len(texts)) @ self.slopes if len(texts) else np.zeros(0)
+        z = self.offset + self.slope * self.ratio(*hashed_words(texts), len(texts)) if len(texts) else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def _gram_counts(sample: DataFrame) -> Grams:
-    """Counts of documents by word and bigram in four columns: toxic, ordinary, and both without the calibrating fifth.
+    """Counts of documents by word and bigram in four columns: toxic, ordinary, and both without the tuning quarter.
 
     First words, then bigrams as pairs of places in the vocabulary. The four counts travel in one long, 16 bits each,
     which holds for samples of fewer than 32,768 documents. Spark adds up; to the driver comes what the bounded sample has.
@@ -181,7 +169,7 @@ def _gram_counts(sample: DataFrame) -> Grams:
                 gram, doc = gram[order], doc[order]
                 once = np.append(True, (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])) if len(gram) else np.zeros(0, bool)
                 kind = (part["toxic"].to_numpy() == 0) * 1 + (part["tuning"].to_numpy() == 1) * 2
-                marks = np.array([1 + (1 << 32), (1 << 16) + (1 << 48), 1, 1 << 16])  # toxic, ordinary, and the same of the calibrating fifth
+                marks = np.array([1 + (1 << 32), (1 << 16) + (1 << 48), 1, 1 << 16])  # toxic, ordinary, and the same without the tuning quarter
                 yield pd.DataFrame({"gram": gram[once], "n": marks[kind[doc[once]]]})
 
         found = sample.select("text", "toxic", "tuning").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
@@ -209,10 +197,12 @@ def continuations(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text
 
     A bigram is a 64-bit number: the place of its word, and 40 bits of a hash of its two words. A task sets aside what it
     has met already and deals the others by that hash into buckets, which are packed for the shuffle; a bucket is merged
-    in one task. There are as many buckets as keep one at a few million bigrams, and no word can crowd one.
+    in one task. There are as many buckets as keep one at a few million bigrams, however long the texts, and no word can crowd one.
     """
     size, texts = len(vocabulary), docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    buckets = max(1, -(-docs.count() // BUCKET_DOCS))
+    if size >= 1 << 24:
+        raise ValueError("more training words than the place in a bigram's number can tell apart")
+    buckets = 1 + (texts.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_CHARS
 
     def rows(held: list[np.ndarray]) -> pd.DataFrame:
         pairs = np.unique(np.concatenate(held))
@@ -261,38 +251,38 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows.assign(toxic=part["toxic"].to_numpy()[rows["doc"]], part=number)[["toxic", "doc", "word", "before", "part"]]
 
 
-def _tuning_parts(model: KneserNey, tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and parts of the calibrating documents, in an order that does not depend on partitions."""
+def _tuning_words(tokens) -> tuple[np.ndarray, tuple]:
+    """Labels of the tuning documents, and the arguments of ratio()."""
     key = np.stack([tokens["part"].to_numpy(), tokens["doc"].to_numpy()], 1)
     _, first, doc = np.unique(key, axis=0, return_index=True, return_inverse=True)
     real = tokens["word"].is_valid().to_numpy()
-    y, column = tokens["toxic"].to_numpy()[first].astype(float), lambda c: tokens[c].fill_null(0).to_numpy()[real]
-    parts = model.parts(doc.reshape(-1)[real], column("word"), column("before"), len(first))
-    order = np.lexsort((*parts.T, y))
-    return y[order], parts[order]
+    column = lambda c: tokens[c].fill_null(0).to_numpy()[real]
+    return tokens["toxic"].to_numpy()[first].astype(float), (doc.reshape(-1)[real], column("word"), column("before"), len(first))
 
 
-def calibrate(parts: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Slopes and offset of a weighted, regularised logistic regression on the parts of the ratio; slopes are not negative.
+def calibrate(ratio: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """Slope and offset of a weighted logistic regression of the labels on the ratio, and its loss; the slope is never negative.
 
-    So the labels say how far each size of ratio and amount of evidence can be trusted, and no count has to be dropped as noise.
+    Texts are put in an order of their own first, so that sums do not depend on partitions.
     """
-    spread = parts.std(0)
-    used, slopes = np.flatnonzero(spread > 1e-9), np.zeros(parts.shape[1])
+    order = np.lexsort((ratio, toxic))
+    ratio, toxic, weight = ratio[order], toxic[order], weight[order]
+    spread = max(ratio.std(), 1e-9)
+    x, beta = np.column_stack([ratio / spread, np.ones(len(ratio))]), np.zeros(2)
+    free = np.array([ratio.std() > 1e-9, True])
     while True:
-        x = np.column_stack([(parts[:, used]) / spread[used], np.ones(len(parts))])
-        ridge, beta = np.array([RIDGE] * len(used) + [1e-4]), np.zeros(len(used) + 1)
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (weight * (toxic - p)) - ridge * beta)
+            bend = (x * (weight * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(2)
+            step = np.where(free, np.linalg.solve(np.where(np.outer(free, free), bend, np.eye(2)), np.where(free, x.T @ (weight * (toxic - p)) - RIDGE * beta, 0)), 0)
             beta = beta + np.clip(step, -2, 2)
             if np.abs(step).max() < 1e-8:
                 break
-        if (beta[:-1] >= 0).all():
+        if beta[0] >= 0:
             break
-        used = used[beta[:-1] > 0]
-    slopes[used] = beta[:-1] / spread[used]
-    return slopes, float(beta[-1])
+        free, beta = np.array([False, True]), np.zeros(2)
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))), 1e-12, 1 - 1e-12)
+    return float(beta[0] / spread), float(beta[1]), float(-(weight * np.where(toxic == 1, np.log(p), np.log(1 - p))).sum())
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> KneserNey | float:
@@ -301,8 +291,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Of each class the documents that come first by a hash of the id are taken, up to TOXIC_DOCS and ORDINARY_DOCS; this
     bound holds at any corpus size, so their ids may be broadcast. Every word and bigram of them keeps its counts, however
     rare; the backoff counts come from all documents. Equal texts of a class count once; an id with both labels takes no
-    part. A fifth of them calibrates: the parts of the ratio there, under models of the other four fifths, are fitted to
-    the labels by logistic regression, weighted to the classes' shares among all labels.
+    part. A quarter of them (remainder 1) tunes: under models of the other three quarters it chooses the discount of SPREADS with the
+    least loss, and one slope and one offset that turn the ratio to a probability, weighted to the classes' shares among
+    all labels. The score is a monotone function of the ratio of models of all four.
     """
     remainder = F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
     marked = (
@@ -326,11 +317,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return shares[1] / sum(shares.values())
     ends = continuations(docs, grams.words, text_col)
     tuned = sample.filter("tuning = 1").mapInPandas(_tokens, "toxic int, doc int, word long, before long, part long").toArrow()
-    y, parts = _tuning_parts(KneserNey.fit(grams, ends, 2, 3), tuned)
-    model = KneserNey.fit(grams, ends, 0, 1)
-    if len(set(y)) == 2:
-        share = np.where(y == 1, shares[1] / max(1, (y == 1).sum()), shares[0] / max(1, (y == 0).sum()))
-        model.slopes, model.offset = calibrate(parts, y, share * len(y) / share.sum())
+    y, tuning = _tuning_words(tuned)
+    if len(set(y)) < 2:
+        return KneserNey.fit(grams, ends, 0, 1, SPREADS[0])
+    share = np.where(y == 1, shares[1] / max(1, (y == 1).sum()), shares[0] / max(1, (y == 0).sum()))
+    tries = [(calibrate(KneserNey.fit(grams, ends, 2, 3, spread).ratio(*tuning), y, share * len(y) / share.sum()), spread) for spread in SPREADS]
+    (slope, offset, _), spread = min(tries, key=lambda t: (round(t[0][2], 6), t[1]))
+    model = KneserNey.fit(grams, ends, 0, 1, spread)
+    model.slope, model.offset = slope, offset
     return model
 
 
@@ -338,7 +332,7 @@ def score_toxicity(docs: DataFrame, model: KneserNey | float, id_col: str = "doc
     """One row per input row: doc_id, held_out, score, predicted. Only the text decides the score.
 
     The text's words are scored by both models; the difference of the log-likelihoods, divided by the number of words, is
-    turned to a probability. The model has every expression of the training documents. Nothing is shuffled. Null and empty
+    turned to a probability by one slope and one offset. The model has every word of the training documents, and every bigram that is more frequent in a class than chance explains. Nothing is shuffled. Null and empty
     texts, and texts without letters, have ratio 0 and the score that belongs to it; held_out is false for a null id;
     repeated rows and an empty table give what is to be expected; other columns are ignored.
     """

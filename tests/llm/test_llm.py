@@ -422,7 +422,9 @@ def test_kneser_ney_brute_force(spark):
     everything = sample.select("text").unionByName(spark.createDataFrame([("zz yy zz vile",), ("",), (None,)], "text string"))
     grams = toxicity._gram_counts(sample)
     ends = toxicity.continuations(everything, grams.words)
-    model = toxicity.KneserNey.fit(grams, ends, 0, 1)
+    spread = 1.0
+    model = toxicity.KneserNey.fit(grams, ends, 0, 1, spread)
+    assert 0 < len(model.pairs) < len(grams.before)
     model = __import__("pickle").loads(__import__("pickle").dumps(model))
     texts = [r["text"] or "" for r in everything.collect()]
     contexts = {}
@@ -438,24 +440,32 @@ def test_kneser_ney_brute_force(spark):
         return sum(y == c and gram(t) for _, t, y, _ in rows)
 
     pairs = sorted({p for _, t, _, _ in rows for p in zip(["", *toxicity.words(t)], toxicity.words(t))})
+    n = {c: {w: count(c, lambda t: w in toxicity.words(t)) for w in known} for c in (0, 1)}
+    m = {c: {p: count(c, lambda t: p in set(zip(["", *toxicity.words(t)], toxicity.words(t)))) for p in pairs} for c in (0, 1)}
+    whole = sum(sum(n[c].values()) for c in (0, 1))
     logs = {}
     for c in (1, 0):
-        n = {w: count(c, lambda t: w in toxicity.words(t)) for w in known}
-        m = {p: count(c, lambda t: p in set(zip(["", *toxicity.words(t)], toxicity.words(t)))) for p in pairs}
-        d1, d2 = toxicity.discounts(np.array([*n.values(), 0])), toxicity.discounts(np.array(list(m.values())))
-        mass = sum(d1[min(x, 3)] for x in n.values())
-        p1 = lambda w: (n.get(w, 0) - d1[min(n.get(w, 0), 3)] + mass * share(w)) / sum(n.values())
+        part = sum(n[c].values()) / whole
+
+        def off(table, x):
+            expected = part * (table[0].get(x, 0) + table[1].get(x, 0))
+            return min(table[c].get(x, 0), expected + spread * (expected + 1) ** 0.5)
+
+        mass = sum(off(n, w) for w in known)
+        p1 = lambda w: (n[c].get(w, 0) - off(n, w) + mass * share(w)) / sum(n[c].values())
 
         def p2(h, w):
-            after = {q: x for q, x in m.items() if q[0] == h}
+            after = {q: x for q, x in m[c].items() if q[0] == h}
             if not sum(after.values()):
                 return p1(w)
-            x = m.get((h, w), 0)
-            return (x - d2[min(x, 3)] + sum(d2[min(v, 3)] for v in after.values()) * p1(w)) / sum(after.values())
+            return (m[c].get((h, w), 0) - off(m, (h, w)) + sum(off(m, q) for q in after) * p1(w)) / sum(after.values())
 
+        assert abs(sum(p1(w) for w in known) + mass * (other + 0.5) / total / sum(n[c].values()) - 1) < 1e-9
         logs[c] = [np.mean([np.log(p2(h, w)) for h, w in zip(["", *toxicity.words(t)], toxicity.words(t))]) if toxicity.words(t) else 0 for t in texts]
-    got = model.parts(*toxicity.hashed_words(texts), len(texts)).sum(1)
+    got = model.ratio(*toxicity.hashed_words(texts), len(texts))
     assert np.allclose(got, np.array(logs[1]) - np.array(logs[0]), atol=5e-3)
+    by_ratio = model.score(texts)[np.argsort(got, kind="stable")]
+    assert (np.diff(by_ratio) >= 0).all()  # one slope and one offset
 
 
 def test_toxicity_held_out(spark):
