@@ -17,6 +17,11 @@ from ._common import in_calls, read
 LABELLED, UNLABELLED = 6_000, 6_000
 #: Rounds of exchange, and the pseudo-labels that a view hands over for each class in a round, as a share of the pool.
 ROUNDS, HANDED = 5, 0.03
+#: What a view must be sure of a pseudo-label, by its calibration: probability, and log-odds beyond those of the class's share.
+SURE, BEYOND = 0.9, 2.0
+#: Log-likelihood of the tuning rows that a view must gain over the class's share in order to count, and with the labels of a
+#: round in order to keep them: the one in a hundred point of chance, as five rounds try.
+GAIN = 3.32
 #: Buckets for hashed metadata values, and for hashed words.
 BUCKETS, WORD_BUCKETS = 64, 128
 
@@ -81,44 +86,70 @@ class Linear:
 
 @dataclass
 class CoTrained:
-    """Both views' classifiers, each with its calibration, and the weights that combine them."""
+    """Both views' classifiers, each with its calibration, and the log-odds of a good document.
+
+    The views are combined by what each adds to those log-odds, so a view whose calibration is flat adds nothing.
+    """
 
     text: Linear
     metadata: Linear
     calibrations: tuple[Linear, Linear]
-    combined: Linear
+    prior: float
 
     def scores(self, text: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = self.calibrations[0].logit(self.text.logit(text)[:, None])
         b = self.calibrations[1].logit(self.metadata.logit(metadata)[:, None])
-        return tuple(1 / (1 + np.exp(-x)) for x in (a, b, self.combined.logit(np.stack([a, b], 1))))
+        return tuple(1 / (1 + np.exp(-x)) for x in (a, b, a + b - self.prior))
+
+
+def _loss(model: Linear, x: np.ndarray, y: np.ndarray) -> float:
+    return float(np.logaddexp(0, np.where(y == 1, -1, 1) * model.logit(x)).sum())
+
 
+def calibrated(logits: np.ndarray, y: np.ndarray) -> Linear:
+    """A view's logits turned to log-odds; constant, those of the class's share, unless the view tells the labels apart by more than chance (GAIN)."""
+    found, share = Linear.fit(logits, y, 1.0), y.mean()
+    flat = Linear(np.zeros(1), np.ones(1), np.array([0.0, np.log(share / (1 - share))]))
+    return found if found.beta[0] > 0 and _loss(found, logits, y) + GAIN <= _loss(flat, logits, y) else flat
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, tuning: np.ndarray, pools: tuple[np.ndarray, np.ndarray]) -> CoTrained:
-    """Each round, each view labels the pool rows it is surest of for the other view; the rest of the labels calibrates."""
-    fit = ~tuning
+
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, tuning: np.ndarray, pools: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> CoTrained:
+    """Each round, each view labels the pool rows it is surest of for the other view.
+
+    The tuning rows, which no view is fitted on, say how sure a view is: its calibrated probability there must reach SURE
+    and pass the class's own share by BEYOND in log-odds, so a view that tells nothing hands over nothing. A view that does not
+    fit the tuning rows better by more than chance (GAIN) with the labels of a round does without them. The tuning rows calibrate.
+    """
+    fit, known = ~tuning, y[tuning]
     xs, ys = [v[fit] for v in views], [y[fit], y[fit]]
-    free = np.ones(len(pools[0]), bool)
+    free, share = np.ones(len(pools[0]), bool), np.log(known.mean() / (1 - known.mean()))
+    logits = lambda v: models[v].logit(views[v][tuning])[:, None]
     models = [Linear.fit(x, t) for x, t in zip(xs, ys)]
-    for _ in range(ROUNDS):
+    calibrations = [calibrated(logits(v), known) for v in (0, 1)]
+    for _ in range(rounds):
         handed = []
         for v in (0, 1):
             left = np.flatnonzero(free)
-            z = models[v].logit(pools[v][left])
-            k = max(1, int(HANDED * len(free)))
-            best, worst = left[np.argsort(-z, kind="stable")[:k]], left[np.argsort(z, kind="stable")[:k]]
-            best, worst = best[models[v].logit(pools[v][best]) > 2], worst[models[v].logit(pools[v][worst]) < -2]
-            handed.append((best, worst))
+            z = calibrations[v].logit(models[v].logit(pools[v][left])[:, None])
+            k, sure = max(1, int(HANDED * len(free))), np.log(SURE / (1 - SURE))
+            order = np.argsort(z, kind="stable")
+            best, worst = order[::-1][:k], order[:k]
+            best, worst = best[z[best] > max(sure, share + BEYOND)], worst[z[worst] < min(-sure, share - BEYOND)]
+            handed.append((left[best], left[worst]))
         for v, (best, worst) in enumerate(handed):
-            other = 1 - v
-            xs[other] = np.concatenate([xs[other], pools[other][best], pools[other][worst]])
-            ys[other] = np.concatenate([ys[other], np.ones(len(best)), np.zeros(len(worst))])
             free[best] = free[worst] = False
-        models = [Linear.fit(x, t) for x, t in zip(xs, ys)]
-    z = [m.logit(v[tuning])[:, None] for m, v in zip(models, views)]
-    calibrations = tuple(Linear.fit(x, y[tuning], 1e-2) for x in z)
-    both = np.stack([c.logit(x) for c, x in zip(calibrations, z)], 1)
-    return CoTrained(models[0], models[1], calibrations, Linear.fit(both, y[tuning], 1e-2))
+            other = 1 - v
+            if not len(best) + len(worst):
+                continue
+            x = np.concatenate([xs[other], pools[other][best], pools[other][worst]])
+            t = np.concatenate([ys[other], np.ones(len(best)), np.zeros(len(worst))])
+            before, models[other] = models[other], Linear.fit(x, t)
+            again = calibrated(logits(other), known)
+            if _loss(again, logits(other), known) + GAIN <= _loss(calibrations[other], before.logit(views[other][tuning])[:, None], known):
+                xs[other], ys[other], calibrations[other] = x, t, again
+            else:
+                models[other] = before
+    return CoTrained(models[0], models[1], tuple(calibrations), float(share))
 
 
 def _views(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained | float:
 
     Bounded samples by a hash of the id: LABELLED labelled and UNLABELLED unlabelled rows, whose ids may be broadcast
     and whose feature vectors, not texts, come to the driver. An id with both labels takes no part. A quarter of the
-    labelled ones calibrates. Without both classes, a fixed score: the share of good labels, or 1 without labels.
+    labelled ones tunes: it says how sure a view is and calibrates. Without both classes, a fixed score: the share of good labels, or 1 without labels.
     """
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     known = (

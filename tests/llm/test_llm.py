@@ -509,6 +509,27 @@ def test_quality(spark, awkward, empty):
     assert quality.train(docs, labels.filter("false")) == 1.0
 
 
+@pytest.mark.parametrize("told", [0.0, 1.2])
+def test_co_training_exchange(told):
+    """A second view at chance hands nothing over and does no harm; one that tells something helps where labels are few."""
+    plain, exchanged, text = [], [], []
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        y = (rng.random(6_200) < 0.8).astype(float)
+        views = tuple(rng.normal(size=(len(y), 40)) + np.outer(y - 0.5, np.where(np.arange(40) < 8, strength, 0)) for strength in (1.0, told))
+        few, pool, held = slice(0, 200), slice(200, 3_200), slice(3_200, None)
+        for rounds, out in ((0, plain), (quality.ROUNDS, exchanged)):
+            model = quality.co_train(tuple(v[few] for v in views), y[few], np.arange(200) % 4 == 0, tuple(v[pool] for v in views), rounds)
+            scores = model.scores(*(v[held] for v in views))
+            out.append(auc(scores[2], y[held].astype(int)))
+            if rounds == 0:
+                text.append(auc(scores[0], y[held].astype(int)))
+            elif not told:
+                assert auc(scores[0], y[held].astype(int)) >= text[-1] - 1e-9
+    print(np.round(plain, 4), np.round(exchanged, 4))
+    assert np.mean(exchanged) >= np.mean(plain) - (0 if told else 0.002), (plain, exchanged)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
