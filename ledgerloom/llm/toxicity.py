@@ -104,10 +104,10 @@ class KneserNey:
         words = np.append(grams.word_counts[:, columns], np.zeros((1, 2), np.int32), 0)
         models, log_word, log_follow, kept = [], np.zeros(size + 1), np.zeros(size + 1), np.zeros(len(grams.before), bool)
         for sign, c in ((1, toxic), (-1, ordinary)):
-            part = total[c] / total[columns].sum()
+            part = total[c] / max(1, total[columns].sum())
             n, m = grams.word_counts[:, c], grams.pair_counts[:, c]
             off, less = discounts(np.append(n, 0), words.sum(1), part, spread), discounts(m, grams.pair_counts[:, columns].sum(1), part, spread)
-            p = (np.append(n, 0) - off + off.sum() * share) / n.sum()
+            p = (np.append(n, 0) - off + off.sum() * share) / n.sum() if n.any() else share  # a class without words backs off
             history = np.bincount(grams.before, m, size + 1)
             weight = np.where(history > 0, np.bincount(grams.before, less, size + 1) / np.maximum(history, 1), 1.0)
             kept |= m > less
