@@ -139,9 +139,9 @@ def running(rows: DataFrame, key: str | list[str], order: str) -> DataFrame:
         out = exclusive_scan(rows.withColumn("__n", F.coalesce("amount", F.lit(0).cast(rows.schema["amount"].dataType))), key, [order], {"__n": "lo"})
         return out.withColumn("hi", F.col("lo") + F.col("__n")).drop("__n").select(*rows.columns, "lo", "hi")
     own = F.coalesce(exact.parse(F.col("amount")), exact.parse(F.lit("0")))
-    limbs = [f"__{i}" for i in range(exact.LIMBS)]
+    limbs = [f"__{i}" for i in range(2 * exact.LIMBS)]
     split = rows.withColumn("__own", own).select("*", *(p.alias(c) for p, c in zip(exact.parts_of(F.col("__own")), limbs)))
-    found = exclusive_scan(split, key, [order], {c: f"{c}s" for c in limbs}).withColumn("lo", exact.carried([F.col(f"{c}s") for c in limbs]))
+    found = exclusive_scan(split, key, [order], {c: f"{c}s" for c in limbs}).withColumn("lo", exact.joined([F.col(f"{c}s") for c in limbs]))
     return found.withColumn("hi", exact.plus(F.col("lo"), F.col("__own"))).select(*rows.columns, "lo", "hi")
 
 

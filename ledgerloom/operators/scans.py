@@ -14,8 +14,8 @@ def exclusive_scan(rows: DataFrame, key: list[str], order: list[str], sums: dict
     columns of their last value that is not null.
 
     Rows are range-partitioned by key and order. Each partition scans its own rows; what a key brings over from earlier partitions comes
-    from one row per partition and key, of which only those of keys that cross a border, one a partition at most, are joined back. So
-    a key of any size is shared out over as many tasks as it needs. Rows that are equal in key and order come in any order.
+    from one row per partition and key at its two ends, as only such keys cross a border; these few rows, two a partition at most, are
+    broadcast, and no other row is shuffled again. So a key of any size is shared out over as many tasks as it needs. Rows that are equal in key and order come in any order.
     """
     sums, lasts = sums or {}, lasts or {}
     part, row = F.spark_partition_id(), F.monotonically_increasing_id()
@@ -23,7 +23,12 @@ def exclusive_scan(rows: DataFrame, key: list[str], order: list[str], sums: dict
     placed = table(rows.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order).select("*", part.alias("__part"), row.alias("__row")), "scan")
     here = W.partitionBy("__part", *key).orderBy("__row").rowsBetween(W.unboundedPreceding, -1)
     local = placed.select("*", *(F.sum(c).over(here).alias(n) for c, n in sums.items()), *(F.last(c, ignorenulls=True).over(here).alias(n) for c, n in lasts.items()))
-    tails = placed.groupBy("__part", *key).agg(*(F.sum(c).alias(n) for c, n in sums.items()), *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__row"))).alias(n) for c, n in lasts.items()))
+    at_ends = F.array(F.min_by(F.struct(*key), "__row"), F.max_by(F.struct(*key), "__row"))
+    ends = placed.groupBy("__part").agg(at_ends.alias("keys")).select(F.col("__part").alias("__end"), F.explode("keys").alias("k")).select("__end", *(F.col(f"k.{k}").alias(f"__end_{i}") for i, k in enumerate(key)))
+    at_end = F.col("__part") == F.col("__end")
+    for i, k in enumerate(key):
+        at_end = at_end & F.col(k).eqNullSafe(F.col(f"__end_{i}"))
+    tails = placed.join(F.broadcast(ends), at_end, "left_semi").groupBy("__part", *key).agg(*(F.sum(c).alias(n) for c, n in sums.items()), *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__row"))).alias(n) for c, n in lasts.items()))
     earlier = W.partitionBy(*key).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     brought = tails.select(
         "__part", *key, F.row_number().over(W.partitionBy(*key).orderBy("__part")).alias("__nth"),
@@ -32,7 +37,7 @@ def exclusive_scan(rows: DataFrame, key: list[str], order: list[str], sums: dict
     on = F.lit(True)
     for k in ("__part", *key):
         on = on & local[k].eqNullSafe(brought[k])
-    both = local.join(brought, on, "left")
+    both = local.join(F.broadcast(brought), on, "left")
     return both.select(
         *(local[c] for c in rows.columns),
         *((F.coalesce(local[n], F.lit(0)) + F.coalesce(brought[f"__{n}"], F.lit(0))).cast(placed.schema[c].dataType).alias(n) for c, n in sums.items()),

@@ -21,7 +21,9 @@ def fifo_intervals(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     take no part.
     """
     side = lambda rows, own, place, first: rows.select("tx_id", F.lit(first).alias("side"), F.col(place).cast("long").alias("__place"), F.col(own).alias("__id"), "amount")
-    items = running(side(inputs, "id", "input_index", 0).unionByName(side(outputs, "id", "output_index", 1)), ["tx_id", "side"], "__place").filter("hi > lo")
+    items = running(side(inputs, "id", "input_index", 0).unionByName(side(outputs, "id", "output_index", 1)), ["tx_id", "side"], "__place")
+    full = exact.parse(F.col("amount")) > exact.parse(F.lit("0")) if exact.is_text(inputs, "amount") else F.col("hi") > F.col("lo")  # the bounds of amounts in text are dear, and a filter computes them anew
+    items = table(items.filter(full).drop("amount"), "fifo-items")  # read twice below
     begins = items.select("tx_id", "side", F.col("lo").alias("pos"), F.struct(F.col("__id").alias("id"), F.col("lo").alias("start")).alias("item"))
     none = F.struct(F.lit(None).cast(items.schema["__id"].dataType).alias("id"), F.lit(None).cast(items.schema["lo"].dataType).alias("start"))
     ends = items.groupBy("tx_id", "side").agg(F.max("hi").alias("pos")).withColumn("item", none)

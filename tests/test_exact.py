@@ -105,3 +105,15 @@ def test_taint_follows_units(spark):
     balance = {r["hop"]: (r["units"], r["moved"], r["fee"], r["resting"]) for r in t.taint_balance(found, i.withColumnRenamed("id", "prev_output_id")).collect()}
     assert balance == {0: (40, 35, 5, 0), 1: (35, 10, 0, 25), 2: (10, 0, None, 10)}
     assert all(u == m + (f or 0) + r for u, m, f, r in balance.values())
+
+
+def test_scan_shuffles_rows_once(spark):
+    """What crosses borders between partitions is broadcast, whatever its estimated size; the rows are not shuffled for it."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(400).select((F.col("id") % 3).alias("k"), "id")
+        found = exclusive_scan(rows, ["k"], ["id"], {"id": "s"})
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {r["id"]: r["s"] for r in found.collect()} == {i: sum(range(i % 3, i, 3)) for i in range(400)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
