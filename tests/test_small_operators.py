@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.scalars import to_base_units
 from ledgerloom.operators import clustering as c
 from ledgerloom.operators import graph as g
 from ledgerloom.operators import movements as m
@@ -76,3 +77,11 @@ def test_airdrop_cluster_of_any_size(spark):
     found = c.airdrop_clusters(forwards)
     assert found.count() == 1201 and [tuple(r) for r in found.select("cluster", "size").distinct().collect()] == [("c0", 1201)]
     assert c.sized(found.select(F.col("address").alias("node"), F.col("cluster").alias("component")), 1200).isEmpty()
+
+
+def test_base_units_are_computed_from_one_clean_text(spark):
+    """A filter on the amounts does not multiply their expression: the plan stays small."""
+    df = spark.createDataFrame([("1,234.50",), ("0.0005",), (" 7 ",), ("x",), (None,), ("-0.10",)], "v string")
+    found = df.select("v", to_base_units(F.col("v"), F.lit(3)).alias("u"))
+    assert {r["v"]: r["u"] and tuple(r["u"]) for r in found.collect()} == {"1,234.50": ("1234500", False, True), "0.0005": ("0", True, False), " 7 ": ("7000", False, False), "x": None, None: None, "-0.10": ("-100", False, True)}
+    assert found.filter("u.amount <> '0'")._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 8
