@@ -62,6 +62,7 @@ def address_totals(movements: DataFrame, inputs: DataFrame, native: Column) -> D
     side = lambda who, sign: movements.filter(F.col(who).isNotNull()).select(F.col(who).alias("address"), F.lit(sign).alias("side"), value.alias("value"), amount.alias("amount"))
     no_value = F.lit(None).cast(movements.schema["value"].dataType).alias("value")
     sides = side("dst", "in").unionByName(side("src", "out")).unionByName(inputs.select("address", F.lit("out").alias("side"), no_value, "amount"))
+    sides = exact.parsed(sides, "value", "amount")
     zero = lambda c: F.lit("0" if exact.is_text(sides, c) else 0).cast("string" if exact.is_text(sides, c) else "long")
     total = lambda c, s: F.nullif(exact.sum_of(sides, c, F.col("side") == s), zero(c))
     return sides.groupBy("address").agg(
@@ -75,7 +76,7 @@ def rollup_parallel(edges: DataFrame, individual: Column) -> DataFrame:
     Edges without a column kind are of one kind. Amounts and values may be numbers or text of whole numbers, which are summed exactly.
     """
     key = _edge_key(edges)
-    plain = edges.filter(~individual)
+    plain = exact.parsed(edges.filter(~individual), "amount", "value_e4")
     grouped = plain.groupBy(*key).agg(
         F.count(F.lit(1)).alias("count"), exact.sum_of(plain, "amount").alias("amount"), exact.sum_of(plain, "value_e4").alias("value_e4"),
         F.max(F.when(F.col("finality") == "provisional", "provisional").otherwise("final")).alias("finality"),
