@@ -147,3 +147,30 @@ def test_change_clusters_of_all_transactions(spark):
             groups[r["tx_id"]].append(r["address"])
     want = union_find([g for g in groups.values() if len(set(g)) > 1])
     assert {r["address"]: r["cluster"] for r in plans.QUERIES["grf_13"](spark, DATA).collect()} == want
+
+
+def test_lines_are_shuffled_and_sorted_by_order_once(spark, tmp_path):
+    """One shuffle of lines by order, one sort; an order row that is there twice numbers its lines through, as a window over the join does."""
+    source = "/root/testdata/sf0.001"
+    for name in ("lineitem", "part"):
+        spark.read.parquet(f"{source}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    orders = spark.read.parquet(f"{source}/orders.parquet")
+    orders.unionByName(orders.filter("o_orderkey % 3 = 0").withColumn("o_custkey", F.col("o_custkey") + 1)).write.parquet(f"{tmp_path}/orders.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = Ledger(spark, str(tmp_path)).lines.select("l_orderkey", "rn", "cust", "l_linenumber", "brand")
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        rows = lines.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 2  # lines and orders
+    assert plan.count("Sort [l_orderkey") == 2
+    wanted = spark.read.parquet(f"{tmp_path}/lineitem.parquet").join(spark.read.parquet(f"{tmp_path}/orders.parquet"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey").count().collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r["l_orderkey"], []).append((r["rn"], r["l_linenumber"]))
+    assert {k: len(v) for k, v in found.items()} == {r["l_orderkey"]: r["count"] for r in wanted}
+    for numbered in found.values():
+        assert [n for n, _ in sorted(numbered)] == list(range(1, len(numbered) + 1))
+        assert [line for _, line in sorted(numbered)] == sorted(line for _, line in numbered)
