@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import catalogue as c
 from ..operators import movements as m
 from ..operators.tracing import fifo_intervals
+from ..scratch import table
 from .registry import Registry
 
 REGISTRY = query = Registry()
@@ -41,8 +42,13 @@ def _digits(name):
 
 
 def _case(d):
-    """The tables of a case by name. Some rows cite no query, some addresses are not listed, some references lead nowhere."""
+    """The tables of a case by name. Some rows cite no query, some addresses are not listed, some references lead nowhere.
+
+    Movements and valuations are projected once and kept as tables, as nearly all others read them.
+    """
     col, id_ = F.col, F.col("id")
+    d.transfer, d.tx_output = table(d.transfer, "case-transfers"), table(d.tx_output, "case-outputs")
+    d.tx_input = table(d.tx_input, "case-inputs")
     names = d.transfer.select(F.col("src").alias("address")).unionByName(d.transfer.select(F.col("dst").alias("address"))).unionByName(d.tx_output.select("address")).unionByName(d.attribution.select("address")).distinct()
     outputs = m.resolve_spends(d.tx_input, d.tx_output)[1]
     risk = d.risk.select(F.concat_ws("/", "address", "category").alias("id"), col("address").alias("address_id"), _cited(_digits("address")))
@@ -65,7 +71,7 @@ def _case(d):
         "attribution": d.attribution.select(F.concat_ws("/", "address", "source").alias("id"), col("address").alias("address_id"), F.when(_digits("address") % 3 == 0, "investigator").otherwise(col("source")).alias("source"), _cited(_digits("address"))),
         "risk_assessment": risk,
         "risk_detail": detail.unionByName(risk.filter("source_query_id % 7 = 0").select(F.concat("id", F.lit("/e")).alias("id"), F.concat("id", F.lit("x")).alias("risk_assessment_id"), F.lit("signal").alias("signal"), "source_query_id")),
-        "valuation": valued.unionByName(d.tx_output.select((-id_).alias("id"), F.lit("tx_output").alias("subject_type"), id_.alias("subject_id"), _cited(id_))),
+        "valuation": table(valued.unionByName(d.tx_output.select((-id_).alias("id"), F.lit("tx_output").alias("subject_type"), id_.alias("subject_id"), _cited(id_))), "case-valuations"),
         "balance_snapshot": names.select(F.concat(F.lit("b"), "address").alias("id"), col("address").alias("address_id"), _cited(_digits("address"))),
         "entity": segment.select(col("label").alias("id"), F.lit(None).cast("string").alias("merged_into")).distinct(),
         "entity_membership": segment.select(col("address").alias("id"), col("label").alias("entity_id"), col("address").alias("address_id"), F.lit("segment").alias("source"), _cited(_digits("address"))),
@@ -120,6 +126,7 @@ def lif_04(d):
     col, all_ = F.col, _case(d)
     tables = {name: all_[name] for name in ("transaction_", "transfer", "tx_output", "tx_input", "valuation")}
     links = fifo_intervals(d.tx_input.select("tx_id", col("prev_output_id").alias("id"), "input_index", "amount"), d.tx_output)
+    links = table(links.select("tx_id", "source_id", "dest_id"), "case-links")
     tables["trace_transfer"] = d.transfer.filter("id % 3 = 0").select(F.concat(F.lit("e"), col("id").cast("string")).alias("id"), F.lit("t").alias("trace_id"), col("id").alias("transfer_id"))
     tables["trace_btc_link"] = links.select(F.concat_ws("-", "source_id", "dest_id").alias("id"), F.lit("t").alias("trace_id"), col("tx_id").alias("transaction_id"), col("source_id").alias("source_output_id"), col("dest_id").alias("dest_output_id"))
     left = c.cascade(tables, {"transaction_": d.tx.filter("tx_id % 5 = 0").select(col("tx_id").alias("id"))})

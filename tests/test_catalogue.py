@@ -3,6 +3,8 @@
 import pytest
 
 from ledgerloom.operators import catalogue as c
+from ledgerloom.plans.catalogue import _case
+from ledgerloom.plans.fixtures import Ledger
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +60,10 @@ def test_cascade(spark, case):
 def test_unknown_tables_are_refused(case):
     with pytest.raises(ValueError, match="nowhere"):
         c.natural_keys({"nowhere": case["transfer"]})
+
+
+def test_a_case_projects_movements_once(spark):
+    """Movements and valuations are kept as tables, so that no audit goes back to the given lines for them."""
+    tables = _case(Ledger(spark, "/root/testdata/sf0.001"))
+    for name in ("transfer", "tx_output", "tx_input", "valuation", "balance_snapshot"):
+        assert not any("lineitem" in file for file in tables[name].inputFiles()), name
