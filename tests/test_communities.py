@@ -114,3 +114,14 @@ def test_levels_do_not_lose_modularity_nor_depend_on_partitions(spark, seed):
 
 def test_no_edges(spark):
     assert found(spark, [("a", "a")]) == {}
+
+
+def test_rounds_work_on_numbers_in_the_order_of_the_names(spark, monkeypatch):
+    """Edges of names were shuffled, sorted and compared as text in every half round."""
+    names = spark.createDataFrame([(f"n{i % 7}{i}",) for i in range(300)], "name string").repartition(7)
+    numbered = sorted((r["name"], r["node"]) for r in g._numbered(names).collect())
+    assert [n for _, n in numbered] == list(range(300))
+    seen, moves = [], g._moves
+    monkeypatch.setattr(g, "_moves", lambda weights, nodes, *rest: seen.append((weights.schema["a"].dataType.typeName(), nodes.schema["label"].dataType.typeName())) or moves(weights, nodes, *rest))
+    assert len(found(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y")])) == 5
+    assert set(seen) == {("long", "long")}
