@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,6 +28,10 @@ LEAST_BINS, MOST_BINS = 6, 12
 HASHED, SEEN, BATCH = 4_000_000, 500_000, 500
 #: Orders of the nodes by which buckets pick the members that the others are compared with.
 ORDERS = 4
+#: Base of the bands of sizes within a bucket: similar texts are in one band or in two neighbouring ones, as 1 / SIMILARITY is less.
+BAND = 1.26
+#: Members of a bucket that a task pairs with the others; of larger buckets each member meets the parts in as many tasks.
+PART = 1_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -235,13 +240,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes that share a key form a bucket. Each bucket pairs its members with two of them, the first and the last in one of
     a few orders, so that pairs grow in proportion to the members, and buckets of three or fewer are compared in full.
     First every node is compared with the partner it shares most keys with; then one pair for any two components that
-    pairs still connect; then all pairs whose ends are not connected yet. Texts of nodes with a pair are kept in a table
+    pairs still connect; then all pairs whose ends are not connected yet; last, in buckets that still have several components, all
+    pairs across components whose sizes allow a link, so that no bucket leaves out a link. Texts of nodes with a pair are kept in a table
     that is bucketed by node, so that they are shuffled once. Sizes and word counts rule out most unlike pairs before their texts are read.
     Classes are the connected components of the links. No bucket is capped, no task gathers one, and nothing that
     grows with the data is broadcast or collected.
 
-    Pairs of SHORT words at most are candidates for certain, longer ones by chance per sketch. Two texts that meet only in buckets of
-    four or more are compared if one is picked in any of them, or both are linked to others.
+    Pairs of SHORT words at most are candidates for certain, longer ones by chance per sketch. Two similar texts that share a
+    key are in one class, however many share it. That last step is quadratic in unlike texts of one size that share a passage; it is dealt
+    over tasks and bounded in memory, and copies take no part in it.
 
     Of a class one row stays (kept): the one of the least (doc_id, text_md5), with its exact repetitions. Texts without
     words (null, empty, white space) are classes by equality. Rows of one id and different texts are judged each by its
@@ -280,10 +287,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed = pairs.join(place("a", "x"), "a", "left").join(place("b", "y"), "b", "left").withColumns({"x": F.coalesce("x", "a"), "y": F.coalesce("y", "b")})
         return placed.filter("x <> y")
 
+    def unmet(links: DataFrame) -> DataFrame:
+        """The pairs of a bucket that were not picked and that no link connects yet, where sizes allow them to be similar.
+
+        Buckets of one component have none. Buckets of the same members, as a shared passage makes them, are paired once. Members are dealt by
+        size and, in large buckets, in parts.
+        """
+        parts = table(connected_components(links), "components")
+        placed = table(entries.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("x")), "placed-entries")
+        same = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(38,0)")).alias(f"h{i}") for i in (1, 2)]
+        mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), *same).filter("n > 3 and low <> high")
+        once = mixed.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", (1 + F.expr(f"n div {PART}")).alias("deals"))
+        rows = placed.join(once, "key").join(sketched.select("node", "size"), "node").withColumn("band", F.floor(F.log(F.col("size").cast("double")) / math.log(BAND)))
+        rows = table(rows, "mixed-buckets")
+        one = rows.select("key", F.pmod(F.xxhash64("node"), "deals").alias("deal"), F.col("node").alias("a"), "x", "size", F.col("band").alias("own"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+        two = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), F.col("node").alias("b"), F.col("x").alias("y"), F.col("size").alias("other_size"), "band")
+        most = F.floor(F.greatest("size", "other_size") * (1 - SIMILARITY) + 1e-9)
+        fits = (F.col("x") != F.col("y")) & ((F.col("own") < F.col("band")) | (F.col("a") < F.col("b"))) & (F.abs(F.col("size") - F.col("other_size")) <= most)
+        met = one.join(two, ["key", "deal", "band"]).filter(fits)
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+
     links = linked(best.select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct())
     bridge = F.max_by(F.struct("a", "b"), "shared").alias("e")
     links = links.unionByName(linked(apart(links).groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(bridge).select("e.*")))
     links = links.unionByName(linked(apart(links).select("a", "b")))
+    links = links.unionByName(linked(unmet(links)))
     classes = table(connected_components(links), "classes")
     least = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "hash"))
     members = classes.join(nodes, "node").select("component", "least", "hash")

@@ -88,6 +88,19 @@ def test_near_duplicates_chain_and_shared_passage(spark):
     assert not missed and len(set(got.values())) == 60, missed
 
 
+def test_near_duplicates_that_meet_in_crowded_buckets_only(spark):
+    """Pairs of 300 texts with one long passage, whose edits leave some pairs no key but the passage's; picked members alone missed those."""
+    rng, docs = random.Random(7), []
+    passage = [f"p{i}" for i in range(40)]
+    for i in range(150):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(30)]
+        edited = [w if j % 2 else f"e{rng.randrange(10**6)}" for j, w in enumerate(own)]
+        edited[0] = own[0]
+        docs += [(2 * i, " ".join(own + passage)), (2 * i + 1, " ".join(edited + passage))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in docs}
+
+
 def test_near_duplicates_share_keys():
     """Pairs of similarity 0.8, the least there is: all short ones and nearly all long ones become candidates."""
     rng = np.random.default_rng(6)
