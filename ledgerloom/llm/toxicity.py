@@ -17,7 +17,7 @@ from ._common import ROWS_PER_CALL, id_text, in_calls, read, table
 
 #: Labelled documents that the models are fitted on, at most, for each class. A document counts once.
 TOXIC_DOCS, ORDINARY_DOCS = 3_000, 9_000
-#: Discounts to choose from: standard deviations by which a class's count must pass what chance gives it, before any of it is kept.
+#: Discounts to choose from: standard deviations by which a class's count must pass what chance gives it, before any of it is kept. From 1 on, a count of 1 never is.
 SPREADS = (1.0, 2.0, 3.0, 4.0, 6.0)
 #: Weight that keeps the slope finite where the ratio parts the classes.
 RIDGE = 1e-3
@@ -25,6 +25,8 @@ RIDGE = 1e-3
 BUCKET_CHARS = 20_000_000
 #: Stands before the first word of a text.
 START = np.int64(-1)
+#: Stands for the second word of all bigrams that no model keeps.
+REST = np.int32(-1)
 
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -64,7 +66,10 @@ def discounts(count: np.ndarray, both: np.ndarray, part: float, spread: float) -
 
 @dataclass
 class Grams:
-    """Numbers of training documents by word (sorted hashes) and by bigram (places of its two words; the number of words stands for START)."""
+    """Numbers of training documents by word (sorted hashes) and by bigram (places of its two words; the number of words stands for START).
+
+    Bigrams of one document of a class at most, which every discount takes off whole, are added up by their first word: REST stands for their second.
+    """
 
     words: np.ndarray
     word_counts: np.ndarray
@@ -106,7 +111,8 @@ class KneserNey:
         for sign, c in ((1, toxic), (-1, ordinary)):
             part = total[c] / max(1, total[columns].sum())
             n, m = grams.word_counts[:, c], grams.pair_counts[:, c]
-            off, less = discounts(np.append(n, 0), words.sum(1), part, spread), discounts(m, grams.pair_counts[:, columns].sum(1), part, spread)
+            off = discounts(np.append(n, 0), words.sum(1), part, spread)
+            less = np.where(grams.after == REST, m, discounts(m, grams.pair_counts[:, columns].sum(1), part, spread))
             p = (np.append(n, 0) - off + off.sum() * share) / n.sum() if n.any() else share  # a class without words backs off
             history = np.bincount(grams.before, m, size + 1)
             weight = np.where(history > 0, np.bincount(grams.before, less, size + 1) / np.maximum(history, 1), 1.0)
@@ -153,7 +159,8 @@ def _gram_counts(sample: DataFrame) -> Grams:
     """Counts of documents by word and bigram in four columns: toxic, ordinary, and both without the tuning quarter.
 
     First words, then bigrams as pairs of places in the vocabulary. The four counts travel in one long, 16 bits each,
-    which holds for samples of fewer than 32,768 documents. Spark adds up; to the driver comes what the bounded sample has.
+    which holds for samples of fewer than 32,768 documents. Spark adds up; to the driver comes what the bounded sample has,
+    without the bigrams that no model keeps: Spark adds those up by their first word, in longs.
     """
 
     def grams(vocabulary: np.ndarray | None):
@@ -172,14 +179,23 @@ def _gram_counts(sample: DataFrame) -> Grams:
                 marks = np.array([1 + (1 << 32), (1 << 16) + (1 << 48), 1, 1 << 16])  # toxic, ordinary, and the same without the tuning quarter
                 yield pd.DataFrame({"gram": gram[once], "n": marks[kind[doc[once]]]})
 
-        found = sample.select("text", "toxic", "tuning").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-        gram, n = found["gram"].to_numpy(), found["n"].to_numpy()
+        counted = sample.select("text", "toxic", "tuning").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        counts = [F.shiftright("n", 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("int").alias(f"n{i}") for i in range(4)]
+        if vocabulary is not None:
+            once = F.col("n").bitwiseAND(F.lit(~0x0001000100010001)) == 0
+            key = F.when(once, F.col("gram").bitwiseOR(F.lit(0xFFFFFFFF))).otherwise(F.col("gram"))
+            counted, counts = counted.groupBy(key.alias("gram")).agg(*(F.sum(c).cast("int").alias(f"n{i}") for i, c in enumerate(counts))), [f"n{i}" for i in range(4)]
+        found = counted.select("gram", *counts).toArrow()
+        gram = found["gram"].to_numpy()
         order = np.argsort(gram)
-        return gram[order], np.stack([(n[order] >> (16 * i)) & 0xFFFF for i in range(4)], 1).astype(np.int32)
+        gram, n = gram[order], np.empty((len(order), 4), np.int32)
+        for i in range(4):
+            n[:, i] = found[f"n{i}"].to_numpy()[order]
+        return gram, n
 
     words, word_counts = grams(None)
     pairs, pair_counts = grams(words)
-    return Grams(words, word_counts, (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), pair_counts)
+    return Grams(words, word_counts, (pairs >> 32).astype(np.int32), pairs.astype(np.int32), pair_counts)
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -253,8 +269,8 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _tuning_words(tokens) -> tuple[np.ndarray, tuple]:
     """Labels of the tuning documents, and the arguments of ratio()."""
-    key = np.stack([tokens["part"].to_numpy(), tokens["doc"].to_numpy()], 1)
-    _, first, doc = np.unique(key, axis=0, return_index=True, return_inverse=True)
+    part, doc = pd.factorize(tokens["part"].to_numpy())[0], tokens["doc"].to_numpy()
+    _, first, doc = np.unique(part * (doc.max(initial=0) + np.int64(1)) + doc, return_index=True, return_inverse=True)
     real = tokens["word"].is_valid().to_numpy()
     column = lambda c: tokens[c].fill_null(0).to_numpy()[real]
     return tokens["toxic"].to_numpy()[first].astype(float), (doc.reshape(-1)[real], column("word"), column("before"), len(first))
@@ -316,8 +332,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not len(grams.words):
         return shares[1] / sum(shares.values())
     ends = continuations(docs, grams.words, text_col)
-    tuned = sample.filter("tuning = 1").mapInPandas(_tokens, "toxic int, doc int, word long, before long, part long").toArrow()
-    y, tuning = _tuning_words(tuned)
+    y, tuning = _tuning_words(sample.filter("tuning = 1").mapInPandas(_tokens, "toxic int, doc int, word long, before long, part long").toArrow())
     if len(set(y)) < 2:
         return KneserNey.fit(grams, ends, 0, 1, SPREADS[0])
     share = np.where(y == 1, shares[1] / max(1, (y == 1).sum()), shares[0] / max(1, (y == 0).sum()))

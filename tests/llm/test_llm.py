@@ -481,6 +481,31 @@ def test_kneser_ney_brute_force(spark):
     assert (np.diff(by_ratio) >= 0).all()  # one slope and one offset
 
 
+def test_bigrams_that_no_model_keeps_are_added_up(spark):
+    """What comes to the driver grows with the bigrams that a model can keep; the others are one row for each first word and class, and change no model."""
+    rng = random.Random(5)
+    plain = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    rows = [(i, " ".join([rng.choice(plain) for _ in range(40)] + ["vile", "scum"] * (i % 3 == 0)), int(i % 3 == 0), int(i % 5 == 0)) for i in range(150)]
+    grams = toxicity._gram_counts(spark.createDataFrame(rows, "doc_id long, text string, toxic int, tuning int"))
+    want = {}
+    for _, t, y, tuning in rows:
+        ws = [int(np.searchsorted(grams.words, toxicity.hashed_words([w])[1][0])) for w in toxicity.words(t)]
+        for p in set(zip([len(grams.words), *ws], ws)):
+            want.setdefault(p, np.zeros(4, int))[[1 - y] + [3 - y] * (not tuning)] += 1
+    rest = {}
+    for (h, _), n in want.items():
+        if n.max() < 2:
+            rest[h, -1] = rest.get((h, -1), 0) + n
+    few = {p: n for p, n in want.items() if n.max() > 1} | rest
+    got = {(int(h), int(w)): n for h, w, n in zip(grams.before, grams.after, grams.pair_counts)}
+    assert len(grams.before) == len(got) < len(want) / 4 and {p: tuple(n) for p, n in got.items()} == {p: tuple(n) for p, n in few.items()}
+    size, pairs = len(grams.words), sorted(want)
+    whole = toxicity.Grams(grams.words, grams.word_counts, *(np.array(x, np.int32) for x in zip(*pairs)), np.array([want[p] for p in pairs], np.int32))
+    for spread in toxicity.SPREADS:
+        a, b = (toxicity.KneserNey.fit(g, np.ones(size + 1), 0, 1, spread) for g in (grams, whole))
+        assert (a.pairs == b.pairs).all() and np.allclose(a.pair, b.pair) and np.allclose(a.follow, b.follow)
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     rows = toxicity.op9_toxicity(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("score", "toxic").collect()
