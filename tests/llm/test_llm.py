@@ -101,6 +101,45 @@ def test_near_duplicates_that_meet_in_crowded_buckets_only(spark):
     assert got == {i: i - i % 2 for i, _ in docs}
 
 
+def test_full_bins_still_rule_out():
+    """One word said hundreds of times, among other words that differ: its full bin must not hide those."""
+    hashed = lambda ws: near_dedup._mix(np.array(ws, np.uint64) + np.uint64(7))
+    with np.errstate(over="ignore"):
+        for size in (480, 540):  # bins as many, and twice as many
+            a, b = [0] * 300 + list(range(1000, 1180)), [0] * 300 + list(range(5000, 4700 + size))
+            bound = near_dedup.counts_apart(near_dedup.word_counts(hashed(a)).tobytes(), near_dedup.word_counts(hashed(b)).tobytes())
+            assert 0.2 * size < bound <= distance(a[300:], b[300:])
+
+
+def test_pairs_of_a_block(monkeypatch):
+    """The same pairs as sizes and counts_apart leave one by one, in blocks of one part or two and however little is held at once."""
+    rng, nodes = random.Random(3), []
+    for i in range(120):
+        base = random.Random(i % 7)
+        words = [base.randrange(50) for _ in range(base.choice([8, 30, 60, 70, 130, 500]))] + [0] * (300 * (i % 7 == 6))
+        words = [rng.randrange(50) if rng.random() < 0.08 else w for w in words][: len(words) - rng.randrange(3)]
+        with np.errstate(over="ignore"):
+            nodes.append((i % 5, i % 2, len(words), near_dedup.word_counts(near_dedup._mix(np.array(words, np.uint64) + np.uint64(7))).tobytes()))
+    for parts, held in ((False, 1_000_000), (True, 1_000_000), (False, 2_000), (True, 2_000)):
+        monkeypatch.setattr(near_dedup, "COMPARED", held)
+        x, part, size, counts = zip(*nodes)
+        part = np.array(part) * parts
+        a, b = near_dedup.alike_in_block(np.array(x), part, np.array(size), list(counts))
+        most = lambda i, j: int((1 - near_dedup.SIMILARITY) * max(size[i], size[j]) + 1e-9)
+        want = {
+            (i, j) for i in range(120) for j in range(i + 1, 120)
+            if x[i] != x[j] and not (parts and part[i] == part[j]) and abs(size[i] - size[j]) <= most(i, j) and near_dedup.counts_apart(counts[i], counts[j]) <= most(i, j)
+        }
+        got = [(min(p), max(p)) for p in zip(a.tolist(), b.tolist())]
+        assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < 3_000
+
+
+def test_near_duplicates_in_parts_of_a_bucket(spark, monkeypatch):
+    """A bucket of more members than a block: pairs across parts and within them are met."""
+    monkeypatch.setattr(near_dedup, "PART", 40)
+    test_near_duplicates_that_meet_in_crowded_buckets_only(spark)
+
+
 def test_near_duplicates_share_keys():
     """Pairs of similarity 0.8, the least there is: all short ones and nearly all long ones become candidates."""
     rng = np.random.default_rng(6)
