@@ -56,16 +56,17 @@ def attach_prices(movements: DataFrame, cache: DataFrame, fetched: DataFrame) ->
 def address_totals(movements: DataFrame, inputs: DataFrame, native: Column) -> DataFrame:
     """AGG-02: per address, value received and sent and the native amounts; UTXO addresses send by inputs. Zero is null.
 
-    Amounts and values may be numbers or, for whole numbers of any size up to 90 digits, text; each comes back in its own kind.
+    Amounts and values may be numbers or, for whole numbers of any size up to 90 digits, text or exact numbers (functions.exact); numbers come
+    back in their own kind, others as text. A movement is read once for both of its ends.
     """
-    value, amount = F.col("value"), F.when(native, F.col("amount"))
-    side = lambda who, sign: movements.filter(F.col(who).isNotNull()).select(F.col(who).alias("address"), F.lit(sign).alias("side"), value.alias("value"), amount.alias("amount"))
-    no_value = F.lit(None).cast(movements.schema["value"].dataType).alias("value")
-    sides = side("dst", "in").unionByName(side("src", "out")).unionByName(inputs.select("address", F.lit("out").alias("side"), no_value, "amount"))
-    sides = exact.parsed(sides, "value", "amount")
-    zero = lambda c: F.lit("0" if exact.is_text(sides, c) else 0).cast("string" if exact.is_text(sides, c) else "long")
-    total = lambda c, s: F.nullif(exact.sum_of(sides, c, F.col("side") == s), zero(c))
-    return sides.groupBy("address").agg(
+    moved = movements.select("src", "dst", "value", F.when(native, F.col("amount")).alias("amount"))
+    spent = inputs.select(F.col("address").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast(movements.schema["value"].dataType).alias("value"), "amount")
+    rows = exact.parsed(moved.unionByName(spent), "value", "amount")
+    ends = F.explode(F.array(F.struct(F.col("dst").alias("address"), F.lit("in").alias("side")), F.struct(F.col("src").alias("address"), F.lit("out").alias("side"))))
+    sides = rows.select(ends.alias("end"), *rows.columns).select("end.*", *rows.columns).filter("address is not null")
+    sums = sides.groupBy("address", "side").agg(*(F.nullif(exact.sum_of(sides, c), F.lit("0") if exact.is_exact(sides, c) else F.lit(0).cast("long")).alias(c) for c in ("value", "amount")))
+    total = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c)))  # noqa: E731  of one row
+    return sums.groupBy("address").agg(
         total("value", "in").alias("received_value"), total("value", "out").alias("sent_value"), total("amount", "in").alias("received_native"), total("amount", "out").alias("sent_native")
     )
 
@@ -73,7 +74,7 @@ def address_totals(movements: DataFrame, inputs: DataFrame, native: Column) -> D
 def rollup_parallel(edges: DataFrame, individual: Column) -> DataFrame:
     """AGG-01: edges of one (source, target, asset, kind) as one; single edges and individual ones stay as they are. Which they are: rollup_members.
 
-    Edges without a column kind are of one kind. Amounts and values may be numbers or text of whole numbers, which are summed exactly.
+    Edges without a column kind are of one kind. Amounts and values may be numbers or text of whole numbers, which are summed exactly, or exact numbers, which come back as text.
     """
     key = _edge_key(edges)
     plain = exact.parsed(edges.filter(~individual), "amount", "value_e4")
@@ -83,7 +84,7 @@ def rollup_parallel(edges: DataFrame, individual: Column) -> DataFrame:
         F.count_if(F.col("value_e4").isNull()).alias("no_price"), F.array_join(F.array_sort(F.collect_set("source_name")), ",").alias("source_names"),
     )
     alone = edges.filter(individual).select(
-        *key, F.lit(1).cast("long").alias("count"), "amount", "value_e4", "finality", F.when(F.col("value_e4").isNull(), 1).otherwise(0).cast("long").alias("no_price"),
+        *key, F.lit(1).cast("long").alias("count"), exact.shown(edges, "amount"), exact.shown(edges, "value_e4"), "finality", F.when(F.col("value_e4").isNull(), 1).otherwise(0).cast("long").alias("no_price"),
         F.col("source_name").alias("source_names"),
     )
     return grouped.unionByName(alone)

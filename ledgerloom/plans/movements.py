@@ -80,10 +80,10 @@ _wei_input = f"(SELECT *, CAST({WEI_SQL.format(amount='amount', id='prev_output_
 
 
 def _wei_transfers(d):
-    """Transfers with amounts in text and their values: exact products of amount and unit price, in text too."""
+    """Transfers with amounts given in text, read once, and their values: exact products of amount and unit price; both are exact numbers."""
     price = d.price.withColumnRenamed("price_ts", "block_ts")
-    priced = d.transfer.withColumn("amount", wei()).join(price, ["asset", "block_ts"], "left")
-    return priced.withColumn("value_e4", exact.text(exact.times(exact.parse(F.col("amount")), F.col("price_cents"))))
+    given = d.transfer.withColumn("amount", wei()).join(price, ["asset", "block_ts"], "left")
+    return exact.multiplied(exact.numbers(given, "amount"), "value_e4", "amount", "price_cents")
 
 
 @query("agg_02_wei", f"""SELECT address, nullif(CAST(sum(value) FILTER (WHERE side = 'in') AS VARCHAR), '0') AS received_value, nullif(CAST(sum(value) FILTER (WHERE side = 'out') AS VARCHAR), '0') AS sent_value,
@@ -91,8 +91,9 @@ def _wei_transfers(d):
   FROM (SELECT dst AS address, 'in' AS side, wei_value AS value, wei, asset = 'Brand#1' AS native FROM {_wei_valued} UNION ALL SELECT src, 'out', wei_value, wei, asset = 'Brand#1' FROM {_wei_valued}
         UNION ALL SELECT address, 'in', NULL, wei, true FROM {_wei_output} UNION ALL SELECT address, 'out', NULL, wei, true FROM {_wei_input}) GROUP BY address""")
 def agg_02_wei(d):
-    rows = m.movement_view(_wei_transfers(d).withColumn("value", F.col("value_e4")), d.tx_output.withColumn("amount", wei()), value=True)
-    return m.address_totals(rows, d.tx_input.withColumn("amount", wei(key="prev_output_id")), F.col("asset").isin("Brand#1", "BTC"))
+    read = lambda rows, key="id": exact.numbers(rows.withColumn("amount", wei(key=key)), "amount")
+    rows = m.movement_view(_wei_transfers(d).withColumn("value", F.col("value_e4")), read(d.tx_output), value=True)
+    return m.address_totals(rows, read(d.tx_input, "prev_output_id"), F.col("asset").isin("Brand#1", "BTC"))
 
 
 @query("agg_01_wei", f"""SELECT src AS source, dst AS target, asset, kind, count(*) AS count, CAST(sum(wei) AS VARCHAR) AS amount, CAST(sum(wei_value) AS VARCHAR) AS value_e4, count(*) FILTER (WHERE wei_value IS NULL) AS no_price

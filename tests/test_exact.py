@@ -117,3 +117,28 @@ def test_scan_shuffles_rows_once(spark):
         assert {r["id"]: r["s"] for r in found.collect()} == {i: sum(range(i % 3, i, 3)) for i in range(400)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_totals_of_amounts_in_text_are_plain_sums(spark):
+    """A text was read for every limb and a product written and read again; the totals of an address are those of amounts in text and of exact numbers alike."""
+    rng = random.Random(8)
+    texts = ["12a", None, "1" * 91, "  +007 ", "-0", "1.5", "", "-" + "9" * 90, *(str(rng.randrange(-(10 ** rng.randint(1, 70)), 10 ** rng.randint(1, 70))) for _ in range(60))]
+    rows = [(f"a{i % 5}" if i % 9 else None, f"b{i % 4}", "E", v, rng.choice([None, -rng.randrange(10**18), rng.randrange(10**18), 7])) for i, v in enumerate(texts)]
+    df = spark.createDataFrame(rows, "src string, dst string, asset string, amount string, f long")
+    whole = lambda v: int(v) if v is not None and v.strip().lstrip("+-").isdigit() and len(v) <= 91 and v != "1" * 91 else None
+    read = x.numbers(df.withColumn("given", F.col("amount")), "amount")
+    product = x.multiplied(read.filter("abs(f) = 7 or given <> '-" + "9" * 90 + "'"), "value", "amount", "f")
+    assert "decimal" not in product._jdf.queryExecution().optimizedPlan().toString()
+    for r in product.select("given", "f", x.text(F.col("amount")).alias("n"), x.text(F.col("value")).alias("v")).collect():
+        n = whole(r["given"])
+        assert (r["n"], r["v"]) == (None if n is None else str(n), None if n is None or r["f"] is None else str(n * r["f"]))
+    df, read, rows = df.filter("amount is null or length(amount) < 80"), read.filter("given is null or length(given) < 80"), [r for r in rows if len(r[3] or "") < 80]
+    inputs = spark.createDataFrame([("b1", "5"), ("b9", "0")], "address string, amount string")
+    totals = m.address_totals(df.withColumn("value", F.col("amount")), inputs, F.lit(True))
+    numbers = m.address_totals(read.withColumn("value", F.col("amount")), x.numbers(inputs, "amount"), F.lit(True))
+    got = {r["address"]: tuple(r)[1:] for r in totals.collect()}
+    assert got == {r["address"]: tuple(r)[1:] for r in numbers.collect()} and got["b9"] == (None,) * 4 and got["b1"][3] == "5"
+    for who, places in (("dst", (0, 2)), ("src", (1, 3))):
+        for address in {r[who == "dst"] for r in rows} - {None}:
+            want = sum(whole(r[3]) or 0 for r in rows if r[who == "dst"] == address)
+            assert int(got[address][places[0]] or 0) == want and (address == "b1" or int(got[address][places[1]] or 0) == want)
