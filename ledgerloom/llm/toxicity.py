@@ -23,6 +23,8 @@ SPREADS = (1.0, 2.0, 3.0, 4.0, 6.0)
 RIDGE = 1e-3
 #: Characters of text for each bucket in which distinct bigrams are counted.
 BUCKET_CHARS = 20_000_000
+#: Bigrams that a task holds before it deals them to buckets, and of these as many as it deals at once.
+HELD, DEALT = 4_000_000, 1_000_000
 #: Stands before the first word of a text.
 START = np.int64(-1)
 #: Stands for the second word of all bigrams that no model keeps.
@@ -208,6 +210,26 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _distinct(held: list[np.ndarray]) -> np.ndarray:
+    """The distinct numbers of the arrays, sorted; the list is emptied, and one copy of the numbers is sorted where it lies."""
+    values = np.concatenate(held)
+    held.clear()
+    values.sort()
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
+def _dealt(held: list[np.ndarray], buckets: int) -> Iterator[pd.DataFrame]:
+    """The distinct bigrams of the arrays, packed by bucket, a stretch of them at a time; the list is emptied."""
+    pairs = _distinct(held)
+    for start in range(0, len(pairs), DEALT):
+        own = pairs[start : start + DEALT]
+        bucket = (own % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        own, bucket = own[order], bucket[order]
+        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        yield pd.DataFrame({"bucket": bucket[cuts].astype(np.int64), "pairs": [_packed(x) for x in np.split(own, cuts[1:])]})
+
+
 def continuations(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text") -> np.ndarray:
     """The number of distinct bigrams of all documents that end in each word of the sorted vocabulary; last, those that end in other words.
 
@@ -220,13 +242,6 @@ def continuations(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text
         raise ValueError("more training words than the place in a bigram's number can tell apart")
     buckets = 1 + (texts.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_CHARS
 
-    def rows(held: list[np.ndarray]) -> pd.DataFrame:
-        pairs = np.unique(np.concatenate(held))
-        bucket = (pairs % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        return pd.DataFrame({"bucket": bucket[order][cuts], "pairs": [_packed(x) for x in np.split(pairs[order], cuts[1:])]})
-
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, count = [], 0
         for part in (p for batch in batches for p in in_calls(batch)):
@@ -239,15 +254,16 @@ def continuations(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text
                 mark = _mix(_mix(before) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)) >> np.uint64(24)
             held.append(np.unique((place.astype(np.uint64) << np.uint64(40)) | mark))
             count += len(held[-1])
-            if count > 4_000_000:
-                yield rows(held)
-                held, count = [], 0
+            if count > HELD:
+                yield from _dealt(held, buckets)
+                count = 0
         if held:
-            yield rows(held)
+            yield from _dealt(held, buckets)
 
     def merge(packed: pd.DataFrame) -> pd.DataFrame:
-        word, n = np.unique(np.unique(np.concatenate([_unpacked(x) for x in packed["pairs"]])) >> np.uint64(40), return_counts=True)
-        return pd.DataFrame({"word": word.astype(np.int32), "n": n.astype(np.int64)})
+        word = (_distinct([_unpacked(x) for x in packed["pairs"]]) >> np.uint64(40)).astype(np.int32)
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        return pd.DataFrame({"word": word[first], "n": np.diff(first, append=len(word)).astype(np.int64)})
 
     merged = texts.mapInPandas(deal, "bucket long, pairs binary").groupBy("bucket").applyInPandas(merge, "word int, n long")
     found = merged.groupBy("word").agg(F.sum("n").alias("n")).toArrow()
