@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,8 @@ HASHED, SEEN, BATCH = 4_000_000, 500_000, 500
 ORDERS = 4
 #: Members of a bucket that are compared in one block; of larger buckets each two parts are a block, which a task compares by itself.
 PART = 1_000
+#: The same for the members that have a partner which sizes and counts allow, whose texts a task then compares.
+CLOSE_PART = 250
 #: Counts that a task holds at once while it compares a block.
 COMPARED = 1_000_000
 
@@ -268,17 +270,14 @@ def alike_in_block(component: np.ndarray, part: np.ndarray, size: np.ndarray, co
     return np.concatenate(left), np.concatenate(right)
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _by_block(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """work of each block of rows sorted by bucket and block, if its members are of several components; one block is unpacked at a time, besides a batch."""
 
-
-def _alike_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of alike_in_block for rows sorted by bucket and block; one block is unpacked at a time, besides a batch."""
-
-    def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(parts)
-        node, x, part, size = (rows[c].to_numpy() for c in ("node", "x", "part", "size"))
-        a, b = alike_in_block(x, part, size, rows["counts"].to_pylist()) if (x != x[0]).any() else (np.zeros(0, np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], schema=_PAIRS)
+        x = rows["x"].to_numpy()
+        if (x != x[0]).any():
+            yield work(rows)
 
     held, last = [], None
     for batch in batches:
@@ -288,11 +287,82 @@ def _alike_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             if start == stop:
                 continue
             if held and (key[start], block[start]) != last:
-                yield pairs(held)
+                yield from done(held)
                 held = []
             held, last = [*held, batch.slice(start, stop - start)], (key[start], block[start])
     if held:
-        yield pairs(held)
+        yield from done(held)
+
+
+def _alike(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return alike_in_block(*(rows[c].to_numpy() for c in ("x", "part", "size")), rows["counts"].to_pylist())
+
+
+_CLOSE = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+
+
+def _close_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each block that are in a pair of alike_in_block: a row for each member at most, however many pairs there are."""
+
+    def close(rows: pa.Table) -> pa.RecordBatch:
+        node = rows["node"].to_numpy()[np.unique(np.concatenate(_alike(rows)))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(node), rows["key"][0].as_py(), np.int64)), pa.array(node)], schema=_CLOSE)
+
+    return _by_block(batches, close)
+
+
+def met_before(keys: list[list[int]], key: int) -> np.ndarray:
+    """For each two members of a block whether they share a key less than this one, in whose block they are compared."""
+    owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    flat = np.array([k for own in keys for k in own], np.int64)
+    found, code, n = np.unique(flat[flat < key], return_inverse=True, return_counts=True)
+    owner, met = owner[flat < key], np.zeros((len(keys), len(keys)), bool)
+    several = np.flatnonzero(n > 1)
+    for start in range(0, len(several), PART):
+        place = np.full(len(found), -1)
+        place[several[start : start + PART]] = np.arange(len(several[start : start + PART]))
+        own = place[code] >= 0
+        has = np.zeros((len(keys), min(PART, len(several) - start)), np.float32)
+        has[owner[own], place[code[own]]] = 1
+        met |= has @ has.T > 0
+    return met
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _links_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between similar members of each block, as many as connect what is not connected yet: fewer than its members, however many pairs are similar."""
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        left, right = _alike(rows)
+        if len(left):
+            new = ~met_before(rows["keys"].to_pylist(), rows["key"][0].as_py())[left, right]
+            left, right = left[new], right[new]
+        node, text, words, joined = rows["node"].to_numpy(), rows["text"], {}, {}
+        component = pd.factorize(rows["x"].to_numpy())[0].tolist()
+
+        def root(c: int) -> int:
+            while (up := joined.get(c, c)) != c:
+                joined[c] = joined.get(up, up)
+                c = up
+            return c
+
+        def split(i: int) -> list[str]:
+            if i not in words:
+                words[i] = text[i].as_py().split()
+            return words[i]
+
+        found = []
+        for i, j in zip(left.tolist(), right.tolist()):
+            a, b = root(component[i]), root(component[j])
+            if a != b and similar(split(i), split(j)):
+                joined[max(a, b)] = min(a, b)
+                found.append((i, j))
+        i, j = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], schema=_LINKS)
+
+    return _by_block(batches, links)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,8 +380,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grows with the data is broadcast or collected.
 
     Pairs of SHORT words at most are candidates for certain, longer ones by chance per sketch. Two similar texts that share a
-    key are in one class, however many share it. That last step is quadratic in unlike texts of one size that share a passage, but only in comparisons of word counts
-    within a task: it is dealt over tasks and bounded in memory, and only pairs that the counts do not rule out become rows. Copies take no part in it.
+    key are in one class, however many share it. That last step is quadratic in unlike texts of one size that share a passage, but only in comparisons
+    within a task, of word counts and then of texts that those allow: it is dealt over tasks and bounded in memory, and no pair becomes a row. Copies take no part in it.
 
     Of a class one row stays (kept): the one of the least (doc_id, text_md5), with its exact repetitions. Texts without
     words (null, empty, white space) are classes by equality. Rows of one id and different texts are judged each by its
@@ -360,28 +430,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed = pairs.join(place("a", "x"), "a", "left").join(place("b", "y"), "b", "left").withColumns({"x": F.coalesce("x", "a"), "y": F.coalesce("y", "b")})
         return placed.filter("x <> y")
 
+    def in_blocks(members: DataFrame, part: int, *columns: str) -> DataFrame:
+        """Members (node, x, key, n: of the key) with the text's columns, dealt by key and block: of keys of more than `part` members each two parts are a block."""
+        held = members.groupBy("node").agg(F.first("x").alias("x"), F.collect_list(F.struct("key", (1 + F.expr(f"n div {part}")).alias("deals"))).alias("held"))
+        whole = held.join(texts.select("node", "size", "counts", *columns), "node").withColumn("keys", F.col("held.key"))
+        dealt = whole.select("*", F.explode("held").alias("h")).select("*", "h.*").withColumn("part", F.pmod(F.xxhash64("node"), "deals"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).withColumn("block", F.least("part", "other") * F.col("deals") + F.greatest("part", "other"))
+        return dealt.select("key", "block", "part", "node", "x", "size", "counts", *(["keys"] if columns else []), *columns).repartition("key", "block").sortWithinPartitions("key", "block")
+
     def unmet(links: DataFrame) -> DataFrame:
-        """The pairs of a bucket that no link connects yet and that sizes and word counts allow to be similar, picked members among them.
+        """Links for the pairs of a bucket that no link connects yet, picked members among them.
 
         Buckets of one component have none. Buckets of the same members, as a shared passage makes them, are compared once. A task compares the
-        members of a block by itself, so pairs that are ruled out never become rows.
+        sizes and word counts of the members of a block by itself and passes on those that have a partner; then, of these, the texts, each pair in
+        the block of the least key that it shares. Pairs never become rows: only members do, and links that connect components.
         """
         parts = table(connected_components(links), "components")
         placed = table(shared.filter("n > 3").select("key", "node", "n").join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("x")), "crowded-keys")
         same = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(38,0)")).alias(f"h{i}") for i in (1, 2)]
         mixed = placed.groupBy("key").agg(F.max("n").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), *same).filter("low <> high")
-        once = mixed.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", (1 + F.expr(f"n div {PART}")).alias("deals"))
-        dealt = placed.join(once, "key").withColumn("part", F.pmod(F.xxhash64("node"), "deals"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).withColumn("block", F.least("part", "other") * F.col("deals") + F.greatest("part", "other"))
-        blocks = dealt.select("key", "block", "part", "node", "x").join(texts.select("node", "size", "counts"), "node")
-        found = blocks.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_alike_in_blocks, "a long, b long")
-        return table(found.distinct(), "alike-pairs")
+        once = mixed.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key")
+        members = placed.join(once, "key", "left_semi")
+        close = table(in_blocks(members, PART).mapInArrow(_close_in_blocks, "key long, node long").distinct(), "close-members")
+        sized = close.join(close.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").join(parts, "node", "left").select("node", "key", "n", F.coalesce("component", "node").alias("x"))
+        return table(in_blocks(sized, CLOSE_PART, "text").mapInArrow(_links_in_blocks, "a long, b long"), "links")
 
     links = linked(best.select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct())
     bridge = F.max_by(F.struct("a", "b"), "shared").alias("e")
     links = links.unionByName(linked(apart(links).groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(bridge).select("e.*")))
     links = links.unionByName(linked(apart(links).select("a", "b")))
-    links = links.unionByName(verified(unmet(links)))
+    links = links.unionByName(unmet(links))
     classes = table(connected_components(links), "classes")
     least = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "hash"))
     members = classes.join(nodes, "node").select("component", "least", "hash")

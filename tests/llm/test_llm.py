@@ -3,9 +3,11 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -140,6 +142,24 @@ def test_near_duplicates_in_parts_of_a_bucket(spark, monkeypatch):
     test_near_duplicates_that_meet_in_crowded_buckets_only(spark)
 
 
+def test_pairs_that_only_counts_allow_never_become_rows(monkeypatch):
+    """Texts of the same words in another order: the counts allow every pair, and each pair was a row of the step before."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.sample([f"w{i}" for i in range(60)], 60)) for _ in range(40)]
+    texts += [texts[3].replace("w7 ", "x "), texts[3].replace("w9 ", "y ")]
+    counts = [near_dedup.word_counts(near_dedup._mix(np.array([int(w[1:] or 0) for w in t.split()], np.uint64) + np.uint64(7))).tobytes() for t in texts]
+    n = len(texts)
+    columns = {"key": [5] * n, "block": [0] * n, "part": [0] * n, "node": list(range(n)), "x": list(range(n)), "size": [60] * n, "counts": counts}
+    batches = lambda **more: iter(pa.RecordBatch.from_pydict(columns | more).slice(i, 10) for i in range(0, n, 10))
+    close = pa.Table.from_batches(near_dedup._close_in_blocks(batches())).to_pylist()
+    assert [r["node"] for r in close] == list(range(n)) and {r["key"] for r in close} == {5}
+    links = lambda keys: sorted((r["a"], r["b"]) for b in near_dedup._links_in_blocks(batches(keys=keys, text=texts)) for r in b.to_pylist())
+    assert links([[5]] * n) == [(3, 40), (3, 41)]
+    assert links([[2, 5], [2, 5], [5], [2, 5], *([[5]] * 36), [5], [2, 5]]) == [(3, 40), (40, 41)]  # 3 and 41 meet in the block of key 2
+    monkeypatch.setattr(near_dedup, "PART", 2)
+    assert near_dedup.met_before([[1, 9], [1, 2, 9], [2, 3, 9], [9], [3, 9]], 9).tolist() == [[i == j < 3 or i == j == 4 or {i, j} in ({0, 1}, {1, 2}, {2, 4}) for j in range(5)] for i in range(5)]
+
+
 def test_near_duplicates_share_keys():
     """Pairs of similarity 0.8, the least there is: all short ones and nearly all long ones become candidates."""
     rng = np.random.default_rng(6)
@@ -642,3 +662,22 @@ def test_pipeline_awkward(spark, awkward):
     rows = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (2, "One two three four five six"), (1, "another text of its own here"), (None, "no id no id no id")], "doc_id long, text string")
     left = corpus_pipeline.drop_near_duplicates(spark, rows, sf).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == [(0, "no id no id no id"), (1, "another text of its own here"), (1, "one two three four five six")]
+
+
+def test_bigrams_are_dealt_in_little_memory():
+    """Dealing took seven times the bigrams it held, in every worker of an executor at once; the same bigrams come out, each in its bucket."""
+    rng = np.random.default_rng(1)
+    held = [np.unique(rng.integers(0, 2**62, 200_000).astype(np.uint64)) for _ in range(19)]
+    held.append(held[0])
+    want, size = np.unique(np.concatenate(held)), sum(x.nbytes for x in held)
+    found, least = [], len(want)
+    tracemalloc.start()
+    for part in toxicity._dealt(held, 7):
+        for bucket, packed in zip(part["bucket"], part["pairs"]):
+            found.append((bucket, packed))
+        least = min(least, part["bucket"].nunique())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert least == 7 and not held and peak < 4 * size
+    got = [(b, toxicity._unpacked(p)) for b, p in found]
+    assert all((x % np.uint64(7) == b).all() for b, x in got) and np.array_equal(np.sort(np.concatenate([x for _, x in got])), want)
